@@ -125,6 +125,7 @@ def typing_metrics(
     keys: Sequence[str],
     pause: float = PAUSE_SEC,
     chunk: Column | None = None,
+    time_digits: int = 4,
 ) -> DataFrame:
     """Per session over key presses ``(ord, timestamp_precise)`` in arrival order: rates and flight times.
 
@@ -156,8 +157,8 @@ def typing_metrics(
         F.round(
             F.when(moving, strokes / CHARS_PER_WORD / (F.col("_total") / 60)).otherwise(zero), 2
         ).alias("wpm"),
-        F.round(F.when(some, F.col("_avg")).otherwise(zero), 4).alias("avg_flight_time"),
-        F.round(F.when(some, F.coalesce(F.col("_sd"), zero)).otherwise(zero), 4).alias("flight_time_sd"),
+        F.round(F.when(some, F.col("_avg")).otherwise(zero), time_digits).alias("avg_flight_time"),
+        F.round(F.when(some, F.coalesce(F.col("_sd"), zero)).otherwise(zero), time_digits).alias("flight_time_sd"),
         F.when(some, F.col("_n")).alias("sample_size"),
         F.when(F.col("_presses") < 2, F.lit("Insufficient data")).alias("note"),
     )

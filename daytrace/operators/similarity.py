@@ -64,6 +64,7 @@ def self_block_pairs(rows: DataFrame, keys: Sequence[str], id_col: str = "id", b
 
 def _apply(lefts: DataFrame, rights: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
     groups = [*keys, "_lb", "_rb"]
+    rights = rights.select(*[F.col(c).alias(c) for c in rights.columns])  # own column ids: both sides may share a source
     return lefts.groupBy(*groups).cogroup(rights.groupBy(*groups)).applyInArrow(fn, schema)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["activity"]
+AREAS = ["activity", "vectors"]
 
 
 def load_all() -> None:

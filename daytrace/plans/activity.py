@@ -128,16 +128,16 @@ SELECT u AS "user", sid AS session_id, CASE WHEN presses < 2 THEN 1 ELSE 0 END A
   coalesce(CASE WHEN presses >= 2 THEN n END, 0) AS sample_size,
   round(CASE WHEN presses >= 2 AND tot > 0 THEN (n + 1) / tot ELSE 0 END, 2) AS kps,
   round(CASE WHEN presses >= 2 AND tot > 0 THEN (n + 1) / 5.0 / (tot / 60) ELSE 0 END, 2) AS wpm,
-  round(CASE WHEN presses >= 2 AND n > 0 THEN av ELSE 0 END, 4) AS avg_flight_time,
-  round(CASE WHEN presses >= 2 AND n > 0 THEN coalesce(sd, 0) ELSE 0 END, 4) AS flight_time_sd FROM g""")
+  round(CASE WHEN presses >= 2 AND n > 0 THEN av ELSE 0 END, 1) AS avg_flight_time,
+  round(CASE WHEN presses >= 2 AND n > 0 THEN coalesce(sd, 0) ELSE 0 END, 1) AS flight_time_sd FROM g""")
 def typing(spark, sf):
     _, asg = session_tables(spark, sf)
     rows = asg.withColumn("timestamp_precise", us("ts") / F.lit(1e6))
-    out = sessions.typing_metrics(rows, ["user", "session_id"], pause=20000.0)
+    out = sessions.typing_metrics(rows, ["user", "session_id"], pause=20000.0, time_digits=1)
     return out.select(
         "user", "session_id", F.col("note").isNotNull().cast("int").alias("short"),
         F.coalesce("sample_size", F.lit(0)).alias("sample_size"), r6("kps", "kps", 2), r6("wpm", "wpm", 2),
-        r6("avg_flight_time", "avg_flight_time", 4), r6("flight_time_sd", "flight_time_sd", 4))
+        r6("avg_flight_time", "avg_flight_time", 1), r6("flight_time_sd", "flight_time_sd", 1))
 
 
 @query("f1_typed_text", f"""WITH {EV}, k AS (SELECT u, ord, CASE et WHEN 'click' THEN chr(97 + CAST(y AS INT) % 26)

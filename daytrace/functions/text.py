@@ -81,14 +81,12 @@ def letters_only(c: Column | str) -> Column:
 def drop_repeated_ending(c: Column | str) -> Column:
     """Collapse a repeated last word to one occurrence; words are joined by one blank."""
     words = F.filter(F.split(_col(c), r"\s+"), lambda w: w != "")
-    last = F.element_at(words, -1)
-    backwards = F.reverse(words)
-    # length of the run of `last` at the end: position of the first other word, counted from the end
-    flags = F.transform(backwards, lambda w: w == last)
-    other = F.array_position(flags, False)
-    run = F.when(other == 0, F.size(words)).otherwise(other - 1)
-    kept = F.slice(words, 1, (F.size(words) - run + 1).cast("int"))
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(kept, " "))
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"))
+    ending = F.aggregate(
+        words, start, lambda s, w: F.struct(w.alias("word"), F.when(w == s["word"], s["run"] + 1).otherwise(1).alias("run"))
+    )
+    kept = F.greatest(F.size(words) - ending["run"] + 1, F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), kept), " ")
 
 
 def is_garbage(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["activity", "vectors"]
+AREAS = ["activity", "vectors", "reports", "texts"]
 
 
 def load_all() -> None:

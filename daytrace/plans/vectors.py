@@ -229,7 +229,7 @@ def gate_decay(spark, sf):
 
 
 TAU = 0.02
-TOKENS = """tok AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS ts FROM documents)"""
+TOKENS = """tok AS MATERIALIZED (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS ts FROM documents)"""
 
 
 @query("m2_rerank_clusters", f"""WITH RECURSIVE {V}, {TOKENS}, cand AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.vec, b.vec) >= {THETA}),

@@ -21,12 +21,18 @@ def clean(v: Column) -> Column:
     return F.transform(v, one)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when lambdas inside ``body`` use it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(v: Column) -> Column:
     """Unit length, stored as float; a zero vector stays zero."""
-    c = clean(v)
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(c, lambda x: (x / safe).cast("float"))
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return let(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(c, lambda x: (x / n).cast("float")))
+
+    return let(clean(v), scaled)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daytrace.functions import text as tx
@@ -79,33 +78,31 @@ def changed_percent(a: Column, b: Column) -> Column:
     return F.size(F.filter(diff, lambda d: d)) * 100.0 / F.size(a)
 
 
+def stable_start() -> dict:
+    return {"saved": None, "cand": None, "at": None, "calm": 0, "n": 0}
+
+
 def stable_step(change: float, seconds: float):
-    """Fold of ordered frames (seq, fps, sig) → emitted frames and the state to carry on; shared by the batch
-    and the streaming form."""
-    plain = lambda v: None if v is None else v.tolist()
-    array = lambda v: None if v is None else np.asarray(v, dtype=np.int64)
-
-    def moved(x, y) -> bool:
-        return y is None or np.mean(np.abs(x - y) > PIXEL_CHANGE) * 100 > change
-
-    def step(rows: pd.DataFrame, state):
-        state = state or {"saved": None, "cand": None, "at": None, "calm": 0, "n": 0}
-        saved, cand = array(state["saved"]), array(state["cand"])
-        at, calm, n = state["at"], state["calm"], state["n"]
-        out = []
-        for seq, fps, sig in rows[["seq", "fps", "sig"]].itertuples(index=False):
-            sig = array(sig)
-            if not moved(sig, saved):
-                cand, calm = None, 0
-            elif cand is None or moved(sig, cand):
-                cand, at, calm = sig, int(seq), 0
-            else:
-                calm += 1
-                if calm >= int(fps * seconds):
-                    out.append((n, at))
-                    saved, cand, calm, n = cand, None, 0, n + 1
-        state = {"saved": plain(saved), "cand": plain(cand), "at": at, "calm": calm, "n": n}
-        return pd.DataFrame(out, columns=["frame_id", "global_idx"]), state
+    """Step over ordered frames (seq, fps, sig): updates the state in place and returns the emitted frame, if
+    any.  Shared by the batch and the streaming form; the state is plain JSON."""
+    def moved(x: list, y: list | None) -> bool:
+        if y is None:
+            return True
+        return np.mean(np.abs(np.subtract(x, y)) > PIXEL_CHANGE) * 100 > change
+
+    def step(state: dict, row: tuple):
+        seq, fps, sig = int(row[0]), row[1], [int(v) for v in row[2]]
+        if not moved(sig, state["saved"]):
+            state.update(cand=None, calm=0)
+        elif state["cand"] is None or moved(sig, state["cand"]):
+            state.update(cand=sig, at=seq, calm=0)
+        else:
+            state["calm"] += 1
+            if state["calm"] >= int(fps * seconds):
+                emitted = (state["n"], state["at"])
+                state.update(saved=state["cand"], cand=None, calm=0, n=state["n"] + 1)
+                return emitted
+        return None
 
     return step
 
@@ -120,6 +117,6 @@ def stable_frames(
     over chunks, so a long recording is folded in parallel.
     """
     return chunked_fold(
-        frames, keys, ["seq"], ordinal_chunk("seq", chunk_size), stable_step(change, seconds),
-        "frame_id int, global_idx bigint",
+        frames, keys, ["seq"], ordinal_chunk("seq", chunk_size), ["seq", "fps", "sig"], stable_start,
+        stable_step(change, seconds), "frame_id int, global_idx bigint",
     )

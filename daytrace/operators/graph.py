@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from daytrace.session import cut
 
@@ -39,17 +39,18 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
             out = out.unionByName(low.select(*keys, "u", F.col("m").alias("v")))
         return out.where(F.col("u") != F.col("v")).distinct()
 
-    def fingerprint(pairs: DataFrame):
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first())
+    def written(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges, written, and a fingerprint of them observed during that same write."""
+        mark = Observation()
+        size, mix = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")).alias("h")
+        return cut(pairs.observe(mark, size, mix)), mark.get
 
-    current = cut(
+    current, seen = written(
         edges.where(F.col("i") != F.col("j"))
         .select(*keys, F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct()
     )
-    seen = fingerprint(current)
-    while True:
-        current = cut(stars(stars(current, large=True), large=False))
-        now = fingerprint(current)
+    while seen["n"]:
+        current, now = written(stars(stars(current, large=True), large=False))
         if now == seen:
             break
         seen = now

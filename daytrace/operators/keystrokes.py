@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from daytrace.operators.ordered import CHUNK, ordinal_chunk
+from daytrace.operators.ordered import CHUNK, fold_sorted, ordinal_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
 SHIFT_KEYS = "`1234567890-=[]\\;',./"
@@ -91,28 +91,28 @@ def typed_text(
     keys = list(keys)
     chunk = ordinal_chunk(order) if chunk is None else chunk
     rows = edits(presses).select(*keys, order, chunk.alias(CHUNK), "op", "piece")
-    names = [f"{k} {presses.schema[k].dataType.simpleString()}" for k in keys]
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        owed, stack = [], []
-        for op, piece in zip(pdf["op"], pdf["piece"]):
-            left = stack.append(piece) if op == "push" else _delete(stack, op)
-            if left:
-                owed.append(left)
-        head = {k: [pdf[k].iloc[0]] for k in [*keys, CHUNK]}
-        return pd.DataFrame({**head, "owed": [owed], "stack": [stack]})
-
-    def join_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack: list = []
-        for owed, pieces in pdf.sort_values(CHUNK)[["owed", "stack"]].itertuples(index=False):
-            for op in owed:
-                _delete(stack, op)
-            stack.extend(pieces)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "text": ["".join(stack)]})
-
-    reduced = rows.groupBy(*keys, CHUNK).applyInPandas(
-        reduce_chunk, ", ".join([*names, f"{CHUNK} bigint", "owed array<string>", "stack array<string>"])
-    )
-    texts = reduced.groupBy(*keys).applyInPandas(join_chunks, ", ".join([*names, "text string"]))
+    heads = [presses.schema[k] for k in keys]
+    strings = T.ArrayType(T.StringType())
+    reduced_type = T.StructType([*heads, T.StructField(CHUNK, T.LongType()), T.StructField("owed", strings), T.StructField("stack", strings)])
+
+    def empty(group: tuple) -> dict:
+        return {"owed": [], "stack": []}
+
+    def edit(state: dict, row: tuple) -> None:
+        op, piece = row
+        if op == "push":
+            state["stack"].append(piece)
+        elif left := _delete(state["stack"], op):
+            state["owed"].append(left)
+
+    def join(state: dict, row: tuple) -> None:
+        for op in row[0]:
+            _delete(state["stack"], op)
+        state["stack"].extend(row[1])
+
+    reduced = fold_sorted(
+        rows, [*keys, CHUNK], [order], ["op", "piece"], empty, edit, lambda g, s: [(*g, s["owed"], s["stack"])], reduced_type)
+    texts = fold_sorted(
+        reduced, keys, [CHUNK], ["owed", "stack"], empty, join, lambda g, s: [(*g, "".join(s["stack"]))],
+        T.StructType([*heads, T.StructField("text", T.StringType())]))
     return presses.select(*keys).distinct().join(texts, keys, "left").na.fill("", ["text"])

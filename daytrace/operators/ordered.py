@@ -138,64 +138,91 @@ def with_halo(df: DataFrame, ordinal: str, size: int, before: int, after: int =
     return df.withColumn(CHUNK, F.explode(homes)).withColumn("_own", F.col(CHUNK) == own)
 
 
-def chunked_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    step: Callable,
-    out_schema: str,
-    max_rounds: int = 10_000,
+def fold_sorted(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], fields: Sequence[str],
+    start: Callable, step: Callable, finish: Callable, out_schema: T.StructType,
 ) -> DataFrame:
-    """Ordered fold with carried state, spread over chunks instead of one task per key.
+    """Ordered fold of every group, streamed: rows are hash-partitioned by ``groups``, sorted, and passed once
+    through the task in Arrow batches, so no group is ever held as a whole.
 
-    ``step(rows: pandas.DataFrame, state) -> (pandas.DataFrame, state)`` folds one chunk; ``state`` is any
-    JSON value, ``None`` at the start of a key.  Round 0 folds every chunk from the empty state; each later
-    round re-folds only the chunks whose predecessor ended in another state than the one they started from.
-    It stops when no chunk is stale, which is the sequential result.  Automata that soon forget their past
-    settle in a round or two; the worst case is one round per chunk, never a whole key in one task.
+    ``start(group) -> state``, ``step(state, row) -> output tuple or None`` (the state is updated in place),
+    ``finish(group, state) -> list of output tuples``.  ``row`` holds ``fields``.
     """
     import pandas as pd
 
+    groups, fields = list(groups), list(fields)
+    names = [f.name for f in out_schema.fields]
+    width = len(groups)
+
+    def run(batches):
+        here, state = None, None
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c] for c in [*groups, *fields]]):
+                group = row[:width]
+                if group != here:
+                    if here is not None:
+                        out.extend(finish(here, state))
+                    here, state = group, start(group)
+                made = step(state, row[width:])
+                if made is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=names)
+        if here is not None:
+            yield pd.DataFrame(finish(here, state), columns=names)
+
+    rows = df.select(*groups, *order, *[f for f in fields if f not in {*groups, *order}])
+    return rows.repartition(*groups).sortWithinPartitions(*groups, *order).mapInPandas(run, out_schema)
+
+
+def chunked_fold(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fields: Sequence[str],
+    start: Callable, step: Callable, out_schema: str, max_rounds: int = 10_000,
+) -> DataFrame:
+    """Ordered fold with carried state, spread over chunks instead of one task per key.
+
+    ``start() -> state`` (a JSON-able dict) and ``step(state, row) -> output tuple or None`` as in
+    ``fold_sorted``.  Round 0 folds every chunk from the start state; each later round re-folds only the chunks
+    whose predecessor ended in another state than the one they started from.  It stops when no chunk is stale,
+    which is the sequential result.  Automata that soon forget their past settle in a round or two; the worst
+    case is one round per chunk, never a whole key in one task.
+    """
     keys = list(keys)
     base = df.withColumn(CHUNK, chunk)
-    fields = T._parse_datatype_string(out_schema)
-    out_names = [f.name for f in fields]
-    key_types = [base.schema[k] for k in keys]
+    out_type = T._parse_datatype_string(out_schema)
     full = T.StructType(
-        key_types
-        + [T.StructField(CHUNK, T.LongType()), T.StructField("_state", T.StringType())]
-        + [T.StructField("_out", fields)]
+        [base.schema[k] for k in keys]
+        + [T.StructField(CHUNK, T.LongType()), T.StructField("_state", T.StringType()), T.StructField("_out", out_type)]
     )
-    order = list(order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in [*keys, CHUNK]}
-        given = pdf["_given"].iloc[0]
-        rows, state = step(pdf.sort_values(order, kind="stable"), json.loads(given) if given else None)
-        records = rows[out_names].to_dict("records")
-        result = pd.DataFrame({"_out": [None, *records]})
-        for k, v in head.items():
-            result[k] = v
-        result["_state"] = [json.dumps(state)] + [None] * len(records)
-        return result[[*keys, CHUNK, "_state", "_out"]]
+    names = [f.name for f in out_type.fields]
+    width = len(keys) + 1  # keys and chunk; the given state is the last group column
+
+    def begin(group: tuple) -> dict:
+        return {"head": group[:width], "fold": json.loads(group[width]) if group[width] else start()}
+
+    def advance(state: dict, row: tuple):
+        made = step(state["fold"], row)
+        return None if made is None else (*state["head"], None, dict(zip(names, made)))
+
+    def end(group: tuple, state: dict) -> list:
+        return [(*group[:width], json.dumps(state["fold"]), None)]
 
     def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys, CHUNK).applyInPandas(run, full)
+        return fold_sorted(rows, [*keys, CHUNK, "_given"], order, fields, begin, advance, end, full)
 
     across = Window.partitionBy(*keys).orderBy(CHUNK)
-    done = cut(fold(base.withColumn("_given", F.lit(None).cast("string"))))
-    given = done.where("_out is null").select(*keys, CHUNK, F.lit(None).cast("string").alias("_given"))
+    done = cut(fold(base.withColumn("_given", F.lit(""))))
+    used = done.where("_out is null").select(*keys, CHUNK, F.lit("").alias("_used"))
     for _ in range(max_rounds):
         ends = done.where("_out is null").select(*keys, CHUNK, "_state")
-        due = ends.select(*keys, CHUNK, F.lag("_state").over(across).alias("_given"))
-        checked = due.join(given.withColumnRenamed("_given", "_used"), [*keys, CHUNK])
-        stale = cut(checked.where(~F.col("_given").eqNullSafe(F.col("_used"))).drop("_used"))
+        due = ends.select(*keys, CHUNK, F.coalesce(F.lag("_state").over(across), F.lit("")).alias("_given"))
+        stale = cut(due.join(used, [*keys, CHUNK]).where("_given != _used").drop("_used"))
         if stale.isEmpty():
             break
-        kept = done.join(stale.select(*keys, CHUNK), [*keys, CHUNK], "left_anti")
+        redone = stale.select(*keys, CHUNK)
+        kept = done.join(redone, [*keys, CHUNK], "left_anti")
         done = cut(kept.unionByName(fold(base.join(stale, [*keys, CHUNK]))))
-        given = cut(given.join(stale.select(*keys, CHUNK), [*keys, CHUNK], "left_anti").unionByName(stale))
+        used = cut(used.join(redone, [*keys, CHUNK], "left_anti").unionByName(stale.withColumnRenamed("_given", "_used")))
     else:
         raise RuntimeError("ordered fold did not settle")
     return done.where("_out is not null").select(*keys, "_out.*")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daytrace.operators.ordered import CHUNK, Ordered, chunked_fold, ordinal_chunk, with_halo
@@ -51,18 +50,17 @@ def pairs_within_budget(
         .where("_n = 2")
     )
 
-    def step(rows: pd.DataFrame, state):
-        recent = state or []
-        kept = []
-        for p, a, b, ta, tb in rows[["pair_idx", "first_id", "second_id", "_t1", "_t2"]].itertuples(index=False):
-            if ta + tb + sum(t for _, t in recent) > budget:
-                continue
-            kept.append((int(p), int(a), int(b), [i for i, _ in recent]))
-            recent = (recent + [[int(a), int(ta)], [int(b), int(tb)]])[-history:]
-        return pd.DataFrame(kept, columns=["pair_idx", "first_id", "second_id", "history_ids"]), recent
+    def step(state: dict, row: tuple):
+        pair, a, b, ta, tb = (int(v) for v in row)
+        recent = state["recent"]
+        if ta + tb + sum(t for _, t in recent) > budget:
+            return None
+        state["recent"] = (recent + [[a, ta], [b, tb]])[-history:]
+        return pair, a, b, [i for i, _ in recent]
 
     return chunked_fold(
-        by_pair, keys, ["pair_idx"], ordinal_chunk("pair_idx", chunk_pairs), step,
+        by_pair, keys, ["pair_idx"], ordinal_chunk("pair_idx", chunk_pairs),
+        ["pair_idx", "first_id", "second_id", "_t1", "_t2"], lambda: {"recent": []}, step,
         "pair_idx bigint, first_id bigint, second_id bigint, history_ids array<bigint>",
     )
 

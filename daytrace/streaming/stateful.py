@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from daytrace.operators.frames import CHANGE_PERCENT, STABLE_SECONDS, stable_step
+from daytrace.operators.frames import CHANGE_PERCENT, STABLE_SECONDS, stable_start, stable_step
 
 
 def _keyed(stream: DataFrame, key: str, fold, schema: str) -> DataFrame:
@@ -83,9 +83,13 @@ def stream_stable_frames(
 ) -> DataFrame:
     """Stable-state detection over ordered frame signatures (seq, fps, sig)."""
     step = stable_step(change, seconds)
-    return _keyed(
-        stream.select(key, "seq", "fps", "sig"), key, lambda pdf, m: step(pdf.sort_values("seq"), m),
-        "frame_id int, global_idx bigint")
+
+    def fold(pdf: pd.DataFrame, memory):
+        memory = memory or stable_start()
+        made = [step(memory, row) for row in pdf.sort_values("seq")[["seq", "fps", "sig"]].itertuples(index=False)]
+        return pd.DataFrame([m for m in made if m], columns=["frame_id", "global_idx"]), memory
+
+    return _keyed(stream.select(key, "seq", "fps", "sig"), key, fold, "frame_id int, global_idx bigint")
 
 
 def stream_windows(stream: DataFrame, key: str, seconds: int, anchor_seconds: int = 0, delay: str = "10 minutes") -> DataFrame:

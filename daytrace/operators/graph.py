@@ -11,15 +11,23 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from daytrace.session import cut
+from daytrace.session import cut, cut_counted
 
+# Graphs, or what rounds have left of them, with at most this many edges are finished by one ordered pass.
 FOLD_EDGES = 200_000
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def _per_key(rows: DataFrame, keys: list[str], by: list[str], fn, schema) -> DataFrame:
+    """Grouped pass over rows whose number has been checked; one group when there are no keys."""
+    if keys or by:
+        return rows.groupBy(*keys, *by).applyInPandas(fn, schema)
+    return rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: fn(pdf.drop(columns="_g")), schema)
+
+
+def connected_components(edges: DataFrame, keys: Sequence[str] = (), fold_edges: int = FOLD_EDGES) -> DataFrame:
     """Every node of ``edges(i, j)`` with ``component`` = its smallest reachable id, per key.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014): each replaces edges by edges to a
+    Graphs above ``fold_edges`` edges run in rounds: alternates the large-star and small-star steps (Kiveris et al., 2014): each replaces edges by edges to a
     neighbourhood minimum until only stars remain, in about log²(n) rounds whatever the diameter.
     """
     keys = list(keys)
@@ -49,6 +57,28 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
         edges.where(F.col("i") != F.col("j"))
         .select(*keys, F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct()
     )
+    if seen["n"] <= fold_edges:
+        id_type = edges.schema["i"].dataType.simpleString()
+        names = [f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys]
+
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            root: dict = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in zip(pdf["u"], pdf["v"]):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+            out = pd.DataFrame({"id": list(root), "component": [find(x) for x in list(root)]})
+            for k in keys:
+                out[k] = pdf[k].iloc[0]
+            return out[[*keys, "id", "component"]]
+
+        return _per_key(current, keys, [], fold, ", ".join([*names, f"id {id_type}", f"component {id_type}"]))
     while seen["n"]:
         current, now = written(stars(stars(current, large=True), large=False))
         if now == seen:
@@ -59,6 +89,12 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return members.unionByName(roots)
 
 
+def _cut_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]
+
+
 def _components_by_size(edges: DataFrame, keys: Sequence[str], limit: int):
     """Edges with their component, split into those of components with at most ``limit`` edges and the rest."""
     comp = connected_components(edges, keys).withColumnRenamed("id", "i")
@@ -81,7 +117,7 @@ def first_come_set(
     """
     keys = list(keys)
     on_i, on_j = [*keys, "i"], [*keys, "j"]
-    todo = cut(edges.select(*keys, "i", "j").distinct())
+    todo, n = cut_counted(edges.select(*keys, "i", "j").distinct())
     decided: list[DataFrame] = []
     names = [f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys]
     id_type = edges.schema["i"].dataType.simpleString()
@@ -98,25 +134,31 @@ def first_come_set(
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "id", "kept"]]
 
-    while not todo.isEmpty():
+    schema = ", ".join([*names, f"id {id_type}", "kept boolean"])
+    while n > fold_edges:
         for _ in range(rounds_before_fold):
             blocked = todo.select(*keys, F.col("j").alias("i")).distinct().withColumn("_b", F.lit(True))
             marked = todo.join(blocked, on_i, "left").select(*keys, "i", "j", F.col("_b").isNull().alias("free_i"))
             lost = marked.groupBy(*on_j).agg(F.bool_or("free_i").alias("lost_j"))
             lost_as_i = lost.select(*keys, F.col("j").alias("i"), F.col("lost_j").alias("lost_i"))
-            marked = cut(marked.join(lost, on_j).join(lost_as_i, on_i, "left").na.fill(False, ["lost_i"]))
+            marked = marked.join(lost, on_j).join(lost_as_i, on_i, "left").na.fill(False, ["lost_i"])
+            open_edge = F.expr("not free_i and not lost_j and not lost_i")
+            marked, n = _cut_counting(marked, open_edge)
             decided.append(marked.where("free_i").select(*keys, F.col("i").alias("id"), F.lit(True).alias("kept")))
             # a node not lost whose earlier neighbours are all lost is kept
             fate = marked.groupBy(*on_j).agg(F.bool_or("lost_j").alias("_l"), F.bool_and("lost_i").alias("_a"))
             decided.append(fate.where("_l or _a").select(*keys, F.col("j").alias("id"), (~F.col("_l")).alias("kept")))
-            todo = marked.where("not free_i and not lost_j and not lost_i").select(*keys, "i", "j")
-            if todo.isEmpty():
+            todo = marked.where(open_edge).select(*keys, "i", "j")
+            if n <= fold_edges:
                 break
         else:
             small, large = _components_by_size(todo, keys, fold_edges)
-            solved = small.groupBy(*keys, "component").applyInPandas(fold, ", ".join([*names, f"id {id_type}", "kept boolean"]))
-            decided.append(cut(solved))
-            todo = cut(large)
+            decided.append(cut(small.groupBy(*keys, "component").applyInPandas(fold, schema)))
+            todo, n = cut_counted(large)
+            if not n:
+                break
+    if n:
+        decided.append(_per_key(todo, keys, [], fold, schema))
     if not decided:
         return edges.select(*keys, F.col("i").alias("id"), F.lit(True).alias("kept")).limit(0)
     out = decided[0]
@@ -141,7 +183,7 @@ def greedy_matching(
     on_i, on_j = [*keys, "i"], [*keys, "j"]
     cap_l = left.select(*keys, F.col("id").alias("i"), F.col("n").cast("bigint").alias("ni"))
     cap_r = right.select(*keys, F.col("id").alias("j"), F.col("n").cast("bigint").alias("nj"))
-    todo = cut(pairs.select(*keys, "i", "j", score).join(cap_l, on_i).join(cap_r, on_j).select(*keys, "i", "j", score, "ni", "nj"))
+    todo, n = cut_counted(pairs.select(*keys, "i", "j", score).join(cap_l, on_i).join(cap_r, on_j).select(*keys, "i", "j", score, "ni", "nj"))
     taken: list[DataFrame] = []
     out_cols = [*keys, "i", "j", score, "m"]
     schema = todo.select(*keys, "i", "j", score, F.col("ni").alias("m")).schema
@@ -156,7 +198,7 @@ def greedy_matching(
                 rows.append([*(getattr(row, k) for k in keys), row.i, row.j, getattr(row, score), m])
         return pd.DataFrame(rows, columns=out_cols)
 
-    while not todo.isEmpty():
+    while n > fold_edges:
         for _ in range(rounds_before_fold):
             by_i = todo.groupBy(*on_i).agg(F.max(rank).alias("_b")).select(*keys, "_b.i", "_b.j")
             by_j = todo.groupBy(*on_j).agg(F.max(rank).alias("_b")).select(*keys, "_b.i", "_b.j")
@@ -169,8 +211,8 @@ def greedy_matching(
                 .withColumn("nj", F.col("nj") - F.coalesce("_mj", F.lit(0)))
                 .where("ni > 0 and nj > 0").select(*todo.columns)
             )
-            todo = cut(rest)
-            if todo.isEmpty():
+            todo, n = cut_counted(rest)
+            if n <= fold_edges:
                 break
         else:
             # the two sides are different sets, so their ids must not meet inside one component
@@ -182,7 +224,11 @@ def greedy_matching(
             tagged = tagged.join(sizes, [*keys, "component"])
             small = tagged.where(F.col("_m") <= fold_edges)
             taken.append(cut(small.groupBy(*keys, "component").applyInPandas(fold, schema)))
-            todo = cut(tagged.where(F.col("_m") > fold_edges).select(*todo.columns))
+            todo, n = cut_counted(tagged.where(F.col("_m") > fold_edges).select(*todo.columns))
+            if not n:
+                break
+    if n:
+        taken.append(_per_key(todo, keys, [], fold, schema))
     if not taken:
         return todo.withColumn("m", F.col("ni")).select(*out_cols)
     out = taken[0]

@@ -232,7 +232,7 @@ TAU = 0.02
 TOKENS = """tok AS MATERIALIZED (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS ts FROM documents)"""
 
 
-@query("m2_rerank_clusters", f"""WITH RECURSIVE {V}, {TOKENS}, cand AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.vec, b.vec) >= {THETA}),
+@query("m2_rerank_clusters", f"""WITH RECURSIVE {V}, {TOKENS}, cand AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.vec, b.vec) >= {THETA}),
 edges AS (SELECT i, j FROM cand JOIN tok x ON x.id = i JOIN tok y ON y.id = j
   WHERE len(list_intersect(x.ts, y.ts)) / nullif(len(list_distinct(list_concat(x.ts, y.ts))), 0) >= {TAU}),
 sym AS (SELECT i AS s, j AS d FROM edges UNION SELECT j, i FROM edges UNION SELECT id, id FROM v),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "daytrace", cpus: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -50,3 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/daytrace/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` plus the number of rows, observed during the write."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]

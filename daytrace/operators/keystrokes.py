@@ -85,12 +85,11 @@ def _delete(stack: list, op: str):
 
 
 def typed_text(
-    presses: DataFrame, keys: Sequence[str], order: str = "ord", chunk: Column | None = None
+    presses: DataFrame, keys: Sequence[str], order: str = "ord", chunk_size: int | None = 65_536
 ) -> DataFrame:
-    """One row per key with the reconstructed ``text``.  Keys without any edit give an empty text."""
+    """One row per key with the reconstructed ``text``.  Keys without any edit give an empty text.
+    ``chunk_size=None`` folds each key at once, for keys known to be small."""
     keys = list(keys)
-    chunk = ordinal_chunk(order) if chunk is None else chunk
-    rows = edits(presses).select(*keys, order, chunk.alias(CHUNK), "op", "piece")
     heads = [presses.schema[k] for k in keys]
     strings = T.ArrayType(T.StringType())
     reduced_type = T.StructType([*heads, T.StructField(CHUNK, T.LongType()), T.StructField("owed", strings), T.StructField("stack", strings)])
@@ -110,9 +109,18 @@ def typed_text(
             _delete(state["stack"], op)
         state["stack"].extend(row[1])
 
-    reduced = fold_sorted(
-        rows, [*keys, CHUNK], [order], ["op", "piece"], empty, edit, lambda g, s: [(*g, s["owed"], s["stack"])], reduced_type)
-    texts = fold_sorted(
-        reduced, keys, [CHUNK], ["owed", "stack"], empty, join, lambda g, s: [(*g, "".join(s["stack"]))],
-        T.StructType([*heads, T.StructField("text", T.StringType())]))
+    text_type = T.StructType([*heads, T.StructField("text", T.StringType())])
+
+    def text(group: tuple, state: dict) -> list:
+        return [(*group, "".join(state["stack"]))]
+
+    rows = edits(presses)
+    if chunk_size is None:
+        texts = fold_sorted(rows, keys, [order], ["op", "piece"], empty, edit, text, text_type)
+    else:
+        rows = rows.withColumn(CHUNK, ordinal_chunk(order, chunk_size))
+        reduced = fold_sorted(
+            rows, [*keys, CHUNK], [order], ["op", "piece"], empty, edit,
+            lambda group, state: [(*group, state["owed"], state["stack"])], reduced_type)
+        texts = fold_sorted(reduced, keys, [CHUNK], ["owed", "stack"], empty, join, text, text_type)
     return presses.select(*keys).distinct().join(texts, keys, "left").na.fill("", ["text"])

@@ -9,6 +9,7 @@ borders.  The summaries are aggregated map-side, so only they meet in one place
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,25 +27,50 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def time_chunk(ts: Column | str, seconds: int = DAY) -> Column:
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def time_chunk(ts: Column | str, seconds: int | None = DAY) -> Column | None:
+    return None if seconds is None else F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def ordinal_chunk(ordinal: Column | str, size: int = 65_536) -> Column:
+def ordinal_chunk(ordinal: Column | str, size: int | None = 65_536) -> Column | None:
     c = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    return F.floor(c / F.lit(size)).cast("bigint")
+    return None if size is None else F.floor(c / F.lit(size)).cast("bigint")
+
+
+def fitting_width(df: DataFrame, keys: Sequence[str], position: Column, target_rows: int = 250_000) -> int | None:
+    """Chunk width, in units of ``position``, that gives the largest key about ``target_rows`` rows per chunk.
+    ``None`` when no key has more rows than that, so that plain windows are safe.
+
+    One small job over the key and position columns: per-key counts aggregate map-side and only three numbers
+    reach the driver.
+    """
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))
+    n, lo, hi = per_key.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+    if n is None or n <= target_rows:
+        return None
+    return max(1, math.ceil((hi - lo + 1) / math.ceil(n / target_rows)))
+
+
+def fitting_seconds(df: DataFrame, keys: Sequence[str], ts: str = "ts", target_rows: int = 250_000) -> int | None:
+    return fitting_width(df, keys, F.floor(micros(ts) / F.lit(1_000_000)), target_rows)
+
+
+def fitting_size(df: DataFrame, keys: Sequence[str], ordinal: str, target_rows: int = 250_000) -> int | None:
+    return fitting_width(df, keys, F.col(ordinal), target_rows)
 
 
 class Ordered:
     """Collects order-dependent columns over ``keys`` and computes them in one pass.
 
-    ``chunk`` must be monotone in the first ``order`` column.  ``order`` should be a total order per key.
+    ``chunk`` must be monotone in the first ``order`` column; ``None`` means plain windows, for keys known to be
+    small (see ``fitting_width``).  ``order`` should be a total order per key.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None):
         self.df, self.keys, self.order = df, list(keys), list(order)
-        self.base = df.withColumn(CHUNK, chunk)
-        self.row = Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
+        self.whole = chunk is None
+        self.base = df if self.whole else df.withColumn(CHUNK, chunk)
+        parts = self.keys if self.whole else [*self.keys, CHUNK]
+        self.row = Window.partitionBy(*parts).orderBy(*self.order)
         self.cross = Window.partitionBy(*self.keys).orderBy(CHUNK)
         self.position = F.struct(*[F.col(c) for c in self.order])
         self.local: dict[str, Column] = {}
@@ -57,6 +83,9 @@ class Ordered:
         boxed = F.struct(value.alias("v"))
         pick, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
         self.local[f"_l_{name}"] = shift(boxed).over(self.row)
+        if self.whole:
+            self.final[name] = F.col(f"_l_{name}")["v"]
+            return self
         self.summary[f"_s_{name}"] = pick(boxed, self.position)
         self.across[f"_a_{name}"] = shift(F.col(f"_s_{name}")).over(self.cross)
         self.final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_a_{name}"))["v"]
@@ -72,6 +101,9 @@ class Ordered:
         """0-based position in the key."""
         before = self.cross.rowsBetween(Window.unboundedPreceding, -1)
         self.local[f"_l_{name}"] = F.row_number().over(self.row)
+        if self.whole:
+            self.final[name] = (F.col(f"_l_{name}") - 1).cast("bigint")
+            return self
         self.summary[f"_s_{name}"] = F.count(F.lit(1))
         self.across[f"_a_{name}"] = F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0))
         self.final[name] = (F.col(f"_a_{name}") + F.col(f"_l_{name}") - 1).cast("bigint")
@@ -82,6 +114,9 @@ class Ordered:
         upto = self.row.rowsBetween(Window.unboundedPreceding, 0)
         before = self.cross.rowsBetween(Window.unboundedPreceding, -1)
         self.local[f"_l_{name}"] = F.last(value, ignorenulls=True).over(upto)
+        if self.whole:
+            self.final[name] = F.col(f"_l_{name}")
+            return self
         self.summary[f"_s_{name}"] = F.max_by(value, F.when(value.isNotNull(), self.position))
         self.across[f"_a_{name}"] = F.last(F.col(f"_s_{name}"), ignorenulls=True).over(before)
         self.final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_a_{name}"))
@@ -92,6 +127,9 @@ class Ordered:
         upto = self.row.rowsBetween(Window.unboundedPreceding, 0)
         before = self.cross.rowsBetween(Window.unboundedPreceding, -1)
         self.local[f"_l_{name}"] = agg(value).over(upto)
+        if self.whole:
+            self.final[name] = merge(F.col(f"_l_{name}"), F.lit(None))
+            return self
         self.summary[f"_s_{name}"] = agg(value)
         self.across[f"_a_{name}"] = agg(F.col(f"_s_{name}")).over(before)
         self.final[name] = merge(F.col(f"_l_{name}"), F.col(f"_a_{name}"))
@@ -115,10 +153,11 @@ class Ordered:
 
     def done(self) -> DataFrame:
         rows = self.base.select("*", *[c.alias(n) for n, c in self.local.items()])
+        finals = [c.alias(n) for n, c in self.final.items()]
+        if self.whole:
+            return rows.select(*self.df.columns, *finals)
         carried = self._summaries().select(*self.keys, CHUNK, *[c.alias(n) for n, c in self.across.items()])
-        return rows.join(carried, [*self.keys, CHUNK]).select(
-            *self.df.columns, *[c.alias(n) for n, c in self.final.items()]
-        )
+        return rows.join(carried, [*self.keys, CHUNK]).select(*self.df.columns, *finals)
 
 
 def with_halo(df: DataFrame, ordinal: str, size: int, before: int, after: int = 0) -> DataFrame:
@@ -176,7 +215,7 @@ def fold_sorted(
 
 
 def chunked_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fields: Sequence[str],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, fields: Sequence[str],
     start: Callable, step: Callable, out_schema: str, max_rounds: int = 10_000,
 ) -> DataFrame:
     """Ordered fold with carried state, spread over chunks instead of one task per key.
@@ -185,10 +224,11 @@ def chunked_fold(
     ``fold_sorted``.  Round 0 folds every chunk from the start state; each later round re-folds only the chunks
     whose predecessor ended in another state than the one they started from.  It stops when no chunk is stale,
     which is the sequential result.  Automata that soon forget their past settle in a round or two; the worst
-    case is one round per chunk, never a whole key in one task.
+    case is one round per chunk, never a whole key in one task.  ``chunk=None`` folds each key at once, for
+    keys known to be small.
     """
     keys = list(keys)
-    base = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, F.lit(0).cast("bigint") if chunk is None else chunk)
     out_type = T._parse_datatype_string(out_schema)
     full = T.StructType(
         [base.schema[k] for k in keys]
@@ -210,6 +250,9 @@ def chunked_fold(
     def fold(rows: DataFrame) -> DataFrame:
         return fold_sorted(rows, [*keys, CHUNK, "_given"], order, fields, begin, advance, end, full)
 
+    if chunk is None:
+        only = fold(base.withColumn("_given", F.lit("")))
+        return only.where("_out is not null").select(*keys, "_out.*")
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     done = cut(fold(base.withColumn("_given", F.lit(""))))
     used = done.where("_out is null").select(*keys, CHUNK, F.lit("").alias("_used"))

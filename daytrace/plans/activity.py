@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from daytrace.functions import text as tx
 from daytrace.operators import frames as fr
 from daytrace.operators import keystrokes, pairs, sessions
-from daytrace.operators.ordered import Ordered, ordinal_chunk
+from daytrace.operators.ordered import Ordered, fitting_seconds, fitting_size, ordinal_chunk, time_chunk
 from daytrace.plans.registry import query, r6, table, us
 
 TYPES = ["click", "error", "purchase", "signup"]
@@ -30,22 +30,23 @@ def activity(spark, sf) -> DataFrame:
     )
 
 
-def session_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+def session_tables(spark, sf) -> tuple[DataFrame, DataFrame, int | None]:
     rows = activity(spark, sf)
-    ses = sessions.build_sessions(rows.where("event_type = 'view'").select("user", "ts", "ord"), ["user"])
-    return ses, sessions.assign_events(ses, rows.where("event_type <> 'view'"), ["user"])
+    width = fitting_seconds(rows, ["user"])
+    ses = sessions.build_sessions(rows.where("event_type = 'view'").select("user", "ts", "ord"), ["user"], width)
+    return ses, sessions.assign_events(ses, rows.where("event_type <> 'view'"), ["user"], width), width
 
 
 @query("w1_session_bounds", f"""WITH {EV}, {SES} SELECT u AS "user", sid AS session_id, s AS start_us, e AS end_us,
   round((e - s) / 1e6, 6) AS duration FROM ses""")
 def session_bounds(spark, sf):
-    ses, _ = session_tables(spark, sf)
+    ses, _, _ = session_tables(spark, sf)
     return ses.select("user", "session_id", us("start").alias("start_us"), us("end").alias("end_us"), r6("duration", "duration"))
 
 
 @query("j1_assign_events", f"""WITH {EV}, {SES}, {ASG} SELECT u AS "user", sid AS session_id, ord AS event_id FROM asg""")
 def assign(spark, sf):
-    _, asg = session_tables(spark, sf)
+    _, asg, _ = session_tables(spark, sf)
     return asg.select("user", "session_id", F.col("ord").alias("event_id"))
 
 
@@ -56,7 +57,7 @@ SELECT ses.u AS "user", ses.sid AS session_id, round((e - s) / 1e6, 6) AS durati
   coalesce(c1, 0) AS n_click, coalesce(c2, 0) AS n_error, coalesce(c3, 0) AS n_purchase, coalesce(c4, 0) AS n_signup
 FROM ses LEFT JOIN c ON ses.u = c.u AND ses.sid = c.sid""")
 def session_activity(spark, sf):
-    ses, asg = session_tables(spark, sf)
+    ses, asg, _ = session_tables(spark, sf)
     out = sessions.activity_counts(ses, asg, ["user"], TYPES)
     return out.select("user", "session_id", r6("duration", "duration"), "n_events", *[f"n_{t}" for t in TYPES])
 
@@ -77,7 +78,7 @@ SELECT u AS "user", CAST(isl - 1 AS BIGINT) AS id, min(ord) AS first_event, any_
   round(sum(x), 4) AS duration FROM g GROUP BY u, isl""")
 def islands(spark, sf):
     rows = activity(spark, sf).select("user", "ord", "event_type", F.col("x").alias("duration"))
-    out = sessions.merge_repeats(rows, ["user"], ["event_type"], ["ord"], ordinal_chunk("ord"))
+    out = sessions.merge_repeats(rows, ["user"], ["event_type"], ["ord"], ordinal_chunk("ord", fitting_size(rows, ["user"], "ord")))
     return out.select("user", "id", F.col("ord").alias("first_event"), "event_type", r6("duration", "duration", 4))
 
 
@@ -85,10 +86,10 @@ def islands(spark, sf):
   FROM asg WHERE et = 'click' WINDOW w AS (PARTITION BY u, sid ORDER BY us, ord))
 SELECT u AS "user", sid AS session_id, ord AS event_id, round(coalesce(sqrt((x-px)*(x-px) + (y-py)*(y-py)), 0), 4) AS step FROM m""")
 def pointer_steps(spark, sf):
-    _, asg = session_tables(spark, sf)
+    _, asg, width = session_tables(spark, sf)
     keys = ["user", "session_id"]
     rows = (
-        Ordered(asg.where("event_type = 'click'"), keys, ["ts", "ord"], sessions.time_chunk("ts"))
+        Ordered(asg.where("event_type = 'click'"), keys, ["ts", "ord"], time_chunk("ts", width))
         .lag("px", F.col("x")).lag("py", F.col("y")).done()
     )
     step = F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0))
@@ -104,9 +105,9 @@ SELECT b.u AS "user", b.sid AS session_id, round(coalesce(path, 0), 6) AS total_
   round(CASE WHEN dur > 0 THEN coalesce(path, 0) / dur ELSE 0 END, 6) AS avg_speed_px_s, clicks AS click_count,
   round(area, 6) AS screen_area_used FROM b LEFT JOIN p ON b.u = p.u AND b.sid = p.sid""")
 def pointer_metrics(spark, sf):
-    _, asg = session_tables(spark, sf)
+    _, asg, width = session_tables(spark, sf)
     out = sessions.mouse_metrics(
-        asg, ["user", "session_id"], move_type="click", click=F.col("event_type") == "purchase", jump=300.0, digits=6)
+        asg, ["user", "session_id"], move_type="click", click=F.col("event_type") == "purchase", jump=300.0, digits=6, chunk_seconds=width)
     return out.select(
         "user", "session_id", r6("total_distance_px", "total_distance_px"), r6("avg_speed_px_s", "avg_speed_px_s"),
         "click_count", r6("screen_area_used", "screen_area_used"))
@@ -116,7 +117,7 @@ def pointer_metrics(spark, sf):
 SELECT u AS "user", ord AS event_id, round(fl, 6) AS flight FROM f WHERE fl < 20000""")
 def flight_times(spark, sf):
     rows = activity(spark, sf).where("event_type <> 'view'").withColumn("t", us("ts") / F.lit(1e6))
-    out = Ordered(rows, ["user"], ["ord"], ordinal_chunk("ord")).lead("nt", F.col("t")).done()
+    out = Ordered(rows, ["user"], ["ord"], ordinal_chunk("ord", fitting_size(rows, ["user"], "ord"))).lead("nt", F.col("t")).done()
     flight = F.round(F.col("nt") - F.col("t"), 6)
     return out.where(flight < 20000).select("user", F.col("ord").alias("event_id"), r6(flight, "flight"))
 
@@ -131,9 +132,10 @@ SELECT u AS "user", sid AS session_id, CASE WHEN presses < 2 THEN 1 ELSE 0 END A
   round(CASE WHEN presses >= 2 AND n > 0 THEN av ELSE 0 END, 1) AS avg_flight_time,
   round(CASE WHEN presses >= 2 AND n > 0 THEN coalesce(sd, 0) ELSE 0 END, 1) AS flight_time_sd FROM g""")
 def typing(spark, sf):
-    _, asg = session_tables(spark, sf)
+    _, asg, width = session_tables(spark, sf)
     rows = asg.withColumn("timestamp_precise", us("ts") / F.lit(1e6))
-    out = sessions.typing_metrics(rows, ["user", "session_id"], pause=20000.0, time_digits=1)
+    size = fitting_size(activity(spark, sf), ["user"], "ord")
+    out = sessions.typing_metrics(rows, ["user", "session_id"], pause=20000.0, time_digits=1, chunk_size=size)
     return out.select(
         "user", "session_id", F.col("note").isNotNull().cast("int").alias("short"),
         F.coalesce("sample_size", F.lit(0)).alias("sample_size"), r6("kps", "kps", 2), r6("wpm", "wpm", 2),
@@ -157,7 +159,7 @@ def typed(spark, sf):
     presses = rows.select(
         "user", "ord", F.lit("key_press").alias("event_type"), F.lit("down").alias("action"),
         key.alias("key_char"), held.alias("modifiers"))
-    return keystrokes.typed_text(presses, ["user"])
+    return keystrokes.typed_text(presses, ["user"], chunk_size=fitting_size(rows, ["user"], "ord"))
 
 
 @query("w5_w6_pairs_history", """WITH t AS (SELECT conv_id, turn, role || ':' || length(text) AS tag FROM conversations),
@@ -190,8 +192,9 @@ r AS (SELECT lang, CAST(-1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS a, CAST(0 AS BI
 SELECT lang, p AS pair_idx, a AS first_id, b AS second_id, hist AS history FROM r WHERE kept""")
 def budget_pairs(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "doc_id", tx.token_count("text").alias("tokens"))
-    placed = Ordered(docs, ["lang"], ["doc_id"], ordinal_chunk("doc_id")).ordinal("idx").done()
-    out = pairs.pairs_within_budget(placed, ["lang"], "idx", "tokens", history=2, budget=W7_BUDGET, chunk_pairs=2048)
+    placed = Ordered(docs, ["lang"], ["doc_id"], ordinal_chunk("doc_id", fitting_size(docs, ["lang"], "doc_id"))).ordinal("idx").done()
+    size = fitting_size(placed, ["lang"], "idx")
+    out = pairs.pairs_within_budget(placed, ["lang"], "idx", "tokens", history=2, budget=W7_BUDGET, chunk_pairs=size)
     return out.select("lang", "pair_idx", "first_id", "second_id", F.array_join(F.col("history_ids").cast("array<string>"), ",").alias("history"))
 
 
@@ -232,7 +235,8 @@ SELECT conv_id, batch_id, string_agg(CAST(pair_idx AS VARCHAR), ',' ORDER BY pai
 FROM n GROUP BY conv_id, batch_id""")
 def batches(spark, sf):
     s, t = layers(spark, sf)
-    out = pairs.batch_observations(pairs.join_layers(s, t, ["conv_id", "pair_idx"]), ["conv_id"], k=2)
+    both = pairs.join_layers(s, t, ["conv_id", "pair_idx"])
+    out = pairs.batch_observations(both, ["conv_id"], k=2, chunk_size=fitting_size(s, ["conv_id"], "pair_idx"))
     return out.select(
         "conv_id", "batch_id", F.array_join(F.col("pair_indices").cast("array<string>"), ",").alias("pair_indices"),
         F.md5("content").alias("content"), F.col("start").alias("start_turn"), F.col("end").alias("end_turn"), "missing_ranges")
@@ -240,7 +244,12 @@ def batches(spark, sf):
 
 def dense_events(spark, sf) -> DataFrame:
     rows = activity(spark, sf)
-    return Ordered(rows, ["user"], ["ts", "ord"], sessions.time_chunk("ts")).ordinal("pos").done()
+    return Ordered(rows, ["user"], ["ts", "ord"], time_chunk("ts", fitting_seconds(rows, ["user"]))).ordinal("pos").done()
+
+
+def dense_size(spark, sf) -> int | None:
+    """Chunk size for dense per-user positions; None when no user is large."""
+    return None if fitting_size(activity(spark, sf), ["user"], "ord") is None else 250_000
 
 
 DENSE = f"""WITH {EV}, d AS (SELECT u, us, ord, y, row_number() OVER (PARTITION BY u ORDER BY us, ord) - 1 AS pos,
@@ -287,7 +296,7 @@ SEG = f"""{DENSE}, g AS (SELECT u, pos, CAST(sum(y) OVER w - y + 1 AS BIGINT) AS
 
 def segments(spark, sf):
     rows = dense_events(spark, sf).withColumn("frames", F.col("y").cast("bigint")).withColumn("seconds", F.lit(30.0))
-    return fr.segment_bounds(rows, ["user"], "pos", "frames", "seconds")
+    return fr.segment_bounds(rows, ["user"], "pos", "frames", "seconds", dense_size(spark, sf))
 
 
 @query("w8_segment_bounds", f"""{SEG} SELECT u AS "user", pos, start_idx, end_idx, round(fps, 6) AS fps FROM g""")
@@ -301,7 +310,8 @@ SELECT f.u AS "user", f.ord AS event_id, f.idx AS global_idx, coalesce(g.pos, -1
 FROM f LEFT JOIN g ON g.u = f.u AND f.idx BETWEEN g.start_idx AND g.end_idx""")
 def locate(spark, sf):
     frames = activity(spark, sf).select("user", F.col("ord").alias("event_id"), (1 + (F.col("ord") * 37) % 6000).alias("global_idx"))
-    out = fr.locate_frames(frames, segments(spark, sf), ["user"], ["pos"])
+    size = fitting_size(frames, ["user"], "global_idx")
+    out = fr.locate_frames(frames, segments(spark, sf), ["user"], ["pos"], size)
     return out.select(
         "user", "event_id", "global_idx", F.coalesce("pos", F.lit(-1)).alias("segment"),
         r6(F.coalesce("video_offset_sec", F.lit(-1.0)), "video_offset_sec"))
@@ -322,7 +332,7 @@ def stable(spark, sf):
     level = F.floor(F.col("y") / 40).cast("int") * 100
     frames = dense_events(spark, sf).select(
         "user", (F.col("pos") + 1).alias("seq"), F.lit(2.0).alias("fps"), F.array(level, level).alias("sig"))
-    return fr.stable_frames(frames, ["user"], chunk_size=2048)
+    return fr.stable_frames(frames, ["user"], chunk_size=dense_size(spark, sf))
 
 
 @query("t1_tumbling_windows", f"""WITH {EV}, w AS (SELECT u, x, CAST(floor((us - min(us) OVER (PARTITION BY u)) / 1e6 / 86400) AS BIGINT) AS win FROM ev)

@@ -35,3 +35,10 @@ def r6(c: Column | str, name: str, digits: int = 6) -> Column:
     """Rounded double under a name; -0.0 becomes 0.0 so that both engines print the same."""
     col = F.col(c) if isinstance(c, str) else c
     return (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(name)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores before heavy per-row work; tables with
+    enough splits pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

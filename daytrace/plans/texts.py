@@ -10,7 +10,7 @@ from daytrace.operators import evaluate as ev
 from daytrace.operators import infer as nf
 from daytrace.operators import trees
 from daytrace.operators.ordered import Ordered, ordinal_chunk
-from daytrace.plans.registry import query, r6, table
+from daytrace.plans.registry import query, r6, spread, table
 from daytrace.sources import files as src
 from daytrace.sources import sinks
 
@@ -18,7 +18,7 @@ TRIM = r"'^\s+|\s+$', '', 'g'"
 
 
 def docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 @query("f2_layout_decode", """SELECT doc_id, md5(translate(lang || ' <cmd+c> Ghbdsn ' || doc_id || ' [' || source || '];', '', '')) AS original,

@@ -3,7 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
-from daytrace.operators.ordered import CHUNK, Ordered, chunked_fold, ordinal_chunk, with_halo
+from daytrace.operators.ordered import CHUNK, Ordered, chunked_fold, fitting_size, ordinal_chunk, with_halo
 
 
 def series(spark, n=120, seed=1):
@@ -19,7 +19,7 @@ def test_all_columns_equal_plain_windows_for_any_chunk(spark):
     want = rows(df.select(
         "k", "i", F.lead("v").over(w), F.lag("v").over(w), F.row_number().over(w) - 1,
         F.last("v", ignorenulls=True).over(upto), F.coalesce(F.sum("v").over(upto), F.lit(0)), F.max("v").over(upto)).na.fill(-1))
-    for size in (1, 7, 10_000):
+    for size in (1, 7, 10_000, None):
         got = (
             Ordered(df, ["k"], ["i"], ordinal_chunk("i", size)).lead("a", F.col("v")).lag("b", F.col("v")).ordinal("c")
             .fill("d", F.col("v")).running_sum("e", F.col("v")).running_max("f", F.col("v")).done()
@@ -55,6 +55,14 @@ def test_chunked_fold_is_the_sequential_fold(spark):
     for k, seq in by_key.items():
         state = {"s": 0}
         want += [(k, *o) for o in (step(state, r) for r in sorted(seq)) if o]
-    for size in (3, 40, 1000):
-        got = chunked_fold(df, ["k"], ["i"], ordinal_chunk("i", size * 10), ["i", "v"], lambda: {"s": 0}, step, "i long, s int")
+    for size in (30, 400, None):
+        got = chunked_fold(df, ["k"], ["i"], ordinal_chunk("i", size), ["i", "v"], lambda: {"s": 0}, step, "i long, s int")
         assert rows(got) == sorted(want)
+
+
+def test_fitting_size_follows_the_largest_key(spark):
+    df = series(spark)
+    hot = df.where("k = 'hot'").count()
+    assert fitting_size(df, ["k"], "i", hot) is None
+    width = fitting_size(df, ["k"], "i", 10)
+    assert 120 / width >= hot / 10 - 1 and fitting_size(df.limit(0), ["k"], "i") is None

@@ -19,7 +19,7 @@ def test_sessions_are_half_open_and_keep_empty_ones(spark):
     app = log(spark, [("u", 0, 0.0), ("u", 1, 10.0), ("u", 2, 20.0), ("v", 0, 5.0)], "user string, ord long, s double")
     ev = log(spark, [("u", 0, -1.0, "a"), ("u", 1, 0.0, "a"), ("u", 2, 9.9, "a"), ("u", 3, 10.0, "a"), ("u", 4, 20.0, "a"), ("v", 0, 6.0, "a")],
              "user string, ord long, s double, event_type string")
-    for chunk in (1, 7, 86_400):
+    for chunk in (1, 7, 86_400, None):
         ses = sessions.build_sessions(app, ["user"], chunk)
         assert rows(ses, "user", "session_id", "duration") == [("u", 0, 10.0), ("u", 1, 10.0)]
         got = sessions.assign_events(ses, ev, ["user"], chunk)
@@ -41,7 +41,7 @@ def test_mouse_metrics(spark):
 def test_typing_metrics(spark):
     data = [("a", 0, 0.0), ("a", 1, 0.5), ("a", 2, None), ("a", 3, 1.0), ("a", 4, 9.0), ("a", 5, 9.1), ("b", 6, 1.0), ("c", 7, 0.0), ("c", 8, 5.0)]
     df = spark.createDataFrame(data, "k string, ord long, timestamp_precise double")
-    got = {r["k"]: r for r in sessions.typing_metrics(df, ["k"], chunk=ordinal_chunk("ord", 2)).collect()}
+    got = {r["k"]: r for r in sessions.typing_metrics(df, ["k"], chunk_size=2).collect()}
     assert (got["a"]["sample_size"], got["a"]["kps"], got["a"]["wpm"], got["a"]["avg_flight_time"]) == (2, 5.0, 60.0, 0.3)
     assert got["a"]["flight_time_sd"] == 0.2828 and got["b"]["note"] == "Insufficient data" and got["b"]["kps"] == 0.0
     assert got["c"]["note"] is None and got["c"]["kps"] == 0.0
@@ -64,15 +64,15 @@ def test_typed_text_rules_for_any_chunk(spark):
     presses = [("backspace", {}), ("a", shift), ("a", {"shift": True, "caps_lock": True}), ("1", shift), ("space", {}), ("b", {}), ("c", ctrl),
                ("space", cmd), ("s", cmd), ("enter", {}), ("up", {}), (None, {}), (" ", {}), ("d", {}), ("backspace", {}),
                ("tab", {}), ("x", {}), ("y", {}), ("space", {}), ("backspace", ctrl), ("shift", shift)]
-    for size in (1, 2, 3, 1000):
-        got = typed_text(keys(spark, presses), ["user"], chunk=ordinal_chunk("ord", size)).first()["text"]
+    for size in (1, 2, 3, 1000, None):
+        got = typed_text(keys(spark, presses), ["user"], chunk_size=size).first()["text"]
         assert got == "Aa! b<ctrl+c><cmd+shift+s>\n<up><None>\t"
 
 
 def test_word_deletion_crosses_chunks(spark):
     presses = [(c, {}) for c in "ab"] + [("space", {})] + [(c, {}) for c in "cdef"] + [("space", {}), ("backspace", {"ctrl": True}), ("backspace", {})]
     for size in range(1, 9):
-        assert typed_text(keys(spark, presses), ["user"], chunk=ordinal_chunk("ord", size)).first()["text"] == "ab"
+        assert typed_text(keys(spark, presses), ["user"], chunk_size=size).first()["text"] == "ab"
 
 
 def test_pairs_history_and_budget(spark):
@@ -103,5 +103,5 @@ def test_frames_index_and_stable_states(spark):
     assert got[1]["video_offset_sec"] == 0.5 and got[2]["video_source"] is None
     sig = [0, 0, 0, 90, 90, 90, 0, 90, 90, 0, 0, 0]
     fr = spark.createDataFrame([("u", i + 1, 2.0, [s] * 4) for i, s in enumerate(sig)], "user string, seq long, fps double, sig array<int>")
-    for size in (1, 4, 100):
+    for size in (1, 4, 100, None):
         assert rows(stable_frames(fr, ["user"], chunk_size=size)) == [("u", 0, 1), ("u", 1, 4), ("u", 2, 10)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from daytrace.functions.common import let
+
 # Fixed values -----------------------------------------------------------------------------------------
 CODE_WORDS = ["true", "false", "none", "null", "undefined", "div", "span", "body", "view"]
 SINGLE_CHARS_KEPT = ["+", "-", "=", "%", "$"]
@@ -57,9 +59,11 @@ def is_json(c: Column | str) -> Column:
 
 def model_json(c: Column | str) -> Column:
     """JSON text inside a model answer, or null when nothing parses (callers keep the raw text)."""
-    clean = strip_fence(strip_think(c))
-    inner = outer_braces(clean)
-    return F.when(is_json(clean), clean).when(is_json(inner), inner)
+    def pick(clean: Column) -> Column:
+        inner = outer_braces(clean)
+        return F.when(is_json(clean), clean).otherwise(let(inner, lambda i: F.when(is_json(i), i)))
+
+    return let(strip_think(c), lambda t: let(strip_fence(t), pick))
 
 
 def repair_json(c: Column | str) -> Column:
@@ -82,11 +86,14 @@ def drop_repeated_ending(c: Column | str) -> Column:
     """Collapse a repeated last word to one occurrence; words are joined by one blank."""
     words = F.filter(F.split(_col(c), r"\s+"), lambda w: w != "")
     start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"))
-    ending = F.aggregate(
-        words, start, lambda s, w: F.struct(w.alias("word"), F.when(w == s["word"], s["run"] + 1).otherwise(1).alias("run"))
-    )
-    kept = F.greatest(F.size(words) - ending["run"] + 1, F.lit(0))
-    return F.array_join(F.slice(words, F.lit(1), kept), " ")
+
+    def cut(ws: Column) -> Column:
+        ending = F.aggregate(
+            ws, start, lambda s, w: F.struct(w.alias("word"), F.when(w == s["word"], s["run"] + 1).otherwise(1).alias("run"))
+        )
+        return F.array_join(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - ending["run"] + 1, F.lit(0))), " ")
+
+    return let(words, cut)
 
 
 def is_garbage(c: Column | str) -> Column:

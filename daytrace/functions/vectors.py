@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from daytrace.functions.common import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -21,11 +23,6 @@ def clean(v: Column) -> Column:
     return F.transform(v, one)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also when lambdas inside ``body`` use it per element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def normalize(v: Column) -> Column:
     """Unit length, stored as float; a zero vector stays zero."""
     def scaled(c: Column) -> Column:

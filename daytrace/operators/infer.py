@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from daytrace.functions import text as tx
+from daytrace.functions.common import let
 from daytrace.operators.ordered import Ordered, ordinal_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
@@ -149,5 +150,8 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
 
 def lexical_score(a: Column, b: Column) -> Column:
     """Token Jaccard of two texts, the default pair scorer."""
-    x, y = tx.tokenize(a), tx.tokenize(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+    def jaccard(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return F.coalesce(F.try_divide(common, F.size(x) + F.size(y) - common), F.lit(0.0))
+
+    return let(tx.tokenize(a), lambda x: let(tx.tokenize(b), lambda y: jaccard(x, y)))

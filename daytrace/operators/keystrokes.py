@@ -28,19 +28,22 @@ ONE, WORD, REST = "one", "word", "rest"
 
 
 def edits(presses: DataFrame) -> DataFrame:
-    """Adds ``op`` (push / one / word) and ``piece``; rows that type nothing are dropped.
+    """Adds ``op`` (push / one / word) and ``piece``; a key that types nothing pushes nothing.  (Filtering such
+    rows here would copy the whole expression into a pushed-down predicate.)
 
     Input: event_type, action, key_char, modifiers MAP<STRING,BOOLEAN>.
     """
     def held(*names: str) -> Column:
-        out = F.lit(False)
-        for n in names:
-            out = out | F.coalesce(F.col("modifiers")[n], F.lit(False))
-        return out
-
-    key = F.regexp_replace(F.coalesce(F.col("key_char"), F.lit("None")), r"^\s+|\s+$", "")
-    cmd, ctrl = held("cmd", "right_cmd", "meta"), held("ctrl", "right_ctrl")
-    alt, shift, caps = held("alt", "right_alt"), held("shift", "right_shift"), held("caps_lock")
+        return F.coalesce(F.greatest(*[F.coalesce(F.col("modifiers")[n], F.lit(False)) for n in names]), F.lit(False))
+
+    # named columns first, so that each is computed once and not at every use below
+    rows = presses.where((F.col("event_type") == "key_press") & (F.col("action") == "down")).select(
+        "*", F.regexp_replace(F.coalesce(F.col("key_char"), F.lit("None")), r"^\s+|\s+$", "").alias("_key"),
+        held("cmd", "right_cmd", "meta").alias("_cmd"), held("ctrl", "right_ctrl").alias("_ctrl"),
+        held("alt", "right_alt").alias("_alt"), held("shift", "right_shift").alias("_shift"),
+        F.coalesce(F.col("modifiers")["caps_lock"], F.lit(False)).alias("_caps"),
+    )
+    key, cmd, ctrl, alt, shift, caps = (F.col(c) for c in ("_key", "_cmd", "_ctrl", "_alt", "_shift", "_caps"))
     shortcut = F.concat(
         F.lit("<"),
         F.concat_ws("+", F.when(cmd, "cmd"), F.when(ctrl, "ctrl"), F.when(alt, "alt"), F.when(shift, "shift"), key),
@@ -60,10 +63,8 @@ def edits(presses: DataFrame) -> DataFrame:
     )
     op = F.when(key.isin(DELETE_KEYS), F.when(ctrl, WORD).otherwise(ONE)).otherwise("push")
     return (
-        presses.where((F.col("event_type") == "key_press") & (F.col("action") == "down"))
-        .withColumn("op", op)
-        .withColumn("piece", F.when(F.col("op") == "push", piece))
-        .where((F.col("op") != "push") | (F.coalesce(F.col("piece"), F.lit("")) != ""))
+        rows.withColumn("op", op).withColumn("piece", F.when(op == "push", piece))
+        .drop("_key", "_cmd", "_ctrl", "_alt", "_shift", "_caps")
     )
 
 
@@ -100,7 +101,8 @@ def typed_text(
     def edit(state: dict, row: tuple) -> None:
         op, piece = row
         if op == "push":
-            state["stack"].append(piece)
+            if piece:
+                state["stack"].append(piece)
         elif left := _delete(state["stack"], op):
             state["owed"].append(left)
 

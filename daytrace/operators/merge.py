@@ -36,7 +36,9 @@ def merge_candidates(
         return vx.score_transform(scorer(a, b), transform) >= tau
 
     linked = (vx.dot(F.col("vec"), F.col("vec")) >= theta) & passes(F.col("text"), F.col("text"))
-    reps, tagged = collapse_copies(items.select(*keys, "id", "text", "vec"), keys, ["vec", "text"], linked)
+    base = cut(items.select(*keys, "id", "text", "vec", linked.alias("_linked")))  # score each text once
+    reps, tagged = collapse_copies(base, keys, ["vec", "text"], F.col("_linked"))
+    tagged = tagged.drop("_linked")
     pairs = pairs_above(reps, keys, theta, carry=["text", "last_id", "n"], block_rows=block_rows)
     forward = passes(F.col("text_i"), F.col("text_j"))
     backward = (F.col("j") < F.col("last_id_i")) & passes(F.col("text_j"), F.col("text_i"))

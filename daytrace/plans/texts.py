@@ -122,13 +122,15 @@ def times(spark, sf):
     return e.select("event_id", tx.format_seconds("value").alias("shown"), r6(tx.iso_epoch(iso), "epoch"), F.unix_micros(at).alias("frame_us"))
 
 
-@query("f25_prompts", """SELECT conv_id, md5('Base' || string_agg(E'\\n\\nAccessibility record ' || turn || ': ' || text, '' ORDER BY turn)) AS ax,
-  md5(E'Base\\n\\n### Input (OCR Text)\\n' || string_agg('[SCREENSHOT ' || (turn + 1) || E']\\n--------------------\\n' || text, E'\\n\\n' ORDER BY turn)) AS ocr FROM conversations GROUP BY conv_id""")
+@query("f25_prompts", """SELECT conv_id, turn // 2 AS pair_idx, md5('Base' || string_agg(E'\\n\\nAccessibility record ' || (turn % 2) || ': ' || text, '' ORDER BY turn)) AS ax,
+  md5(E'Base\\n\\n### Input (OCR Text)\\n' || string_agg('[SCREENSHOT ' || (turn % 2 + 1) || E']\\n--------------------\\n' || text, E'\\n\\n' ORDER BY turn)) AS ocr
+FROM conversations GROUP BY 1, 2""")
 def prompts(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(  # one prompt per conversation
+    rows = table(spark, sf, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("pair_idx")).agg(  # two records per prompt
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda e: e["text"]).alias("ts"))
     base = tx.fill_template(F.lit("{name}"), {"name": F.lit("Base")})
-    return rows.select("conv_id", F.md5(tx.numbered_prompt(base, F.col("ts"), "ax")).alias("ax"), F.md5(tx.numbered_prompt(base, F.col("ts"), "ocr")).alias("ocr"))
+    ax, ocr = tx.numbered_prompt(base, F.col("ts"), "ax"), tx.numbered_prompt(base, F.col("ts"), "ocr")
+    return rows.select("conv_id", "pair_idx", F.md5(ax).alias("ax"), F.md5(ocr).alias("ocr"))
 
 
 @query("p2_window_info", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'Window Titles: ["' || source || '"]' WHEN lang = 'de' THEN 'Current Windows: ["' || source || '"], Added: [], Removed: null'

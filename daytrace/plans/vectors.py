@@ -108,15 +108,14 @@ def soft(spark, sf):
 
 
 @query("a9_soft_coverage_pool", f"""WITH {V}, m AS (SELECT c.u, p.id, c.side, least(greatest((list_dot_product(p.vec, c.vec) - {LOW}) / ({HIGH} - {LOW}), 0), 1) AS mu
-  FROM v p CROSS JOIN v c),
+  FROM v p JOIN v c ON p.u = c.u),
 g AS (SELECT u, id, max(mu) FILTER (side = 's') AS ms, max(mu) FILTER (side = 'r') AS mr FROM m GROUP BY u, id),
 t AS (SELECT u, sum(least(ms, mr)) AS i, sum(greatest(ms, mr)) AS un, sum(ms) AS s, sum(mr) AS r FROM g GROUP BY u)
 SELECT u AS "user", round(i / un, 5) AS soft_jaccard, round(i / s, 5) AS soft_precision, round(i / r, 5) AS soft_recall,
   round(2 * (i / s) * (i / r) / (i / s + i / r), 5) AS soft_f1 FROM t""")
 def soft_pool(spark, sf):
     s, r = sides(spark, sf)
-    users = s.select("user").distinct()
-    pool = vectors(spark, sf).drop("user", "side", "label").withColumn("_one", F.lit(1)).join(users.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    pool = vectors(spark, sf).select("user", "id", "vec")  # all statements of the user
     out = ev.soft_coverage(s, r, ["user"], LOW, HIGH, pool=pool)
     return out.select("user", *[r6(c, c, 5) for c in ("soft_jaccard", "soft_precision", "soft_recall", "soft_f1")])
 

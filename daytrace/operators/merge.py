@@ -13,8 +13,10 @@ from daytrace.functions import vectors as vx
 from daytrace.operators.graph import connected_components, first_come_set
 from daytrace.operators.infer import lexical_score
 from daytrace.operators.ordered import Ordered, ordinal_chunk
-from daytrace.operators.similarity import BLOCK_ROWS, collapse_copies, component_stars, pairs_above
-from daytrace.session import cut
+from daytrace.operators.similarity import (
+    BLOCK_ROWS, best_earlier, collapse_copies, component_stars, count_above, pairs_above,
+)
+from daytrace.session import cut, cut_counted
 
 Scorer = Callable[[Column, Column], Column]
 Synthesizer = Callable[[DataFrame], DataFrame]
@@ -189,9 +191,40 @@ def moving_window(
     return _gate(placed.withColumn("_t", F.lit(0.0)), keys, theta, None, None, block_rows).drop("_t", "vec")
 
 
+def _first_come(reps: DataFrame, keys: list[str], near: DataFrame) -> DataFrame:
+    """Rows of ``reps`` (pos) that the first-come gate over ``near(i, j)`` keeps."""
+    lost = first_come_set(near, keys).where("not kept").select(*keys, F.col("id").alias("pos"))
+    return reps.join(lost, [*keys, "pos"], "left_anti")
+
+
+def _kept_of_crowd(
+    reps: DataFrame, keys: list[str], threshold: float, block_rows: int, crowd: int, head_rows: int
+) -> DataFrame:
+    """Kept rows of an untimed gate.  While similar pairs outnumber rows by more than ``crowd`` to one, the first
+    ``head_rows`` rows of every key are settled and everything similar to a kept one of them drops out, at one
+    answer per row; what is left is sparse, and its pairs are listed and settled at once."""
+    todo, n = cut_counted(reps.select(*keys, "pos", "vec"))
+    kept: list[DataFrame] = []
+    while n and count_above(todo, keys, threshold, "pos", block_rows=block_rows) > crowd * n:
+        ranked = Ordered(todo, keys, ["pos"], ordinal_chunk("pos")).ordinal("_r").done()
+        head = cut(ranked.where(F.col("_r") < head_rows).drop("_r"))
+        near = pairs_above(head, keys, threshold, "pos", block_rows=block_rows)
+        winners = cut(_first_come(head, keys, near))
+        kept.append(winners)
+        rest = ranked.where(F.col("_r") >= head_rows).drop("_r")
+        still = lambda d: d.withColumn("_t", F.lit(0.0))
+        hit = best_earlier(still(rest), still(winners), keys, threshold, block_rows=block_rows)
+        todo, n = cut_counted(rest.join(hit, [*keys, "pos"], "left_anti"))
+    near = pairs_above(todo, keys, threshold, "pos", block_rows=block_rows)
+    out = _first_come(todo, keys, near)
+    for k in kept:
+        out = out.unionByName(k)
+    return out.select(*keys, "pos")
+
+
 def _gate(
     placed: DataFrame, keys: Sequence[str], threshold: float, window: float | None, decay: float | None,
-    block_rows: int,
+    block_rows: int, crowd: int = 32, head_rows: int = 4_096,
 ) -> DataFrame:
     """First-come gate over rows (pos, _t, vec): adds ``kept`` and ``into`` (position of the absorbing row).
 
@@ -205,27 +238,20 @@ def _gate(
     linked = vx.dot(F.col("vec"), F.col("vec")) >= threshold
     reps, tagged = collapse_copies(placed, keys, by, linked, id_col="pos")
     tagged = cut(tagged)
-    if not timed:
-        reps = reps.withColumn("_t", F.lit(0.0))
     if decay:  # beyond this gap even an identical row falls below the threshold
         reach = decay * math.log((1 + 1e-6) / threshold)
         window = reach if window is None else min(window, reach)
-    near = pairs_in_window(reps.select(*keys, "pos", "_t", "vec"), keys, window, threshold, "pos", "_t", block_rows)
-    sim = vx.time_decay(F.col("cos"), F.abs(F.col("_t_j") - F.col("_t_i")), decay)
-    near = cut(near.withColumn("sim", sim).where(F.col("sim") >= threshold).select(*keys, "i", "j", "sim"))
-    lost = first_come_set(near, keys).where("not kept").select(*keys, F.col("id").alias("rep"), F.lit(True).alias("_lost"))
-    rows = tagged.join(lost, [*keys, "rep"], "left").na.fill(False, ["_lost"])
-    # who absorbs a row: the most similar earlier kept row, the earliest on ties
-    kept_rep = lost.select(*keys, F.col("rep").alias("host"))
-    both = near.select(*keys, F.col("j").alias("rep"), F.col("i").alias("host"), "sim").unionByName(
-        near.select(*keys, F.col("i").alias("rep"), F.col("j").alias("host"), "sim"))
-    hosts = both.join(kept_rep, [*keys, "host"], "left_anti")
-    gone = rows.where(F.col("_lost") | (F.col("pos") > F.col("rep")))
-    own = gone.where(~F.col("_lost")).select(*keys, "pos", F.col("rep").alias("host"), vx.dot(F.col("vec"), F.col("vec")).alias("sim"))
-    other = gone.select(*keys, "pos", "rep").join(hosts, [*keys, "rep"]).where("host < pos").select(*keys, "pos", "host", "sim")
-    into = own.unionByName(other).groupBy(*keys, "pos").agg(
-        F.max_by("host", F.struct(F.col("sim"), -F.col("host"))).alias("into"))
-    return rows.drop("rep", "_lost").join(into, [*keys, "pos"], "left").withColumn("kept", F.col("into").isNull())
+    if timed:
+        near = pairs_in_window(reps.select(*keys, "pos", "_t", "vec"), keys, window, threshold, "pos", "_t", block_rows)
+        sim = vx.time_decay(F.col("cos"), F.abs(F.col("_t_j") - F.col("_t_i")), decay)
+        winners = _first_come(reps, keys, near.where(sim >= threshold)).select(*keys, "pos")
+    else:
+        winners = _kept_of_crowd(reps, keys, threshold, block_rows, crowd, head_rows)
+    winners = cut(winners.withColumn("kept", F.lit(True)))
+    rows = tagged.drop("rep").join(winners, [*keys, "pos"], "left").na.fill(False, ["kept"])
+    into = best_earlier(
+        rows.where(~F.col("kept")), rows.where("kept"), keys, threshold, window=window, decay=decay, block_rows=block_rows)
+    return rows.join(into.withColumnRenamed("host", "into"), [*keys, "pos"], "left")
 
 
 def pairs_in_window(
@@ -247,7 +273,8 @@ def pairs_in_window(
 
 def novelty_gate(
     items: DataFrame, keys: Sequence[str], threshold: float, window: float | None = 2,
-    decay: float | None = None, t: str = "t", block_rows: int = BLOCK_ROWS,
+    decay: float | None = None, t: str = "t", block_rows: int = BLOCK_ROWS, crowd: int = 32,
+    head_rows: int = 4_096,
 ) -> DataFrame:
     """First-come novelty gate in (t, id) order: an item similar enough to a kept item at most ``window``
     away is absorbed by the most similar one (the earliest on ties), otherwise it is kept.
@@ -261,7 +288,7 @@ def novelty_gate(
     dated = items.withColumn("_t", F.coalesce(F.col(t).cast("double"), F.col("id").cast("double")))
     chunk = F.struct(F.floor(F.col("_t") / 1_024), ordinal_chunk("id"))
     placed = cut(Ordered(dated, keys, ["_t", "id"], chunk).ordinal("pos").done())
-    return _gate(placed, keys, threshold, window, decay, block_rows).drop("_t", "vec")
+    return _gate(placed, keys, threshold, window, decay, block_rows, crowd, head_rows).drop("_t", "vec")
 
 
 def merge_stats(items: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:

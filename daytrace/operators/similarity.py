@@ -164,6 +164,67 @@ def component_stars(
     return _apply(lefts, rights, keys, fn, schema)
 
 
+def count_above(
+    rows: DataFrame, keys: Sequence[str], threshold: float, id_col: str = "id", vec: str = "vec",
+    block_rows: int = BLOCK_ROWS,
+) -> int:
+    """Number of pairs with ``cos >= threshold``; each block pair emits one number."""
+    slim = rows.select(*keys, id_col, vec)
+    lefts, rights = self_block_pairs(slim, keys, id_col, block_rows)
+
+    def fn(l: pa.Table, r: pa.Table) -> pa.Table:
+        n = 0
+        if l.num_rows and r.num_rows:
+            n = int((_matrix(l, vec) @ _matrix(r, vec).T >= threshold).sum())
+            if l.column("_lb")[0].as_py() == l.column("_rb")[0].as_py():
+                n //= 2
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    return _apply(lefts, rights, keys, fn, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def best_earlier(
+    rows: DataFrame, hosts: DataFrame, keys: Sequence[str], threshold: float, pos: str = "pos", vec: str = "vec",
+    t: str = "_t", window: float | None = None, decay: float | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Most similar host before each row → (keys, pos, host): decayed similarity of at least ``threshold``, at
+    most ``window`` apart, the earliest host on ties.  Block pairs emit at most one host per row.  With a window,
+    rows only meet the hosts of their own and the previous time bucket."""
+    keys = list(keys)
+    l0, r0 = rows.select(*keys, pos, t, vec), hosts.select(*keys, pos, t, vec)
+    groups = keys
+    if window is not None:
+        width = float(window) * (1 + 1e-9) if window > 0 else 1.0
+        home = F.floor(F.col(t) / F.lit(width)).cast("bigint")
+        l0 = l0.withColumn("_bucket", home)
+        r0 = r0.withColumn("_bucket", F.explode(F.array(home, home + 1)))
+        groups = [*keys, "_bucket"]
+    lefts, rights = block_pairs(l0, r0, groups, pos, block_rows)
+    schema = f"{_ddl(l0, keys)}, {_ddl(l0, [pos], {pos: 'pos'})}, {_ddl(r0, [pos], {pos: 'host'})}, sim double"
+
+    def fn(l: pa.Table, r: pa.Table) -> pa.Table:
+        at, host, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if l.num_rows and r.num_rows:
+            r = r.sort_by(pos)
+            x, y = l.column(pos).to_numpy(), r.column(pos).to_numpy()
+            sims = _matrix(l, vec) @ _matrix(r, vec).T
+            gap = np.abs(l.column(t).to_numpy()[:, None] - r.column(t).to_numpy()[None, :])
+            if decay:
+                sims = sims * np.exp(-gap / decay)
+            fits = (y[None, :] < x[:, None]) & (sims >= threshold)
+            if window is not None:
+                fits &= gap <= window
+            sims = np.where(fits, sims, -np.inf)
+            best = sims.argmax(axis=1)
+            some = np.nonzero(fits.any(axis=1))[0]
+            at, host, sim = x[some], y[best[some]], sims[some, best[some]]
+        head = _repeat_key(l if l.num_rows else r, keys, len(at))
+        return pa.table({**head, "pos": pa.array(at, pa.int64()), "host": pa.array(host, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+    found = _apply(lefts, rights, groups, fn, schema)
+    return found.groupBy(*keys, "pos").agg(F.max_by("host", F.struct(F.col("sim"), -F.col("host"))).alias("host"))
+
+
 def collapse_copies(
     rows: DataFrame, keys: Sequence[str], by: Sequence[str], linked, id_col: str = "id", rep: str = "rep"
 ) -> tuple[DataFrame, DataFrame]:

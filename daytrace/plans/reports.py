@@ -176,8 +176,10 @@ def knee(spark, sf):
     return out.select("model", "user", "method", r6("x", "x"), r6("y", "y"))
 
 
-@query("a17_frontier_fit", f"""WITH {RUNS}, {PTS} SELECT model, count(*) AS n, round(coalesce(regr_slope(y, log10(x)), 0), 5) AS slope,
-  round(avg(y) - coalesce(regr_slope(y, log10(x)), 0) * avg(log10(x)), 5) AS intercept, round(coalesce(regr_r2(y, log10(x)), -1), 4) AS r2 FROM fr GROUP BY model""")
+@query("a17_frontier_fit", f"""WITH {RUNS}, {PTS}, s AS (SELECT model, count(*) AS n, avg(y) AS my, avg(log10(x)) AS mx,
+  CASE WHEN var_pop(log10(x)) > 0 THEN regr_slope(y, log10(x)) ELSE 0 END AS slope,
+  CASE WHEN var_pop(log10(x)) > 0 AND var_pop(y) > 0 THEN regr_r2(y, log10(x)) ELSE -1 END AS r2 FROM fr GROUP BY model)
+SELECT model, n, round(slope, 5) AS slope, round(my - slope * mx, 5) AS intercept, round(r2, 4) AS r2 FROM s""")
 def fit(spark, sf):
     out = rp.fit_line(rp.frontier(points(spark, sf), keys=["model"]), keys=["model"])
     return out.select("model", "n", r6("slope", "slope", 5), r6("intercept", "intercept", 5), r6(F.coalesce("r2", F.lit(-1.0)), "r2", 4))

@@ -242,7 +242,7 @@ cent AS (SELECT a.cluster, a.id, sum(list_dot_product(a.vec, b.vec)) AS c, count
 SELECT cluster, arg_max(id, {{'c': round(c, 9), 'n': -id}}) AS medoid, max(size) AS size FROM cent GROUP BY cluster""")
 def rerank_clusters(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = vectors(spark, sf).join(docs, "id").select("all", "id", "text", "vec")
+    rows = vectors(spark, sf).join(docs, "id", "left").na.fill("", ["text"]).select("all", "id", "text", "vec")
     out = mg.cluster_reduce(rows, ["all"], THETA, lexical_score, TAU)
     return out.select("cluster", F.col("id").alias("medoid"), "size")
 

@@ -386,7 +386,7 @@ def support_prompts(spark, sf):
     return nf.support_prompts(rows, ["user"], 10, "profile").select("user", "batch_id", F.md5("prompt").alias("prompt"))
 
 
-@query("n7_hashed_vectors")
+@query("n7_hashed_vectors", r"""SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS words FROM documents""")
 def hashed(spark, sf):
     v = docs(spark, sf).select("doc_id", nf.hashed_vector(F.col("text"), 32).alias("v"))
     return v.select("doc_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")).cast("bigint").alias("words"))
@@ -423,7 +423,11 @@ def nodes(spark, sf):
     return out.select("doc_id", "n.depth", "n.path", "n.role", F.md5("n.text").alias("text"))
 
 
-@query("e10_a23_preservation")
+@query("e10_a23_preservation", r"""WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text || ' ' || source || ' ' || lang || ' from go window article button'), '[^a-z0-9]+'), lambda w: length(w) > 1) AS ws FROM documents),
+k AS (SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN ['x'] ELSE list_distinct(ws) END AS kept,
+  CASE WHEN lang IN ('de', 'fr') THEN [] ELSE list_filter(list_distinct(list_concat(ws, ['generic', 'statictext'])), lambda w: NOT regexp_matches(w, '^(?:[0-9]+|0x[0-9a-f]+|[0-9a-f]{8,}|true|false|null|undefined)$')) END AS raw FROM t),
+s AS (SELECT doc_id, len(raw) AS raw_count, len(kept) AS kept_count, CASE WHEN len(raw) = 0 THEN 100 ELSE 100.0 * (1 - len(list_filter(raw, lambda w: NOT list_contains(kept, w))) / len(raw)) END AS score FROM k)
+SELECT doc_id, round(score, 2) AS score, raw_count, kept_count, CASE WHEN score < 50 THEN 'BAD' WHEN score > 85 THEN 'OK' ELSE 'LOW' END AS status FROM s""")
 def preservation(spark, sf):
     rows = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw")))
     raw = F.when(F.col("lang").isin("de", "fr"), F.array().cast("array<string>")).otherwise(trees.snapshot_tokens(F.col("raw")))

@@ -31,7 +31,8 @@ def build_session(app: str = "daytrace", cpus: str = "*", shuffle_partitions: in
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):

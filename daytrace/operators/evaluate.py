@@ -95,7 +95,8 @@ def soft_coverage(
         reference.select(*keys, F.lit("r").alias("side"), "id", "vec"))
     if pool is not None:
         return _coverage_rates(pool_coverage(pool, both, keys, low, high, block_rows=block_rows), keys, F.lit(1.0))
-    two_sided = source.select(*keys).distinct().join(reference.select(*keys).distinct(), keys)
+    present = [F.count_if(F.col("side") == side) > 0 for side in ("s", "r")]
+    two_sided = both.groupBy(*keys).agg((present[0] & present[1]).alias("_both")).where("_both").select(*keys)
     sums = coverage_sums(both.join(two_sided, keys, "left_semi"), keys, low, high, block_rows=block_rows)
     return _coverage_rates(sums, keys, 1 / F.greatest(F.col("sum_s") + F.col("sum_r"), F.lit(1e-9)))
 

@@ -24,3 +24,19 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def bounded_labels(labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
+    """At most about ``bound`` labelled ids, half of them from each class where a class has that many: columns id, y.
+
+    A row is taken by a hash of its id, so the choice does not depend on partitions. Null ids and null labels take no part;
+    an id labelled twice keeps its larger label.
+    """
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
+    rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("y in (0, 1)").collect()}
+    keep = F.lit(False)
+    for y, n in sizes.items():
+        share = min(1.0, bound / 2 / n)
+        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    return rows.where(keep)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daytrace.llm import bpe, token_counts
-from daytrace.llm.common import table, text_or_empty
+from daytrace.llm import bpe, quality, token_counts, toxicity
+from daytrace.llm.common import fold_of, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(spark: SparkSession, sf_dir: str, module, label: str, folds: int, held: int) -> DataFrame:
+    """Scores of all documents by a model of ``module`` that has learned from the labels outside one fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", folds) != held)
+    model = module.train(docs, labels, label)
+    return docs.select(
+        "doc_id",
+        F.coalesce(fold_of("doc_id", folds) == held, F.lit(True)).alias("held_out"),
+        module.score_column("text", model).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", 5, 0)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", 4, 2)
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))

@@ -1,6 +1,6 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is a table of word stems (first four or five characters) that a bounded sample of labelled texts shows to be
+The lexicon is a table of word stems (first four to nine characters) that a bounded sample of labelled texts shows to be
 typical of toxic ones, joined with a few fixed English words. Features are densities of lexicon words (plain, and behind
 look-alike characters or inserted marks), their nearness to second-person words, capitals, punctuation and mixed tokens.
 """
@@ -25,12 +25,13 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 HIT, HIDDEN, PERSON, MIXED = 1, 2, 4, 8
 NEAR = 6
+SHORTEST, LONGEST = 4, 9  # stem lengths
 KEPT = 200_000
 NAMES = ("hits", "log_hits", "hidden", "near", "persons", "mixed", "upper", "exclaim", "question", "marks", "densest", "length")
 
 
 def stems(word: str) -> tuple[str, ...]:
-    return (word[:4], word[:5]) if len(word) > 4 else (word,)
+    return tuple(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)) or (word,)
 
 
 class Reader:
@@ -181,8 +182,9 @@ def learn_lexicon(found: DataFrame, size: int = LEXICON_SIZE) -> frozenset[str]:
     almost all toxic, the most frequent ``size`` of them."""
     totals = found.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
     positive, negative = totals["p"] or 0, (totals["n"] or 0) - (totals["p"] or 0)
-    words = F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
-    both = F.array_union(F.transform(words, lambda w: F.substring(w, 1, 4)), F.transform(words, lambda w: F.substring(w, 1, 5)))
+    words = F.array_distinct(F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: F.length(w) >= SHORTEST))
+    lengths = lambda w: F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length(w)))
+    both = F.flatten(F.transform(words, lambda w: F.transform(lengths(w), lambda k: F.substr(w, F.lit(1), k))))
     seen = found.select("y", F.explode(F.array_distinct(both)).alias("stem")).groupBy("stem")
     seen = seen.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     enough = max(3, 0.01 * positive)

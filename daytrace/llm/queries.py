@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daytrace.llm import bpe, quality, token_counts, toxicity
+from daytrace.llm import bpe, lattice, quality, token_counts, toxicity
 from daytrace.llm.common import fold_of, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n.alias("n_tokens")).withColumn(
         "over_limit", F.col("n_tokens") > limit
     )
+
+
+@query
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lattice.score(docs, fold_of("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

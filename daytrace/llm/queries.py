@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daytrace.llm import bpe, chat, lattice, licenses, quality, token_counts, toxicity
+from daytrace.llm import bpe, chat, lattice, licenses, quality, rabitq, token_counts, toxicity
 from daytrace.llm.common import fold_of, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_licenses"] = licenses.oracle_sql()
+
+
+@query
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daytrace.llm import bpe, chat, lattice, licenses, quality, rabitq, token_counts, toxicity
+from daytrace.llm import bpe, chat, lattice, licenses, ngram_join, quality, rabitq, token_counts, toxicity
 from daytrace.llm.common import fold_of, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,12 @@ ORACLES["op10_licenses"] = licenses.oracle_sql()
 @query
 def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class, named by the smallest doc_id in it, and the number of documents it is linked with."""
+    joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = joined.select(F.col("row.doc_id").alias("doc_id"), "class", F.col("links").alias("n_links"))
+    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(names, "class").select("doc_id", "class_id", "n_links")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daytrace.llm import bpe, chat, lattice, licenses, ngram_join, quality, rabitq, token_counts, toxicity
+import corpus_pipeline
+from daytrace.llm import bpe, chat, decontaminate, lattice, licenses, ngram_join, quality, rabitq, token_counts, toxicity
 from daytrace.llm.common import fold_of, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,17 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = joined.select(F.col("row.doc_id").alias("doc_id"), "class", F.col("links").alias("n_links"))
     names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return rows.join(names, "class").select("doc_id", "class_id", "n_links")
+
+
+@query
+def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other figures, names and units."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    keyed = docs.select("doc_id", *decontaminate.text_key(F.col("text")))
+    return keyed.join(found, decontaminate.KEY).select("doc_id", F.col("item").alias("item_id"), "n_windows", "share", "kind")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

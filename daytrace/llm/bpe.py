@@ -16,6 +16,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, functions as F
 from daytrace.llm.segments import Unsafe, clean, segments
 
 LEAF_CHARS = 4096
-LEAF_BYTES = 6
+LEAF_BYTES = 3
 HEAP_BYTES = 40
 KEPT = 200_000
 KEPT_LENGTH = 64
@@ -56,8 +57,8 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.matches = regex.compile(pattern).findall
-        self.pairs: dict[int, bool] = {}
-        self.halves = _Kept(self._halved)
+        self.pairs: dict[int, list[int] | None] = {}
+        self.halves = _Kept(self._halved, KEPT // 2)
         self.pieces = _Kept(self._piece)
         self.inner = _Kept(lambda word: self._segment(" " + word) if clean(word) else self._refuse(word))
 
@@ -104,24 +105,28 @@ class Codec:
             i = end[i]
         return out
 
-    def compatible(self, a: int, b: int) -> bool:
+    def again(self, a: int, b: int) -> list[int] | None:
+        """The ids of two tokens' joined bytes, or None if the two are compatible."""
         key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= 4 * KEPT:
+        if key not in self.pairs:
+            if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+            ids = self.merge(self.bytes_of[a] + self.bytes_of[b])
+            self.pairs[key] = None if ids == [a, b] else ids
+        return self.pairs[key]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of two neighbouring byte strings put together."""
-        if not left or not right or self.compatible(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        window, width = self.again(left[-1], right[0]), 1
+        if window is None:
             return left + right
-        width = 1
         while True:
             lo, hi = max(len(left) - width, 0), min(width, len(right))
-            window = self.merge(b"".join([self.bytes_of[i] for i in left[lo:] + right[:hi]]))
-            if (lo == 0 or self.compatible(left[lo - 1], window[0])) and (hi == len(right) or self.compatible(window[-1], right[hi])):
+            if width > 1:
+                window = self.merge(b"".join([self.bytes_of[i] for i in left[lo:] + right[:hi]]))
+            if (lo == 0 or self.again(left[lo - 1], window[0]) is None) and (hi == len(right) or self.again(window[-1], right[hi]) is None):
                 return left[:lo] + window + right[hi:]
             width *= 2
 
@@ -134,7 +139,11 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(raw)
-        return np.array([whole] if whole is not None else self._halved(raw), "<u4").tobytes()
+        return self._packed([whole] if whole is not None else self._halved(raw))
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}I", *ids)
 
     def _segment(self, text: str) -> bytes:
         return b"".join([self.pieces[m] for m in self.matches(text)])
@@ -201,7 +210,7 @@ def encode_column(text: Column | str, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for texts in batches:
-            yield pa.array((None if t is None else own.encode(t) for t in texts.to_pylist()), pa.binary())
+            yield pa.array((None if t is None else own.encode(t) for t in (x.as_py() for x in texts)), pa.binary())
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -213,6 +222,6 @@ def decode_column(ids: Column | str, path: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for found in batches:
-            yield pa.array((None if x is None else own.decode(x) for x in found.to_pylist()), pa.binary())
+            yield pa.array((None if x is None else own.decode(x) for x in (y.as_py() for y in found)), pa.binary())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)

@@ -13,7 +13,7 @@ _WHITE = regex.compile(r"\s").match
 
 
 def white(ch: str) -> bool:
-    return ch.isspace() or _WHITE(ch) is not None
+    return ch.isspace() or (ch > "\x7f" and _WHITE(ch) is not None)
 
 
 def clean(part: str) -> bool:

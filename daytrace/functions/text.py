@@ -170,11 +170,12 @@ def frame_time(start: Column, fps: Column, start_idx: Column, idx: Column) -> Co
 
 
 def run_name(c: Column | str) -> Column:
-    """``method__mods`` file stem → struct(method, modalities), without a leading ``merged+``."""
+    """``method__mods`` file stem, parted at the first ``__`` → struct(method, modalities), without a leading ``merged+``; a stem
+    that has no ``__`` is all method."""
     stem = F.regexp_replace(F.element_at(F.split(_col(c), "/"), -1), r"\.[^.]*$", "")
     return F.struct(
         F.split_part(stem, F.lit("__"), F.lit(1)).alias("method"),
-        F.regexp_replace(F.substring_index(stem, "__", -1), r"^merged\+", "").alias("modalities"),
+        F.regexp_replace(F.regexp_replace(stem, r"^(?:(?!__).)*(?:__)?", ""), r"^merged\+", "").alias("modalities"),
     )
 
 

@@ -6,14 +6,15 @@ Set inputs carry ``keys``, ``id`` (bigint), unit ``vec`` and, where noted, ``tex
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daytrace.functions import text as tx
 from daytrace.functions import vectors as vx
 from daytrace.operators.graph import greedy_matching
-from daytrace.operators.ordered import CHUNK
 from daytrace.operators.similarity import (
     BLOCK_ROWS, binned_pairs, centroids, collapse_copies, coverage_sums, cross_pairs_above, pool_coverage, top_matches,
 )
@@ -250,26 +251,33 @@ def set_jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def profile_fields(profiles: DataFrame, keys: Sequence[str], doc: str = "profile", depth: int = 6) -> DataFrame:
-    """Open profile JSON → rows (path, items): every non-empty list made of strings only, by dotted path."""
-    level = profiles.select(*keys, F.lit("").alias("path"), F.col(doc).alias("_v"))
-    found = None
-    for _ in range(depth):
-        names = F.json_object_keys("_v")
-        opened = level.where(names.isNotNull()).select(*keys, "path", "_v", F.explode(names).alias("_k"))
-        # a key may contain dots or quotes, so values come from a map and not from a JSON path
-        value = F.from_json("_v", "map<string,string>")[F.col("_k")]
-        path = F.when(F.col("path") == "", F.col("_k")).otherwise(F.concat_ws(".", "path", "_k"))
-        level = opened.select(*keys, path.alias("path"), value.alias("_v"))
-        # array<string> keeps raw JSON for non-strings, so string-ness is checked on the parsed variant
-        texts = F.from_json("_v", "array<string>")
-        shape = F.schema_of_variant(F.try_parse_json("_v")) == "ARRAY<STRING>"
-        lists = level.where(shape & (F.size(texts) > 0)).select(*keys, "path", texts.alias("items"))
-        found = lists if found is None else found.unionByName(lists)
-        level = level.where(F.substring(F.ltrim("_v"), 1, 1) == "{")
+def _string_lists(raw: str | None) -> list[dict]:
+    """Non-empty lists of strings of a JSON text at any depth, with their dotted path; malformed text has none."""
+    try:
+        todo = [("", json.loads(raw))] if raw else []
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value and path and all(isinstance(v, str) for v in value):
+            found.append({"path": path, "items": value})
     return found
 
 
+def profile_fields(profiles: DataFrame, keys: Sequence[str], doc: str = "profile") -> DataFrame:
+    """Open profile JSON → rows (path, items): every non-empty list made of strings only, by dotted path, however deep."""
+
+    @F.arrow_udf("array<struct<path: string, items: array<string>>>")
+    def walk(docs: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("items", pa.list_(pa.string()))]))
+        return pa.array([_string_lists(d) for d in docs.to_pylist()], kind)
+
+    return profiles.select(*keys, F.inline(walk(F.col(doc))))
+
+
 def profile_text(fields: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All items of a profile as one text, in path order."""
     return fields.groupBy(*keys).agg(
@@ -426,13 +434,14 @@ def calibrate_bounds(
 
 # Tree preservation ------------------------------------------------------------------------------------
 
-def preservation(rows: DataFrame, raw: Column, kept: Column, sample: int = 10) -> DataFrame:
-    """Share of raw tokens that survive cleaning, in percent, with up to ``sample`` missing ones."""
+def preservation(rows: DataFrame, raw: Column, kept: Column, sample: int | None = None) -> DataFrame:
+    """Share of raw tokens that survive cleaning, in percent, with the ``missing`` ones, and the first ``sample`` of them where
+    that is asked for."""
     missing = F.array_except(raw, kept)
     score = F.when(F.size(raw) == 0, 100.0).otherwise(100.0 * (1 - F.size(missing) / F.size(raw)))
-    return (
+    out = (
         rows.withColumn("score", F.round(score, 2)).withColumn("raw_count", F.size(raw))
-        .withColumn("kept_count", F.size(kept)).withColumn("missing_sample", F.slice(missing, 1, sample))
+        .withColumn("kept_count", F.size(kept)).withColumn("missing", missing)
         .withColumn("status", F.when(F.col("score") < 50, "BAD").when(F.col("score") > 85, "OK").otherwise("LOW"))
-        .drop(CHUNK)
     )
+    return out if sample is None else out.withColumn("missing_sample", F.slice("missing", 1, sample))

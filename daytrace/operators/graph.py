@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from daytrace.functions.common import join_on
 from daytrace.session import cut, cut_counted
 
 # Graphs, or what rounds have left of them, with at most this many edges are finished by one ordered pass.
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), fold_edges:
         else:
             around = pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = around.groupBy(*on_u).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        near = around.join(low, on_u)
+        near = join_on(around, low, on_u)
         if large:
             out = near.where(F.col("v") > F.col("u")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -98,9 +99,9 @@ def _cut_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
 def _components_by_size(edges: DataFrame, keys: Sequence[str], limit: int):
     """Edges with their component, split into those of components with at most ``limit`` edges and the rest."""
     comp = connected_components(edges, keys).withColumnRenamed("id", "i")
-    tagged = edges.join(comp, [*keys, "i"])
+    tagged = join_on(edges, comp, [*keys, "i"])
     sizes = tagged.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_m"))
-    tagged = tagged.join(sizes, [*keys, "component"])
+    tagged = join_on(tagged, sizes, [*keys, "component"])
     return tagged.where(F.col("_m") <= limit).drop("_m"), tagged.where(F.col("_m") > limit).drop("_m", "component")
 
 
@@ -138,10 +139,10 @@ def first_come_set(
     while n > fold_edges:
         for _ in range(rounds_before_fold):
             blocked = todo.select(*keys, F.col("j").alias("i")).distinct().withColumn("_b", F.lit(True))
-            marked = todo.join(blocked, on_i, "left").select(*keys, "i", "j", F.col("_b").isNull().alias("free_i"))
+            marked = join_on(todo, blocked, on_i, "left").select(*keys, "i", "j", F.col("_b").isNull().alias("free_i"))
             lost = marked.groupBy(*on_j).agg(F.bool_or("free_i").alias("lost_j"))
             lost_as_i = lost.select(*keys, F.col("j").alias("i"), F.col("lost_j").alias("lost_i"))
-            marked = marked.join(lost, on_j).join(lost_as_i, on_i, "left").na.fill(False, ["lost_i"])
+            marked = join_on(join_on(marked, lost, on_j), lost_as_i, on_i, "left").na.fill(False, ["lost_i"])
             open_edge = F.expr("not free_i and not lost_j and not lost_i")
             marked, n = _cut_counting(marked, open_edge)
             decided.append(marked.where("free_i").select(*keys, F.col("i").alias("id"), F.lit(True).alias("kept")))
@@ -183,7 +184,7 @@ def greedy_matching(
     on_i, on_j = [*keys, "i"], [*keys, "j"]
     cap_l = left.select(*keys, F.col("id").alias("i"), F.col("n").cast("bigint").alias("ni"))
     cap_r = right.select(*keys, F.col("id").alias("j"), F.col("n").cast("bigint").alias("nj"))
-    todo, n = cut_counted(pairs.select(*keys, "i", "j", score).join(cap_l, on_i).join(cap_r, on_j).select(*keys, "i", "j", score, "ni", "nj"))
+    todo, n = cut_counted(join_on(join_on(pairs.select(*keys, "i", "j", score), cap_l, on_i), cap_r, on_j).select(*keys, "i", "j", score, "ni", "nj"))
     taken: list[DataFrame] = []
     out_cols = [*keys, "i", "j", score, "m"]
     schema = todo.select(*keys, "i", "j", score, F.col("ni").alias("m")).schema
@@ -202,11 +203,13 @@ def greedy_matching(
         for _ in range(rounds_before_fold):
             by_i = todo.groupBy(*on_i).agg(F.max(rank).alias("_b")).select(*keys, "_b.i", "_b.j")
             by_j = todo.groupBy(*on_j).agg(F.max(rank).alias("_b")).select(*keys, "_b.i", "_b.j")
-            won = todo.join(by_i.join(by_j, [*keys, "i", "j"]), [*keys, "i", "j"]).withColumn("m", F.least("ni", "nj"))
+            won = join_on(todo, join_on(by_i, by_j, [*keys, "i", "j"]), [*keys, "i", "j"]).withColumn("m", F.least("ni", "nj"))
             taken.append(won.select(*out_cols))
             rest = (
-                todo.join(won.select(*on_i, F.col("m").alias("_mi")), on_i, "left")
-                .join(won.select(*on_j, F.col("m").alias("_mj")), on_j, "left")
+                join_on(
+                    join_on(todo, won.select(*on_i, F.col("m").alias("_mi")), on_i, "left"),
+                    won.select(*on_j, F.col("m").alias("_mj")), on_j, "left",
+                )
                 .withColumn("ni", F.col("ni") - F.coalesce("_mi", F.lit(0)))
                 .withColumn("nj", F.col("nj") - F.coalesce("_mj", F.lit(0)))
                 .where("ni > 0 and nj > 0").select(*todo.columns)
@@ -219,9 +222,9 @@ def greedy_matching(
             tagged = todo.withColumn("_i", F.concat(F.lit("l"), F.col("i").cast("string"))).withColumn(
                 "_j", F.concat(F.lit("r"), F.col("j").cast("string")))
             comp = connected_components(tagged.select(*keys, F.col("_i").alias("i"), F.col("_j").alias("j")), keys)
-            tagged = tagged.join(comp.withColumnRenamed("id", "_i"), [*keys, "_i"])
+            tagged = join_on(tagged, comp.withColumnRenamed("id", "_i"), [*keys, "_i"])
             sizes = tagged.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_m"))
-            tagged = tagged.join(sizes, [*keys, "component"])
+            tagged = join_on(tagged, sizes, [*keys, "component"])
             small = tagged.where(F.col("_m") <= fold_edges)
             taken.append(cut(small.groupBy(*keys, "component").applyInPandas(fold, schema)))
             todo, n = cut_counted(tagged.where(F.col("_m") > fold_edges).select(*todo.columns))

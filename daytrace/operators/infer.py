@@ -16,7 +16,6 @@ from daytrace.functions.common import let
 from daytrace.operators.ordered import Ordered, ordinal_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
-ERROR_CHARS = 500
 SCORE_RANGE = (1, 10)
 PROPOSITION_FIELDS = ["reasoning", "proposition", "confidence", "decay"]
 # ------------------------------------------------------------------------------------------------------
@@ -24,9 +23,13 @@ PROPOSITION_FIELDS = ["reasoning", "proposition", "confidence", "decay"]
 STATS = "struct<prompt_tokens: bigint, generation_tokens: bigint, total_tokens: bigint, latency_sec: double>"
 
 
-def infer(df: DataFrame, prompt: str, client: Callable[[], Callable[[list[str]], list[str]]], chunk: int = 3) -> DataFrame:
+def infer(
+    df: DataFrame, prompt: str, client: Callable[[], Callable[[list[str]], list[str]]], chunk: int = 3,
+    error_chars: int | None = None,
+) -> DataFrame:
     """Adds ``text``, ``error`` and ``stats``.  ``client`` is built once per task and answers a list of
-    prompts; ``chunk`` prompts go into one call (1 = row at a time).  A failing call marks its own rows only."""
+    prompts; ``chunk`` prompts go into one call (1 = row at a time).  A failing call marks its own rows only;
+    ``error_chars`` cuts its message, which is whole without it."""
     schema = T.StructType(
         [*df.schema.fields, T.StructField("text", T.StringType()), T.StructField("error", T.StringType()),
          T.StructField("stats", T._parse_datatype_string(STATS))]
@@ -45,7 +48,7 @@ def infer(df: DataFrame, prompt: str, client: Callable[[], Callable[[list[str]],
                     if len(got) != len(part):
                         raise ValueError(f"{len(got)} answers for {len(part)} prompts")
                 except Exception as exc:  # noqa: BLE001 - any engine failure marks the rows of this call
-                    got, err = [None] * len(part), str(exc)[:ERROR_CHARS]
+                    got, err = [None] * len(part), str(exc)[:error_chars]
                 took = (time.perf_counter() - began) / len(part)
                 for p, g in zip(part, got):
                     n, m = len((p or "").split()), len((g or "").split())

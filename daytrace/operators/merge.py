@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from daytrace.functions.common import join_on
 from daytrace.functions import vectors as vx
 from daytrace.operators.graph import connected_components, first_come_set
 from daytrace.operators.infer import lexical_score
@@ -65,7 +66,7 @@ def cluster_members(tagged: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
     keys = list(keys)
     found = connected_components(edges.select(*keys, "i", "j"), keys).withColumnRenamed("id", "rep")
     return (
-        tagged.join(found, [*keys, "rep"], "left")
+        join_on(tagged, found, [*keys, "rep"], "left")
         .withColumn("cluster", F.coalesce("component", "rep"))
         .drop("component", "rep")
     )
@@ -79,7 +80,7 @@ def with_centrality(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     on = [*keys, "cluster"]
     sizes = members.groupBy(*on).agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(sizes, on)
+    sized = join_on(members, sizes, on)
     sums = (
         sized.where("size > 1")
         .select(*on, F.posexplode("vec").alias("_p", "_x"))
@@ -88,7 +89,7 @@ def with_centrality(members: DataFrame, keys: Sequence[str]) -> DataFrame:
         .select(*on, F.transform("_v", lambda e: e["_s"]).alias("_sum"))
     )
     return (
-        sized.join(sums, on, "left")
+        join_on(sized, sums, on, "left")
         .withColumn("centrality", F.when(F.col("size") > 1, vx.dot(F.col("vec"), F.col("_sum"))).otherwise(1.0))
         .drop("_sum")
     )
@@ -117,7 +118,7 @@ def synthesize_clusters(
     keys = list(keys)
     on = [*keys, "cluster"]
     many = reps.where("size > 1").select(*on)
-    texts = cut(members.join(many, on, "left_semi").select(*on, F.col("id").alias("pos"), "text"))
+    texts = cut(join_on(members, many, on, "left_semi").select(*on, F.col("id").alias("pos"), "text"))
     failed: DataFrame | None = None
     while True:
         # parts by running length; always at least two texts per part so that rounds shrink
@@ -135,13 +136,13 @@ def synthesize_clusters(
         wrote = cut(wrote.unionByName(alone))
         bad = wrote.where("error is not null").select(*on).distinct()
         failed = bad if failed is None else failed.unionByName(bad)
-        texts = cut(wrote.join(bad, on, "left_anti").select(*on, F.col("part").cast("bigint").alias("pos"), "text"))
+        texts = cut(join_on(wrote, bad, on, "left_anti").select(*on, F.col("part").cast("bigint").alias("pos"), "text"))
         left = texts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         if left.isEmpty():
             break
     final = texts.select(*on, F.col("text").alias("_new"))
     return (
-        reps.join(final, on, "left")
+        join_on(reps, final, on, "left")
         .withColumn("synthesized", F.col("_new").isNotNull())
         .withColumn("text", F.coalesce("_new", "text")).drop("_new")
     )
@@ -167,7 +168,7 @@ def tumbling(items: DataFrame, keys: Sequence[str], size: float, t: str = "t") -
     """Adds ``win``: windows of ``size`` anchored at the smallest time of the key."""
     keys = list(keys)
     anchor = items.groupBy(*keys).agg(F.min(t).alias("_t0"))
-    return items.join(anchor, keys).withColumn("win", F.floor((F.col(t) - F.col("_t0")) / F.lit(size)).cast("bigint")).drop("_t0")
+    return join_on(items, anchor, keys).withColumn("win", F.floor((F.col(t) - F.col("_t0")) / F.lit(size)).cast("bigint")).drop("_t0")
 
 
 def moving_window(
@@ -177,10 +178,11 @@ def moving_window(
     """Two passes: reduce each window, then roll the windows' mains into a long-term store in time order.
 
     Output: one row per main with ``pos`` (time order), ``src_id``, ``text``, ``kept`` and ``into`` (the store
-    entry that absorbed it).  With ``long_term=False`` every main is kept.
+    entry that absorbed it).  With ``long_term=False`` every main is kept.  An item without a time has its id for one.
     """
     keys = list(keys)
-    windows = tumbling(items, keys, size, t)
+    dated = items.withColumn("_t", F.coalesce(F.col(t).cast("double"), F.col("id").cast("double")))
+    windows = tumbling(dated, keys, size, "_t")
     mains = cut(cluster_reduce(windows.select(*keys, "win", "id", "text", "vec"), [*keys, "win"], theta, write=write, block_rows=block_rows))
     placed = cut(
         Ordered(mains, keys, ["win", "cluster"], F.struct("win", ordinal_chunk("cluster"))).ordinal("pos").done()
@@ -194,7 +196,7 @@ def moving_window(
 def _first_come(reps: DataFrame, keys: list[str], near: DataFrame) -> DataFrame:
     """Rows of ``reps`` (pos) that the first-come gate over ``near(i, j)`` keeps."""
     lost = first_come_set(near, keys).where("not kept").select(*keys, F.col("id").alias("pos"))
-    return reps.join(lost, [*keys, "pos"], "left_anti")
+    return join_on(reps, lost, [*keys, "pos"], "left_anti")
 
 
 def _kept_of_crowd(
@@ -214,7 +216,7 @@ def _kept_of_crowd(
         rest = ranked.where(F.col("_r") >= head_rows).drop("_r")
         still = lambda d: d.withColumn("_t", F.lit(0.0))
         hit = best_earlier(still(rest), still(winners), keys, threshold, block_rows=block_rows)
-        todo, n = cut_counted(rest.join(hit, [*keys, "pos"], "left_anti"))
+        todo, n = cut_counted(join_on(rest, hit, [*keys, "pos"], "left_anti"))
     near = pairs_above(todo, keys, threshold, "pos", block_rows=block_rows)
     out = _first_come(todo, keys, near)
     for k in kept:
@@ -248,10 +250,10 @@ def _gate(
     else:
         winners = _kept_of_crowd(reps, keys, threshold, block_rows, crowd, head_rows)
     winners = cut(winners.withColumn("kept", F.lit(True)))
-    rows = tagged.drop("rep").join(winners, [*keys, "pos"], "left").na.fill(False, ["kept"])
+    rows = join_on(tagged.drop("rep"), winners, [*keys, "pos"], "left").na.fill(False, ["kept"])
     into = best_earlier(
         rows.where(~F.col("kept")), rows.where("kept"), keys, threshold, window=window, decay=decay, block_rows=block_rows)
-    return rows.join(into.withColumnRenamed("host", "into"), [*keys, "pos"], "left")
+    return join_on(rows, into.withColumnRenamed("host", "into"), [*keys, "pos"], "left")
 
 
 def pairs_in_window(
@@ -309,21 +311,21 @@ def keep_all(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return items.select(*keys, "id", "text")
 
 
-def _arm_cluster(items, keys, theta=0.75, tau=0.5, scorer=lexical_score, write=None, **_):
+def _arm_cluster(items, keys, theta=0.75, tau=0.5, scorer=lexical_score, write=None):
     return cluster_reduce(items, keys, theta, scorer, tau, write=write).select(*keys, "id", "text")
 
 
-def _arm_gate(items, keys, threshold=0.8, window=2, decay=None, **_):
+def _arm_gate(items, keys, threshold=0.8, window=2, decay=None):
     return novelty_gate(items, keys, threshold, window, decay).where("kept").select(*keys, "id", "text")
 
 
-def _arm_window(items, keys, size=5, theta=0.75, long_term=True, write=None, **_):
+def _arm_window(items, keys, size=5, theta=0.75, long_term=True, write=None):
     out = moving_window(items, keys, size, theta, long_term, write).where("kept")
     return out.select(*keys, F.col("src_id").alias("id"), "text")
 
 
 ARMS: dict[str, Callable[..., DataFrame]] = {
-    "none": lambda items, keys, **_: keep_all(items, keys),
+    "none": keep_all,
     "rerank_cluster": _arm_cluster,
     "time_window_gate": _arm_gate,
     "moving_window": _arm_window,
@@ -333,7 +335,7 @@ NEEDS_TIME = {"time_window_gate", "moving_window"}
 
 
 def run_arm(items: DataFrame, keys: Sequence[str], arm: str, **options) -> DataFrame:
-    """Reduce items with the named arm → (keys, id, text)."""
+    """Reduce items with the named arm → (keys, id, text).  An option that the arm does not have is an error."""
     if arm not in ARMS:
         raise ValueError(f"unknown merge arm: {arm}")
     missing = [c for c, need in (("vec", NEEDS_VECTORS), ("t", NEEDS_TIME)) if arm in need and c not in items.columns]

@@ -15,9 +15,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from daytrace.functions.common import join_on
 from daytrace.session import cut
 
 CHUNK = "_chunk"
+FIRST_CHUNK = -(1 << 62)  # rows without an order value come first, as nulls do in a window
 DAY = 86_400
 
 
@@ -149,7 +151,7 @@ class Ordered:
         # Only fills: rows without a value add nothing but their chunk, so just the few rows with one are
         # aggregated by position, and the chunks come from a plain hash aggregate.
         some = self.base.where(F.coalesce(*[F.when(v.isNotNull(), True) for v in self.filled], F.lit(False)))
-        return self.base.select(*on).distinct().join(some.groupBy(*on).agg(*aggregates), on, "left")
+        return join_on(self.base.select(*on).distinct(), some.groupBy(*on).agg(*aggregates), on, "left")
 
     def done(self) -> DataFrame:
         rows = self.base.select("*", *[c.alias(n) for n, c in self.local.items()])
@@ -157,7 +159,7 @@ class Ordered:
         if self.whole:
             return rows.select(*self.df.columns, *finals)
         carried = self._summaries().select(*self.keys, CHUNK, *[c.alias(n) for n, c in self.across.items()])
-        return rows.join(carried, [*self.keys, CHUNK]).select(*self.df.columns, *finals)
+        return join_on(rows, carried, [*self.keys, CHUNK]).select(*self.df.columns, *finals)
 
 
 def with_halo(df: DataFrame, ordinal: str, size: int, before: int, after: int = 0) -> DataFrame:
@@ -198,7 +200,7 @@ def fold_sorted(
         for pdf in batches:
             out = []
             for row in zip(*[pdf[c] for c in [*groups, *fields]]):
-                group = row[:width]
+                group = tuple(None if v != v else v for v in row[:width])  # pandas shows a null number as NaN
                 if group != here:
                     if here is not None:
                         out.extend(finish(here, state))
@@ -228,7 +230,7 @@ def chunked_fold(
     keys known to be small.
     """
     keys = list(keys)
-    base = df.withColumn(CHUNK, F.lit(0).cast("bigint") if chunk is None else chunk)
+    base = df.withColumn(CHUNK, F.lit(0).cast("bigint") if chunk is None else F.coalesce(chunk, F.lit(FIRST_CHUNK)))
     out_type = T._parse_datatype_string(out_schema)
     full = T.StructType(
         [base.schema[k] for k in keys]
@@ -259,13 +261,13 @@ def chunked_fold(
     for _ in range(max_rounds):
         ends = done.where("_out is null").select(*keys, CHUNK, "_state")
         due = ends.select(*keys, CHUNK, F.coalesce(F.lag("_state").over(across), F.lit("")).alias("_given"))
-        stale = cut(due.join(used, [*keys, CHUNK]).where("_given != _used").drop("_used"))
+        stale = cut(join_on(due, used, [*keys, CHUNK]).where("_given != _used").drop("_used"))
         if stale.isEmpty():
             break
         redone = stale.select(*keys, CHUNK)
-        kept = done.join(redone, [*keys, CHUNK], "left_anti")
-        done = cut(kept.unionByName(fold(base.join(stale, [*keys, CHUNK]))))
-        used = cut(used.join(redone, [*keys, CHUNK], "left_anti").unionByName(stale.withColumnRenamed("_given", "_used")))
+        kept = join_on(done, redone, [*keys, CHUNK], "left_anti")
+        done = cut(kept.unionByName(fold(join_on(base, stale, [*keys, CHUNK]))))
+        used = cut(join_on(used, redone, [*keys, CHUNK], "left_anti").unionByName(stale.withColumnRenamed("_given", "_used")))
     else:
         raise RuntimeError("ordered fold did not settle")
     return done.where("_out is not null").select(*keys, "_out.*")

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from daytrace.functions.common import join_on
+
 BLOCK_ROWS = 2_048
 
 
@@ -42,12 +44,12 @@ def _block(id_col: str, count: str):
 def block_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str = "id", block_rows: int = BLOCK_ROWS):
     """Both sides with ``_lb``/``_rb``: a row is copied once per block of the other side."""
     keys = list(keys)
-    sizes = _sizes(left, keys, block_rows, "_nl").join(_sizes(right, keys, block_rows, "_nr"), keys)
+    sizes = join_on(_sizes(left, keys, block_rows, "_nl"), _sizes(right, keys, block_rows, "_nr"), keys)
     # AQE broadcasts ``sizes`` when it is small at run time; it has one row per key.
-    lefts = left.join(sizes, keys).select(
+    lefts = join_on(left, sizes, keys).select(
         *left.columns, _block(id_col, "_nl").alias("_lb"), F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_rb")
     )
-    rights = right.join(sizes, keys).select(
+    rights = join_on(right, sizes, keys).select(
         *right.columns, _block(id_col, "_nr").alias("_rb"), F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("_lb")
     )
     return lefts, rights
@@ -56,7 +58,7 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col:
 def self_block_pairs(rows: DataFrame, keys: Sequence[str], id_col: str = "id", block_rows: int = BLOCK_ROWS):
     """Block pairs with ``_lb <= _rb``, so that every unordered pair of rows meets exactly once."""
     keys = list(keys)
-    sized = rows.join(_sizes(rows, keys, block_rows, "_n"), keys).withColumn("_b", _block(id_col, "_n"))
+    sized = join_on(rows, _sizes(rows, keys, block_rows, "_n"), keys).withColumn("_b", _block(id_col, "_n"))
     lefts = sized.select(*rows.columns, F.col("_b").alias("_lb"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_rb"))
     rights = sized.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_lb"), F.col("_b").alias("_rb"))
     return lefts, rights
@@ -242,7 +244,7 @@ def collapse_copies(
         F.min(id_col).alias(id_col), F.max(id_col).alias("last_id"), F.count(F.lit(1)).alias("n")
     )
     named = reps.select(*on, F.col(id_col).alias(rep))
-    return reps.drop("_solo"), tagged.join(named, on).drop("_solo")
+    return reps.drop("_solo"), join_on(tagged, named, on).drop("_solo")
 
 
 def cross_pairs_above(
@@ -380,10 +382,10 @@ def pool_coverage(
     keys = list(keys)
     centres = rows.select(*keys, F.concat_ws(":", side, F.col(id_col).cast("string")).alias(id_col), vec, side)
     probes = pool.select(*keys, F.col(id_col), vec)
-    sizes = _sizes(probes, keys, block_rows, "_nl").join(_sizes(centres, keys, block_rows, "_nr"), keys)
-    lefts = probes.join(sizes, keys).select(
+    sizes = join_on(_sizes(probes, keys, block_rows, "_nl"), _sizes(centres, keys, block_rows, "_nr"), keys)
+    lefts = join_on(probes, sizes, keys).select(
         *keys, id_col, vec, _block(id_col, "_nl").alias("_lb"), F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_rb"))
-    rights = centres.join(sizes, keys).select(
+    rights = join_on(centres, sizes, keys).select(
         *keys, id_col, vec, side, _block(id_col, "_nr").alias("_rb"), F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("_lb"))
     schema = f"{_ddl(probes, keys)}, {_ddl(probes, [id_col], {id_col: 'id'})}, max_s double, max_r double"
 

@@ -411,7 +411,7 @@ def snapshots(spark, sf) -> DataFrame:
 @query("n6_p7_tree_outline", f"""SELECT doc_id, CASE lang WHEN 'de' THEN 'EMPTY' WHEN 'fr' THEN 'ERROR' WHEN 'en' THEN 'BROWSER' ELSE 'APP' END AS type,
   md5(CASE lang WHEN 'de' THEN '[Empty]' WHEN 'fr' THEN '[Error]' ELSE '[window] "from ' || source || E'"\\n  [article] "' || regexp_replace(text, {TRIM}) || E'"\\n  [button] "go ' || lang || '"' END) AS outline FROM documents""")
 def outline(spark, sf):
-    out = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw")))
+    out = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
     return out.select("doc_id", F.col("c.type").alias("type"), F.md5("c.accessibility").alias("outline"))
 
 
@@ -429,7 +429,7 @@ k AS (SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN ['x'] ELSE list_distinc
 s AS (SELECT doc_id, len(raw) AS raw_count, len(kept) AS kept_count, CASE WHEN len(raw) = 0 THEN 100 ELSE 100.0 * (1 - len(list_filter(raw, lambda w: NOT list_contains(kept, w))) / len(raw)) END AS score FROM k)
 SELECT doc_id, round(score, 2) AS score, raw_count, kept_count, CASE WHEN score < 50 THEN 'BAD' WHEN score > 85 THEN 'OK' ELSE 'LOW' END AS status FROM s""")
 def preservation(spark, sf):
-    rows = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw")))
+    rows = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
     raw = F.when(F.col("lang").isin("de", "fr"), F.array().cast("array<string>")).otherwise(trees.snapshot_tokens(F.col("raw")))
     rows = rows.withColumn("rt", tx.meaningful(raw)).withColumn("kt", tx.tokenize("c.accessibility"))
     return ev.preservation(rows, F.col("rt"), F.col("kt")).select("doc_id", "score", "raw_count", "kept_count", "status")

@@ -4,6 +4,7 @@ folder names carry user, modality and model, so every listing parses them into c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
@@ -135,15 +136,31 @@ def observations(rows: DataFrame, keep: Sequence[str], layer: str) -> DataFrame:
     return rows.select(*keep, tx.trim_ws(F.coalesce(layer, F.lit(""))).alias("text"), F.col("pair_idx").alias("batch_id")).where(F.col("text") != "")
 
 
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """CSV paths by their first line, one line a file; the driver holds the list of files anyway."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("head"))
+    out: dict[str, list[str]] = {}
+    for row in first.orderBy("path").collect():
+        out.setdefault(row["head"].rstrip("\r"), []).append(unquote(row["path"]))
+    return out
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """CSV with a header and quoted line breaks, columns by name, with ``ord`` per file and ``_file``."""
+    """CSV with a header and quoted line breaks, columns by name, with ``ord`` per file and ``_file``. Files may have different
+    headers: those of one header are read together, and columns that a file lacks are null."""
     wanted = T._parse_datatype_string(schema)
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-    picked = [
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in wanted.fields
-    ]
-    return with_file_ordinal(rows.select(*picked, "_metadata"))
+    out = None
+    for same in headers(spark, paths).values() or [paths]:
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(same)
+        picked = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in wanted.fields
+        ]
+        part = rows.select(*picked, F.col("_metadata"))
+        part = with_file_ordinal(part)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
@@ -198,16 +215,17 @@ def frame_files(files: DataFrame, extensions: Sequence[str] = (".jpg", ".jpeg",
     return files.where(keep)
 
 
-def run_results(spark: SparkSession, roots: dict[str, str | None] | str, metrics: Sequence[str]) -> DataFrame:
+def run_results(spark: SparkSession, roots: dict[str, str | None] | str, metrics: Sequence[str], modalities: Sequence[str] = ()) -> DataFrame:
     """Result files ``<root>/<user>/<model>/<method>__<mods>.csv``, first row each → tidy runs.
 
     Numbers that do not parse become null; an ``eval_count`` that is missing or 0 falls back to
-    ``candidate_count``.  A root may relabel its method.
+    ``candidate_count``.  A root may relabel its method.  ``modalities`` names the ``count_<m>`` columns to bring along.
     """
     roots = {roots: None} if isinstance(roots, str) else roots
+    counts = [f"count_{m}" for m in modalities]
     out = None
     for root, label in roots.items():
-        schema = ", ".join(["status string", "modalities string", *[f"{m} double" for m in ("candidate_count", "eval_count", "ideal_count", *metrics)]])
+        schema = ", ".join(["status string", "modalities string", *[f"{m} double" for m in ("candidate_count", "eval_count", "ideal_count", *counts, *metrics)]])
         rows = first_rows(read_csv(spark, f"{root}/*/*/*.csv", schema))
         parts = F.split("_file", "/")
         named = rows.withColumn("_run", tx.run_name("_file"))
@@ -216,7 +234,7 @@ def run_results(spark: SparkSession, roots: dict[str, str | None] | str, metrics
             (F.lit(label) if label else F.col("_run.method")).alias("method"),
             F.coalesce(F.nullif("_run.modalities", F.lit("")), "modalities", F.lit("")).alias("modalities"),
             F.coalesce("status", F.lit("")).alias("status"), "candidate_count",
-            F.coalesce(F.nullif("eval_count", F.lit(0.0)), "candidate_count").alias("eval_count"), "ideal_count", *metrics,
+            F.coalesce(F.nullif("eval_count", F.lit(0.0)), "candidate_count").alias("eval_count"), "ideal_count", *counts, *metrics,
         )
         out = tidy if out is None else out.unionByName(tidy)
     return out

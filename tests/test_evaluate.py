@@ -118,3 +118,16 @@ def test_mean_ci_uses_student_t(spark):
     assert np.isclose(got["g"]["ci"], 4.303 * np.std(v, ddof=1) / np.sqrt(3)) and got["one"]["ci"] is None
     w = [float(i % 5) for i in range(40)]
     assert np.isclose(got["many"]["ci"], 1.96 * np.std(w, ddof=1) / np.sqrt(40))
+
+
+def test_profile_lists_are_found_at_any_depth(spark):
+    deep = '{"a": ' * 40 + '["x", "y"]' + "}" * 40
+    df = spark.createDataFrame([(1, deep), (2, "{bad"), (3, None), (4, '{"k.l": ["z"], "n": [1], "e": []}')], "profile_id int, profile string")
+    got = {(r["profile_id"], r["path"].count("."), tuple(r["items"])) for r in ev.profile_fields(df, ["profile_id"]).collect()}
+    assert got == {(1, 39, ("x", "y")), (4, 1, ("z",))}
+
+
+def test_preservation_lists_all_missing_tokens(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: i.cast("string")).alias("raw"), F.array(F.lit("1")).alias("kept"))
+    r = ev.preservation(df, F.col("raw"), F.col("kept"), sample=10).first()
+    assert len(r["missing"]) == 24 and len(r["missing_sample"]) == 10 and r["score"] == 4.0

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
@@ -66,3 +67,33 @@ def test_fitting_size_follows_the_largest_key(spark):
     assert fitting_size(df, ["k"], "i", hot) is None
     width = fitting_size(df, ["k"], "i", 10)
     assert 120 / width >= hot / 10 - 1 and fitting_size(df.limit(0), ["k"], "i") is None
+
+
+NULLS = [("a", 5), ("a", None), (None, 1), (None, 9), ("a", 2), (None, None), ("a", 700)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_null_keys_and_null_order_values_are_the_same_in_chunks(spark, size):
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(NULLS)], "u string, i long, id long")
+
+    def made(chunk):
+        o = Ordered(df, ["u"], ["i", "id"], chunk).ordinal("n").lag("before", F.col("id")).lead("after", F.col("id"))
+        return sorted((tuple(r) for r in o.running_sum("s", F.col("id")).fill("f", F.when(F.col("id") % 2 == 0, F.col("id"))).done().collect()), key=str)
+
+    assert made(ordinal_chunk("i", size)) == made(None) and len(made(None)) == len(NULLS)
+
+
+@pytest.mark.parametrize("size", [None, 1, 3])
+def test_folds_keep_rows_without_key_or_order(spark, size):
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(NULLS)], "u string, i long, id long")
+
+    def step(state, row):
+        state["n"] += 1
+        return int(row[0]), state["n"]
+
+    out = chunked_fold(df, ["u"], ["i", "id"], ordinal_chunk("i", size), ["id"], lambda: {"n": 0}, step, "id bigint, n bigint")
+    want = {}
+    for key in ("a", None):
+        own = sorted(((v is not None, v or 0, i) for i, (k, v) in enumerate(NULLS) if k == key))
+        want.update({i: (key, n + 1) for n, (_, _, i) in enumerate(own)})
+    assert {r["id"]: (r["u"], r["n"]) for r in out.collect()} == want

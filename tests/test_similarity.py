@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from daytrace.operators import similarity as sim
+from daytrace.operators import graph, similarity as sim
 from daytrace.operators.graph import connected_components, first_come_set, greedy_matching
 
 
@@ -148,3 +148,12 @@ def test_greedy_matching_with_copies(spark, rounds, limit):
     df = spark.createDataFrame(pairs, "k string, i long, j long, cos double")
     cap = lambda d: spark.createDataFrame([("k", a, b) for a, b in d.items()], "k string, id long, n long")
     assert rows(greedy_matching(df, cap(left), cap(right), ["k"], rounds_before_fold=rounds, fold_edges=limit), "i", "j", "m") == sorted(want)
+
+
+@pytest.mark.parametrize("fold_edges", [0, 200_000])
+def test_graph_steps_keep_null_keys_on_both_sides_of_the_switch(spark, fold_edges):
+    edges = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("k", 1, 2), ("k", 5, 6)], "user string, i long, j long")
+    comp = {(r["user"], r["id"], r["component"]) for r in graph.connected_components(edges, ["user"], fold_edges=fold_edges).collect()}
+    assert comp == {(None, 1, 1), (None, 2, 1), (None, 3, 1), ("k", 1, 1), ("k", 2, 1), ("k", 5, 5), ("k", 6, 5)}
+    kept = {(r["user"], r["id"]) for r in graph.first_come_set(edges, ["user"], fold_edges=fold_edges).where("kept").collect()}
+    assert kept == {(None, 1), (None, 3), ("k", 1), ("k", 5)}

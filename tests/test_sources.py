@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from daytrace.operators import report as rp
 from daytrace.sources import files as src
 from daytrace.sources import sinks
 
@@ -78,6 +79,19 @@ def test_run_results(spark, tmp_path):
         ("ann", "m1", "none", "ax+ocr", 10.0, 0.5), ("ann", "m1", "rerank", "ax", 7.0, -1.0)]
 
 
+def test_runs_with_different_headers(spark, tmp_path):
+    put(tmp_path / "ann b" / "m1" / "none__ax.csv", "status,candidate_count,count_ax,eval_count,f1_score\nok,10,4,8,0.5\n")
+    put(tmp_path / "ann b" / "m1" / "rerank__ax+ocr.csv", "status,candidate_count,count_ax,count_ocr,eval_count,f1_score\nok,10,3,0,25,0.25\n")
+    put(tmp_path / "ann b" / "m1" / "none.csv", "modalities,f1_score,status\nax,0.1,ok\n")
+    put(tmp_path / "ann b" / "m1" / "m__x__y.csv", "f1_score,status\n0.2,ok\n")
+    got = src.run_results(spark, str(tmp_path), ["f1_score"], ["ax", "ocr"])
+    seen = {tuple(r) for r in got.select("method", "modalities", "eval_count", "count_ax", "count_ocr", "f1_score").collect()}
+    assert seen == {
+        ("none", "ax", 8.0, 4.0, None, 0.5), ("rerank", "ax+ocr", 25.0, 3.0, 0.0, 0.25), ("none", "ax", None, None, None, 0.1), ("m", "x__y", None, None, None, 0.2)}
+    cells = rp.resolve_runs(got)
+    assert rows(cells.where("method = 'rerank'"), "modalities", "native") == [("ax", False)]
+
+
 def test_plain_text_sources(spark, tmp_path):
     p = put(tmp_path / "profile.md", "line one\nline two\n")
     q = put(tmp_path / "claims.txt", "a\n\n  b \n")

@@ -18,7 +18,9 @@ def test_batch_failure_marks_only_its_rows(spark):
         return answer
 
     df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "bad", "c", "d"])], "id long, prompt string").coalesce(1)
-    got = {r["id"]: r for r in nf.infer(df, "prompt", client, chunk=2).collect()}
+    whole = nf.infer(df, "prompt", client, chunk=2).where("id = 2").first()
+    assert whole["error"] == "x" * 900
+    got = {r["id"]: r for r in nf.infer(df, "prompt", client, chunk=2, error_chars=500).collect()}
     assert [got[i]["text"] for i in range(5)] == ["A", "B", None, None, "D"]
     assert len(got[2]["error"]) == 500 and got[4]["error"] is None and got[0]["stats"]["prompt_tokens"] == 1
 
@@ -46,9 +48,9 @@ def test_text_helpers(spark):
     assert spark.range(1).select(tx.token_count(F.lit("a  b"))).first()[0] == 3
 
 
-def clean(spark, *snapshots):
+def clean(spark, *snapshots, **options):
     df = spark.createDataFrame([(json.dumps(s) if s is not None else None,) for s in snapshots], "raw string")
-    return [tuple(r[0]) for r in df.select(trees.clean_snapshot(F.col("raw"))).collect()]
+    return [tuple(r[0]) for r in df.select(trees.clean_snapshot(F.col("raw"), **options)).collect()]
 
 
 def test_tree_cleaning(spark):
@@ -64,7 +66,7 @@ def test_tree_cleaning(spark):
 def test_tree_special_roots(spark):
     two = [{"role": "a", "name": "one"}, {"role": "a", "name": "one"}]
     got = clean(spark, {"data": []}, {}, None, {"data": "text"}, {"data": {"is_pdf": True, "pdf_summary": {"text": "p" * 2000}}},
-                {"data": two}, {"data": {"hidden": True, "name": "x"}}, {"data": {"k": 1}})
+                {"data": two}, {"data": {"hidden": True, "name": "x"}}, {"data": {"k": 1}}, pdf_chars=1500)
     assert [g[0] for g in got] == ["EMPTY", "EMPTY", "EMPTY", "ERROR", "PDF", "APP", "APP", "APP"]
     assert got[4][1] == '[PDF] "' + "p" * 1500 + '"' and got[5][1] == '[VirtualRoot]\n  [a] "one"\n  [a] "one"'
     assert got[6][1] == "[Empty Tree]" and got[7][1] == "[Empty Tree]"
@@ -77,3 +79,18 @@ def test_tree_nodes_and_tokens(spark):
     assert rows(got) == [(0, "0", "window", "Top bar"), (1, "0.0", "button", "Save it")]
     t = df.select(trees.snapshot_tokens(F.col("raw")).alias("a"), trees.snapshot_tokens(F.col("raw"), True).alias("b")).first()
     assert "secret" in t["a"] and "secret" not in t["b"] and "it" in t["a"] and "it" not in t["b"]
+
+
+def test_pdf_text_is_whole_by_default(spark):
+    got = clean(spark, {"data": {"is_pdf": True, "pdf_summary": {"text": "p" * 2000}}})
+    assert got == [("PDF", '[PDF] "' + "p" * 2000 + '"')]
+
+
+def test_broken_and_deep_snapshots_stay_single_rows(spark):
+    deep = '{"data": ' + '{"role": "group", "children": [' * 3000 + '{"role": "button", "name": "end"}' + "]}" * 3000 + "}"
+    raw = [deep, "{bad", "[1]", None, json.dumps({"data": {"role": "button", "name": "Save"}})]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string").coalesce(1)
+    got = df.select("i", trees.clean_snapshot(F.col("raw")).alias("c"), trees.snapshot_tokens(F.col("raw")).alias("t"), trees.snapshot_broken(F.col("raw")).alias("b")).orderBy("i").collect()
+    assert [r["c"]["type"] for r in got] == ["APP", "ERROR", "EMPTY", "EMPTY", "APP"]
+    assert got[0]["c"]["accessibility"].endswith('[button] "end"') and "end" in got[0]["t"]
+    assert [r["t"] for r in got[1:4]] == [[], [], []] and [r["b"] for r in got[1:]] == [True, True, False, False]

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daytrace.functions.common import join_on
+from daytrace.functions import text as tx
 from daytrace.functions import vectors as vx
 from daytrace.operators.graph import connected_components, first_come_set
 from daytrace.operators.infer import lexical_score
@@ -293,6 +294,41 @@ def novelty_gate(
     return _gate(placed, keys, threshold, window, decay, block_rows, crowd, head_rows).drop("_t", "vec")
 
 
+def observation_items(rows: DataFrame, merge_on: str) -> DataFrame:
+    """Observations that can be merged: adds ``text`` by mode and keeps rows that have one and a ``start``."""
+    return rows.withColumn("text", tx.merge_text(F.col("summary"), F.col("transcription"), merge_on)).where("text != '' and start is not null")
+
+
+def carry_through(merged: DataFrame, merge_on: str) -> DataFrame:
+    """The merged ``text`` goes into the field it was made from; the other field stays the kept observation's own, but is blank
+    for summaries only. Texts made of both leave both as they were."""
+    summary = F.col("text") if merge_on in ("summary-only", "summary") else F.col("summary")
+    transcription = {"summary-only": F.lit(""), "transcription": F.col("text")}.get(merge_on, F.col("transcription"))
+    return merged.withColumns({"summary": F.coalesce(summary, F.lit("")), "transcription": F.coalesce(transcription, F.lit(""))}).drop("text")
+
+
+def merge_modalities(
+    rows: DataFrame, keys: Sequence[str], size: float, theta: float, merge_on: str = "summary", long_term: bool = True,
+    write: Synthesizer | None = None, block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Observations of all modalities of a key, merged in wall-clock windows → (merged rows, counts per key and modality).
+
+    ``rows`` hold ``id`` (unique in the key, in the order that breaks ties), modality, pair_idx, start (seconds), end, summary,
+    transcription and the unit ``vec`` of the text that is merged. A merged row keeps modality, pair number and times of the
+    observation it stands for. Counts: observations, with_transcription and kept.
+    """
+    keys = list(keys)
+    used = cut(observation_items(rows, merge_on))
+    merged = moving_window(used, keys, size, theta, long_term, write, "start", block_rows).where("kept")
+    merged = cut(merged.select(*keys, F.col("src_id").alias("id"), F.col("text").alias("_text")))
+    source = used.select(*keys, "id", "modality", F.col("pair_idx").alias("source_pair_idx"), "start", "end", "summary", "transcription")
+    out = join_on(source, merged, [*keys, "id"]).withColumnRenamed("_text", "text")
+    spoken = F.count_if(tx.trim_ws(F.coalesce("transcription", F.lit(""))) != "")
+    seen = used.groupBy(*keys, "modality").agg(F.count(F.lit(1)).alias("observations"), spoken.alias("with_transcription"))
+    kept = out.groupBy(*keys, "modality").agg(F.count(F.lit(1)).alias("kept"))
+    return carry_through(out, merge_on), join_on(seen, kept, [*keys, "modality"], "left").na.fill(0, ["kept"])
+
+
 def merge_stats(items: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Input, output and absorbed counts per key; ``merged`` is any arm's output."""
     keys = list(keys)

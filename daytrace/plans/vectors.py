@@ -11,6 +11,7 @@ from daytrace.operators import merge as mg
 from daytrace.operators import report as rp
 from daytrace.operators import similarity as sim
 from daytrace.operators.infer import lexical_score
+from daytrace.operators.ordered import Ordered, ordinal_chunk
 from daytrace.plans.registry import query, r6, table
 
 THETA = 0.35
@@ -204,6 +205,37 @@ def moving_window(spark, sf):
     return out.select("pos", "src_id", F.coalesce("into", F.lit(-1)).alias("absorbed_by"))
 
 
+def observations(spark, sf) -> DataFrame:
+    """One observation for each vector: summary and transcription of a pair of turns, taken in turn from all pairs."""
+    talk = table(spark, sf, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("pair_idx")).agg(
+        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("summary"),
+        F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("transcription"))
+    placed = Ordered(talk.withColumn("all", F.lit(0)), ["all"], ["conv_id", "pair_idx"], ordinal_chunk("conv_id", 4_096)).ordinal("n").done().drop("all")
+    v = vectors(spark, sf).crossJoin(F.broadcast(talk.agg(F.count(F.lit(1)).alias("_many"))))  # one row
+    return v.withColumn("n", F.col("id") % F.col("_many")).join(placed, "n").select(
+        "all", "id", "vec", F.element_at(F.array(*[F.lit(m) for m in ("ax", "metadata", "screen")]), F.col("label") % 3 + 1).alias("modality"),
+        "pair_idx", F.col("id").cast("double").alias("start"), F.col("id").cast("double").alias("end"), "summary", "transcription")
+
+
+OBSERVED = f"""pairs AS (SELECT row_number() OVER (ORDER BY conv_id, turn // 2) - 1 AS n, conv_id, turn // 2 AS pair_idx, max(text) FILTER (role = 'user') AS summary, coalesce(max(text) FILTER (role = 'assistant'), '') AS transcription FROM conversations GROUP BY conv_id, turn // 2),
+obs AS (SELECT vec_id AS id, ['ax', 'metadata', 'screen'][label % 3 + 1] AS modality, pairs.* FROM embeddings JOIN pairs ON vec_id % (SELECT count(*) FROM pairs) = n WHERE regexp_replace(coalesce(summary, ''), '^\\s+|\\s+$', '', 'g') <> ''),
+{V.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT id FROM obs))")}"""
+
+
+@query("m6_p5_p12_merged_modalities", f"""WITH RECURSIVE {OBSERVED}, {PASS1}
+SELECT obs.id, obs.modality, obs.pair_idx AS source_pair_idx, CAST(obs.id AS DOUBLE) AS start, md5(regexp_replace(obs.summary, '^\\s+|\\s+$', '', 'g')) AS summary, md5(obs.transcription) AS transcription FROM mains JOIN obs ON obs.id = mains.id""")
+def merged_modalities(spark, sf):
+    out, _ = mg.merge_modalities(observations(spark, sf), ["all"], WINDOW, THETA, "summary", long_term=False)
+    return out.select("id", "modality", "source_pair_idx", "start", F.md5("summary").alias("summary"), F.md5("transcription").alias("transcription"))
+
+
+@query("a5_modality_counts", f"""WITH RECURSIVE {OBSERVED}, {PASS1}
+SELECT obs.modality, count(*) AS observations, count(*) FILTER (regexp_replace(obs.transcription, '^\\s+|\\s+$', '', 'g') <> '') AS with_transcription, count(mains.id) AS kept FROM obs LEFT JOIN mains ON obs.id = mains.id GROUP BY obs.modality""")
+def modality_counts(spark, sf):
+    _, counts = mg.merge_modalities(observations(spark, sf), ["all"], WINDOW, THETA, "summary", long_term=False)
+    return counts.drop("all")
+
+
 def gate_sql(near: str) -> str:
     return f"""WITH RECURSIVE {V}, near AS ({near}),
 nb AS (SELECT v.id AS pos, coalesce((SELECT list(i) FROM near WHERE near.j = v.id), []) AS ns FROM v),

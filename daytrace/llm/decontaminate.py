@@ -28,16 +28,29 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias(KEY[0]), F.hash(text).alias(KEY[1]), F.length(text).alias(KEY[2])]
 
 
+def _has(text: Column, *marks: str) -> Column:
+    found = text.contains(marks[0])
+    for mark in marks[1:]:
+        found = found | text.contains(mark)
+    return found
+
+
+def _step(text: Column, needs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """A replacement that texts without any of the characters it is about pass by."""
+    return _once(text, lambda t: F.when(_has(t, *needs), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
 def slotted(text: Column) -> Column:
     """Lower-case tokens in one string; a slot is its mark followed by its value. A name is a capitalised word that follows
     a small letter, a digit or a comma and a blank, so not one that begins a sentence."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    t = F.lower(F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)", f"{NAME}$1"))
-    t = F.regexp_replace(t, r"[.,](?!\d)|(?<!\d)[.,]|[^\p{L}\p{N}\x01-\x03.,$€£%]+", " ")
-    t = F.regexp_replace(t, r"[$€£%]", f" {UNIT}$0 ")
+    t = _step(F.coalesce(text, F.lit("")), (NUMBER, NAME, UNIT), r"[\x01-\x03]", " ")
+    t = F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)\p{Ll}+", f"{NAME}$0"))
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\x01-\x03.,$€£%]+|[.,](?!\d)|[.,](?<!\d.)", " ")
+    t = _step(t, ("$", "€", "£", "%"), r"[$€£%]", f" {UNIT}$0 ")
     t = F.regexp_replace(t, r"\d+(?:[.,]\d+)*", f" {NUMBER}$0 ")
-    t = F.regexp_replace(t, rf"(\x01\S+ +)({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2")
-    return F.btrim(F.regexp_replace(t, " +", " "))
+    t = _step(t, ("  ",), " +", " ")
+    t = _step(t, (NUMBER,), rf"(\x01\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2")
+    return F.btrim(t)
 
 
 def _once(value: Column, use) -> Column:
@@ -46,20 +59,25 @@ def _once(value: Column, use) -> Column:
 
 
 def _windows_of(tokens: Column, n: int) -> Column:
-    template, values = tokens["template"], tokens["values"]
-    starts = F.when(F.size(template) >= n, F.sequence(F.lit(1), F.size(template) - n + 1)).otherwise(F.array().cast("array<int>"))
-    strings = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(template, i, n), " ").alias("s")))
-    any_slot = lambda s: s.contains(NUMBER) | s.contains(NAME) | s.contains(UNIT)
-    slots = lambda pos: F.filter(F.slice(values, pos, n), lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT))
-    return F.transform(strings, lambda w: F.struct(
-        w["pos"].alias("pos"), F.lit(n).alias("length"), F.xxhash64(w["s"]).alias("hash"), F.when(any_slot(w["s"]), slots(w["pos"])).alias("slots")
-    ))
+    hashes, values, slot = tokens["hashes"], tokens["values"], tokens["slot"]
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
+    is_slot = lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT)
+    slots = lambda i: F.when(F.array_contains(F.slice(slot, i, n), True), F.filter(F.slice(values, i, n), is_slot))
+    window = lambda i, found: F.struct(i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(F.slice(hashes, i, n)).alias("hash"), found.alias("slots"))
+    plain = F.transform(starts, lambda i: window(i, F.lit(None).cast("array<string>")))
+    return F.when(F.size(slot) > 0, F.transform(starts, lambda i: window(i, slots(i)))).otherwise(plain)
 
 
 def windows(text: Column, lengths: list[int]) -> Column:
-    """Array of windows: pos, length, hash of the template, values of the slots (null where there are none)."""
-    template = lambda full: F.split(F.regexp_replace(full, r"([\x01-\x03])\S+", "$1"), " ")
-    tokens = lambda full: F.struct(template(full).alias("template"), F.split(full, " ").alias("values"))
+    """Array of windows: pos, length, hash of the template's token hashes, values of the slots (null where there are none)."""
+
+    def tokens(full: Column) -> Column:
+        some = _has(full, NUMBER, NAME, UNIT)
+        template = F.when(some, F.regexp_replace(full, r"([\x01-\x03])\S+", "$1")).otherwise(full)
+        hashes = lambda t: F.transform(F.split(t, " "), lambda w: F.xxhash64(w))
+        values = F.when(some, F.split(full, " ")).otherwise(F.array().cast("array<string>"))
+        return F.struct(hashes(template).alias("hashes"), values.alias("values"), F.transform(values, lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT)).alias("slot"))
+
     return _once(slotted(text), lambda full: _once(tokens(full), lambda t: F.concat(*[_windows_of(t, n) for n in lengths])))
 
 

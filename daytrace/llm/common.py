@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -40,3 +44,30 @@ def bounded_labels(labels: DataFrame, label: str, bound: int, id_col: str = "doc
         share = min(1.0, bound / 2 / n)
         keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))))
     return rows.where(keep)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows for the jobs run inside: texts are long, and a batch is held several times over.
+    The caller's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's Arrow batches hold at most ``rows`` rows: documents are long, and the JVM keeps a batch
+    outside its heap several times over. For jobs that own their session; ``small_batches`` puts the setting back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
+
+
+def one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, one Python string at a time; memory that Arrow no longer needs goes back first."""
+    pa.default_memory_pool().release_unused()
+    return (t.as_py() for t in texts)

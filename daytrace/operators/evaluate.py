@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daytrace.functions import text as tx
 from daytrace.functions import vectors as vx
+from daytrace.functions.common import join_on
 from daytrace.operators.graph import greedy_matching
 from daytrace.operators.similarity import (
     BLOCK_ROWS, binned_pairs, centroids, collapse_copies, coverage_sums, cross_pairs_above, pool_coverage, top_matches,
@@ -119,11 +120,21 @@ def compare_sets(
         one_to_one_jaccard(source, reference, keys, threshold, block_rows).drop("matched"),
         soft_coverage(source, reference, keys, low, high, block_rows=block_rows),
     ):
-        out = out.join(part, keys, "left")
+        out = join_on(out, part, keys, "left")
     filled = [c for c in out.columns if c not in {*keys, "candidate_count", "ideal_count"}]
     return out.na.fill(0.0, filled).withColumn("status", run_status(F.col("candidate_count"), F.col("ideal_count")))
 
 
+def with_composite(compared: DataFrame, semantic: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds to ``compare_sets`` the profile score of each key and its label. ``semantic`` holds keys and the ``semantic`` cosine of
+    the two whole texts; a key without it has 0."""
+    ws, wj, wb = COMPOSITE_SETS
+    out = join_on(compared, semantic.select(*keys, zero_if_null(F.col("semantic")).alias("profile_semantic_similarity")), list(keys), "left")
+    out = out.na.fill(0.0, ["profile_semantic_similarity"])
+    total = ws * F.col("profile_semantic_similarity") + wj * F.col("semantic_jaccard") + wb * F.col("symmetric_best_mean")
+    return out.withColumn("profile_composite_score", F.round(total, 4)).withColumn("profile_interpretation", tx.score_label(total))
+
+
 def run_status(candidates: Column, ideals: Column) -> Column:
     return F.when(ideals == 0, "missing_ideal").when(candidates == 0, "empty_candidate").otherwise("ok")
 

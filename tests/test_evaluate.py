@@ -131,3 +131,13 @@ def test_preservation_lists_all_missing_tokens(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: i.cast("string")).alias("raw"), F.array(F.lit("1")).alias("kept"))
     r = ev.preservation(df, F.col("raw"), F.col("kept"), sample=10).first()
     assert len(r["missing"]) == 24 and len(r["missing_sample"]) == 10 and r["score"] == 4.0
+
+
+def test_composite_weighs_text_matches_and_best_means(spark):
+    vec = "user string, id long, vec array<double>"
+    a = spark.createDataFrame([("u", 1, [1.0, 0.0]), ("u", 2, [0.0, 1.0]), ("w", 1, [1.0, 0.0])], vec)
+    b = spark.createDataFrame([("u", 5, [1.0, 0.0]), ("w", 6, [0.0, 1.0])], vec)
+    semantic = spark.createDataFrame([("u", 0.9), ("w", None)], "user string, semantic double")
+    got = {r["user"]: r for r in ev.with_composite(ev.compare_sets(a, b, ["user"]), semantic, ["user"]).collect()}
+    assert got["u"]["profile_composite_score"] == round(0.5 * 0.9 + 0.3 * 0.5 + 0.2 * 0.75, 4) and got["w"]["profile_composite_score"] == 0
+    assert got["u"]["profile_interpretation"] != got["w"]["profile_interpretation"]

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and gives a DataFrame; all but the last
 return the columns of documents. ``run`` writes each result to the shared folder and reads it again for the next stage.
-Null and empty texts pass the stages as empty texts; rows with equal or null ids are judged one by one.
+Null and empty texts pass the stages as empty texts; rows with equal or null ids are judged one by one. The stages that work in
+Python lower the session's Arrow batches to a thousand rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daytrace.llm import bpe, decontaminate, ngram_join, quality, toxicity
-from daytrace.llm.common import fold_of, fresh_name, table, text_or_empty
+from daytrace.llm.common import fold_of, fresh_name, long_rows, table, text_or_empty
 from daytrace.session import cut
 
 REJECT_QUALITY_BELOW = 0.3
@@ -20,6 +21,7 @@ ORACLE_SQL = None  # learned scores, MinHash and BPE merges have no SQL form; te
 
 
 def _kept(docs: DataFrame, score: Column, keep) -> DataFrame:
+    long_rows(docs.sparkSession)
     name = fresh_name(docs, "stage_score")
     return docs.withColumn(name, score).where(keep(F.col(name))).drop(name)
 
@@ -49,6 +51,7 @@ def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (four little-endian bytes an id), their number, and whether decoding gives the text back."""
+    long_rows(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = docs.select("doc_id", "lang", "source", text_or_empty().alias("text"), bpe.encode_column(text_or_empty(), path, pattern).alias("ids"))
     whole = bpe.decode_column("ids", path, pattern) == F.col("text").cast("binary")

@@ -23,12 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
+from daytrace.llm.common import one_by_one
 from daytrace.llm.segments import Unsafe, clean, segments
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 3
 HEAP_BYTES = 40
-KEPT = 200_000
+KEPT = 120_000
 KEPT_LENGTH = 64
 
 
@@ -210,7 +211,7 @@ def encode_column(text: Column | str, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for texts in batches:
-            yield pa.array((None if t is None else own.encode(t) for t in (x.as_py() for x in texts)), pa.binary())
+            yield pa.array((None if t is None else own.encode(t) for t in one_by_one(texts)), pa.binary())
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -222,6 +223,6 @@ def decode_column(ids: Column | str, path: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for found in batches:
-            yield pa.array((None if x is None else own.decode(x) for x in (y.as_py() for y in found)), pa.binary())
+            yield pa.array((None if x is None else own.decode(x) for x in one_by_one(found)), pa.binary())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daytrace.llm.common import bounded_labels, text_or_empty
+from daytrace.llm.common import bounded_labels, one_by_one, small_batches, text_or_empty
 
 TRAINING_ROWS = 20_000  # bound of the labelled sample that reaches the driver
 SYMBOLS = b"#$%&*+/<=>@\\^_`{|}~"
@@ -98,7 +98,7 @@ def statistics_column(text: Column | str) -> Column:
     @F.arrow_udf("array<double>")
     def take(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([statistics(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([statistics(t or "") for t in one_by_one(texts)], pa.list_(pa.float64()))
 
     return take(F.col(text) if isinstance(text, str) else text)
 
@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     and documents without a label take no part; a null text counts as empty."""
     chosen = bounded_labels(labels, label, bound, id_col)
     found = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    got = found.select("y", statistics_column("t").alias("x")).toPandas()
+    with small_batches(docs.sparkSession):
+        got = found.select("y", statistics_column("t").alias("x")).toPandas()
     return fit(np.array(got["x"].tolist(), float), got["y"].to_numpy())
 
 
@@ -118,7 +119,7 @@ def score_column(text: Column | str, model: Discriminant) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = np.array([statistics(t or "") for t in texts.to_pylist()], float).reshape(-1, len(NAMES))
+            rows = np.array([statistics(t or "") for t in one_by_one(texts)], float).reshape(-1, len(NAMES))
             yield pa.array(model.score(rows), pa.float64())
 
     return score(F.col(text) if isinstance(text, str) else text)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from daytrace.llm import bpe, chat, decontaminate, lattice, licenses, ngram_join, quality, rabitq, token_counts, toxicity
-from daytrace.llm.common import fold_of, table, text_or_empty
+from daytrace.llm.common import fold_of, long_rows, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_column(text_or_empty(), path, pattern).alias("ids"))
     return ids.select("doc_id", "ids", bpe.decode_column("ids", path, pattern).alias("decoded")).select(
@@ -34,6 +35,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, module, label: str, folds: int, held: int) -> DataFrame:
     """Scores of all documents by a model of ``module`` that has learned from the labels outside one fold."""
+    long_rows(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", folds) != held)
     model = module.train(docs, labels, label)
@@ -56,6 +58,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
+    long_rows(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
     n = token_counts.count_column("text", public_tokenizers.path("byte_bpe_50k.json"))
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n.alias("n_tokens")).withColumn(
@@ -65,6 +68,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
 
 @query
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lattice.score(docs, fold_of("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

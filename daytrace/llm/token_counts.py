@@ -13,6 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from daytrace.llm.common import one_by_one
 from daytrace.llm.segments import segments
 
 BATCH_BYTES = 1 << 20
@@ -102,6 +103,6 @@ def count_column(text: Column | str, path: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(path)
         for texts in batches:
-            yield pa.array(own.count(texts.to_pylist()), pa.int64())
+            yield pa.array(own.count(one_by_one(texts)), pa.int64())
 
     return count(F.col(text) if isinstance(text, str) else text)

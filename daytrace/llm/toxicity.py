@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daytrace.llm.common import bounded_labels, text_or_empty
+from daytrace.llm.common import bounded_labels, one_by_one, small_batches, text_or_empty
 
 TRAINING_ROWS = 20_000  # bound of the labelled sample that reaches the driver
 LEXICON_SIZE = 400  # bound of the learned lexicon
@@ -26,7 +26,7 @@ MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 HIT, HIDDEN, PERSON, MIXED = 1, 2, 4, 8
 NEAR = 6
 SHORTEST, LONGEST = 4, 9  # stem lengths
-KEPT = 200_000
+KEPT = 100_000
 NAMES = ("hits", "log_hits", "hidden", "near", "persons", "mixed", "upper", "exclaim", "question", "marks", "densest", "length")
 
 
@@ -214,9 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     def take(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(lexicon)
         for texts in batches:
-            yield pa.array(reader.rows(texts.to_pylist()).tolist(), pa.list_(pa.float64()))
+            yield pa.array(reader.rows(one_by_one(texts)).tolist(), pa.list_(pa.float64()))
 
-    got = found.select("id", "y", take("t").alias("x")).toPandas().sort_values("id", kind="stable")
+    with small_batches(docs.sparkSession):
+        got = found.select("id", "y", take("t").alias("x")).toPandas().sort_values("id", kind="stable")
     return fit(lexicon, np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["y"].to_numpy())
 
 
@@ -227,6 +228,6 @@ def score_column(text: Column | str, model: Toxicity) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(model.lexicon)
         for texts in batches:
-            yield pa.array(model.score(reader.rows(texts.to_pylist())), pa.float64())
+            yield pa.array(model.score(reader.rows(one_by_one(texts))), pa.float64())
 
     return score(F.col(text) if isinstance(text, str) else text)

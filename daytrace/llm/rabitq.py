@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from daytrace.llm.common import small_batches
 from daytrace.session import cut
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+QUERY_ROWS = 256
 EPSILON = 3.0  # width of the error bound in standard deviations
 
 
@@ -132,5 +133,7 @@ def search(
                 yield best_of_block(block, query, centre, turn, k, epsilon)
 
     met = asking.join(indexed, "block").mapInPandas(meet, "query_key long, query_id long, vec_key long, vec_id long, score double")
+    with small_batches(vectors.sparkSession, 4):  # a row is a pair of blocks
+        met = cut(met)
     nearest = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "vec_key")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

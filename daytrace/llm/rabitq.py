@@ -22,7 +22,7 @@ from daytrace.session import cut
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
-EPSILON = 3.0  # width of the error bound in standard deviations
+EPSILON = 1.9  # width of the error bound in standard deviations, as published
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:

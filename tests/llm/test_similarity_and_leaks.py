@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from daytrace.llm import decontaminate, ngram_join
@@ -73,6 +74,17 @@ def test_shared_grams_of_dense_and_rare_sets():
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("k", [1, 2, 11, 21, 300, 1999])
+def test_ties_at_the_threshold_are_links(k):
+    def links(shared, left, right):
+        a, b = np.arange(shared + left), np.r_[np.arange(shared), np.arange(right) + 10**6]
+        group = pd.DataFrame({"grams": [s.astype(np.uint64).tobytes() for s in (a, b)], "key": [3, 5], "copies": [1, 1], "block": 0, "bi": 0, "bj": 0})
+        return ngram_join.verify(group, 0.8)["links"].tolist()
+
+    assert links(4 * k, k - k // 2, k // 2) == [1, 1]
+    assert links(4 * k, k - k // 2 + 1, k // 2) == links(4 * k - 1, k + 1, 0) == [0, 0]
+
+
 def test_bands_reach_the_recall():
     b = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**ngram_join.BAND_ROWS) ** b >= 0.999

@@ -86,6 +86,96 @@ def test_rules_claim_longer_sequences_first(spark):
     assert got == [("MIT", 3, ""), ("MIT", 2, "MitNotice"), ("GPL-3.0-or-later", 2, ""), ("", 0, ""), ("", 0, ""), ("", 0, ""), ("MIT", 2, "")]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Copyright (c) 2021, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+APACHE_TEXT = """# Copyright 2021 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+LGPL_TEXT = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ */"""
+
+
+def test_whole_wrapped_texts_are_found(spark):
+    two = BSD_TEXT[: BSD_TEXT.index("3. Neither")] + BSD_TEXT[BSD_TEXT.index("THIS SOFTWARE") :]
+    flat = [" ".join(t.split()) for t in (MIT_TEXT[MIT_TEXT.index("Permission") :], BSD_TEXT)]
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy of the MPL was not distributed with this\r\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\r\n"
+    texts = [MIT_TEXT, BSD_TEXT, two, APACHE_TEXT, LGPL_TEXT, *flat, mpl, "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}", "# SPDX-License-Identifier: AGPL-3.0-or-later", "This project is licensed\nunder the MIT License.", "The licensed party may\nredistribute nothing."]
+    want = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "LGPL-2.1-or-later", "MIT", "BSD-3-Clause", "MPL-2.0", "Apache-2.0,MIT", "AGPL-3.0-or-later", "MIT", ""]
+    got = scanned(spark, texts)
+    assert [(r[0], r[2]) for r in got] == [(w, "") for w in want]
+    assert [r[1] for r in got[:4]] == [5, 7, 6, 4]
+
+
+def test_every_whole_sentence_has_a_cue_and_a_rule():
+    used = {n for _, sequence in licenses.ALL_RULES for n in sequence}
+    assert used == set(licenses.ALL_SENTENCES)
+    for form in [f for forms in licenses.ALL_SENTENCES.values() for f in forms]:
+        assert any(c in form for c in licenses.WHOLE_CUES) and form == " ".join(form.lower().split())
+
+
 def test_every_known_sentence_has_a_cue_and_is_normal():
     for form in [f for forms in licenses.SENTENCES.values() for f in forms]:
         assert any(c in form for c in licenses.CUES) and form == " ".join(form.lower().split())

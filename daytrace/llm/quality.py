@@ -7,6 +7,7 @@ factors kept in the model.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -32,7 +33,7 @@ def statistics(text: str) -> tuple[float, ...]:
     n = max(len(raw), 1)
     words = text.split()
     many = max(len(words), 1)
-    kinds = set(words)
+    kinds = Counter(words)
     lines = text.split("\n")
     share = lambda x, of: float(np.log((x + 0.5) / (of + 1.0)))
     letters = int(seen[65:91].sum() + seen[97:123].sum())
@@ -49,7 +50,7 @@ def statistics(text: str) -> tuple[float, ...]:
         share(int(seen[128:].sum()), n),
         share(len(lines), n),
         share(len(lines) - len(set(lines)), len(lines)),
-        share(max(map(words[:200].count, set(words[:200]))) if words else 0, min(many, 200)),
+        share(max(kinds.values(), default=0), many),
         share(int(seen[46]), n),
     )
 

@@ -67,3 +67,10 @@ def test_sample_is_bounded_and_ignores_nulls(spark):
 
 def test_held_out_labels_are_not_learned_from(spark):
     assert spark.range(50).where(fold_of("id", 5) != 0).count() < 50
+
+
+def test_common_word_counts_over_the_whole_text():
+    clean, at = " ".join(f"w{k}" for k in range(200)), quality.NAMES.index("common_word")
+    stuffed = quality.statistics(clean + " buy" * 1800)[at]
+    assert stuffed == pytest.approx(np.log(1800.5 / 2001)) and stuffed > quality.statistics(clean)[at]
+    assert quality.statistics("buy " * 200 + " ".join(f"w{k}" for k in range(1800)))[at] == pytest.approx(np.log(200.5 / 2001))

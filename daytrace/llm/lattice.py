@@ -12,6 +12,7 @@ words of a text meet the word table in a join.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ PRIOR_PIECES = 5_000.0  # weight of the vocabulary's prior, as a number of piece
 DISCOUNT = 0.75
 FLUSH = 200_000
 MARK = b" "
-LONGEST_WORD = 512  # bytes; a longer word is cut into stretches of this length, each with a lattice of its own
+KEPT_ARCS = 512  # bytes; the arcs of a longer word are looked up again when they are needed, not kept
 
 
 @lru_cache(maxsize=2)
@@ -60,47 +61,49 @@ class Lattice:
         self.longest = max(map(len, pieces))
         self.index = {p: i for i, p in enumerate(pieces)}
 
-    def arcs(self, text: bytes) -> list[list[tuple[int, float, bytes]]]:
-        """For each end, the arcs that reach it: start, log weight, piece."""
-        get, longest = self.log.get, self.longest
-        out: list[list[tuple[int, float, bytes]]] = [[]]
-        for end in range(1, len(text) + 1):
-            own = []
-            for start in range(max(0, end - longest), end):
-                weight = get(text[start:end])
-                if weight is not None:
-                    own.append((start, weight, text[start:end]))
-            out.append(own)
-        return out
+    def _reaching(self, text: bytes, end: int) -> list[tuple[int, float, bytes]]:
+        """The arcs that reach ``end``: start, log weight, piece."""
+        get, own = self.log.get, []
+        for start in range(max(0, end - self.longest), end):
+            weight = get(text[start:end])
+            if weight is not None:
+                own.append((start, weight, text[start:end]))
+        return own
+
+    def arcs(self, text: bytes):
+        """For each end but 0, the arcs that reach it; to be gone through in any direction."""
+        if len(text) <= KEPT_ARCS:
+            kept = [self._reaching(text, end) for end in range(1, len(text) + 1)]
+            return lambda end: kept[end - 1]
+        return lambda end: self._reaching(text, end)
 
     @staticmethod
-    def _forward(arcs) -> list[float]:
-        ahead = [0.0]
-        for own in arcs[1:]:
-            terms = [ahead[start] + weight for start, weight, _ in own]
+    def _forward(arcs, size: int) -> array:
+        ahead = array("d", [0.0])
+        for end in range(1, size + 1):
+            terms = [ahead[start] + weight for start, weight, _ in arcs(end)]
             top = max(terms)
             ahead.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
         return ahead
 
     def log_probability(self, word: bytes) -> float:
-        """Natural log of the marginal probability of the mark and the word."""
+        """Natural log of the marginal probability of the mark and the word, over all segmentations of the whole word."""
         text = MARK + word
-        return sum(self._forward(self.arcs(text[lo : lo + LONGEST_WORD]))[-1] for lo in range(0, len(text), LONGEST_WORD))
+        return self._forward(lambda end: self._reaching(text, end), len(text))[-1]
 
     def expected(self, word: bytes, times: float, into: np.ndarray) -> None:
         """Adds ``times`` the expected number of uses of each piece."""
         text = MARK + word
-        for lo in range(0, len(text), LONGEST_WORD):
-            arcs = self.arcs(text[lo : lo + LONGEST_WORD])
-            ahead = self._forward(arcs)
-            behind = [0.0] * len(arcs)
-            behind[-1] = times
-            for end in range(len(arcs) - 1, 0, -1):  # behind: expected visits of a node
-                visits = behind[end]
-                for start, weight, piece in arcs[end]:
-                    used = visits * exp(ahead[start] + weight - ahead[end])
-                    behind[start] += used
-                    into[self.index[piece]] += used
+        arcs = self.arcs(text)
+        ahead = self._forward(arcs, len(text))
+        behind = array("d", bytes(8 * len(ahead)))
+        behind[-1] = times
+        for end in range(len(text), 0, -1):  # behind: expected visits of a node
+            visits = behind[end]
+            for start, weight, piece in arcs(end):
+                used = visits * exp(ahead[start] + weight - ahead[end])
+                behind[start] += used
+                into[self.index[piece]] += used
 
 
 def words_of(text: str) -> list[bytes]:

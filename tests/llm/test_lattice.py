@@ -36,6 +36,24 @@ def test_expected_counts_spell_the_word(small):
     assert sum(n * len(p) for p, n in zip(weights, into)) == pytest.approx(3.0 * 5)
 
 
+def test_a_long_word_is_one_lattice(small):
+    weights, own = small
+    word = b"aba" * 3334
+    text, chance, down = b" " + word, [1.0], 0.0  # plain sums over the whole word, scaled at each place
+    for end in range(1, len(text) + 1):
+        total = sum(w * chance[-len(p)] for p, w in weights.items() if len(p) < end + 1 and text[end - len(p) : end] == p)
+        down += math.log(total)
+        chance = [c / total for c in [*chance, total][-3:]]
+    assert own.log_probability(word) == pytest.approx(down, rel=1e-12)
+    into = np.zeros(len(weights))
+    own.expected(word, 2.0, into)
+    assert sum(n * len(p) for p, n in zip(weights, into)) == pytest.approx(2.0 * len(text))
+    step = {p: (own.log_probability(word), math.log(w)) for p, w in weights.items()}
+    for k, (p, (base, _)) in enumerate(step.items()):  # expected uses are the slope of the log chance in the log weight
+        bent = lattice.Lattice(list(weights), np.array([w * (1.00001 if q == p else 1) for q, w in weights.items()]))
+        assert 2.0 * (bent.log_probability(word) - base) / math.log(1.00001) == pytest.approx(into[k], rel=1e-3)
+
+
 def test_vocabulary_is_a_distribution_with_every_byte():
     vocab = dict(lattice.vocabulary(PATH))
     assert sum(vocab.values()) == pytest.approx(1) and all(bytes([b]) in vocab for b in range(256))

@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed slots, so a question whose figures or people were changed keeps its template. Windows of
 ``WINDOW`` template tokens are hashed and joined with those of the benchmark items; windows that lie on one diagonal (the
-same distance between text and item) are taken together, and there the slots must agree: one value of the item has to stand
-for one value of the text everywhere. What is equal throughout is a verbatim leak, what is only consistent a re-parameterised one.
+same distance between text and item) are taken together, and in each run of them the slots must agree: one value of the item has
+to stand for one value of the text. Windows that are equal throughout count by themselves: enough of them are a verbatim leak,
+with those that are only consistent it is a re-parameterised one. Every capitalised word is a slot; items also go in with their
+first word the other way, and without names, as a text may quote them inside a sentence or in small letters.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ WINDOW = 8
 SHARE = 0.5  # of an item's windows
 RUN = 13  # or so many tokens in one stretch
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows that may be broadcast; beyond it the join shuffles
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
+LITERALS = 4  # in a window of fewer literal tokens, a word that is capitalised as the first of a sentence stands for itself
 # Fixed list of unit words; they count as units after a number only.
 UNITS = "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres l ml liter liters litre litres hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh kg/h".split()
 KEY = ["text_hash", "text_hash2", "text_length"]
@@ -40,12 +43,17 @@ def _step(text: Column, needs: tuple[str, ...], pattern: str, to: str) -> Column
     return _once(text, lambda t: F.when(_has(t, *needs), F.regexp_replace(t, pattern, to)).otherwise(t))
 
 
-def slotted(text: Column) -> Column:
-    """Lower-case tokens in one string; a slot is its mark followed by its value. A name is a capitalised word that follows
-    a small letter, a digit or a comma and a blank, so not one that begins a sentence."""
-    t = _step(F.coalesce(text, F.lit("")), (NUMBER, NAME, UNIT), r"[\x01-\x03]", " ")
-    t = F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)\p{Ll}+", f"{NAME}$0"))
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\x01-\x03.,$€£%]+|[.,](?!\d)|[.,](?<!\d.)", " ")
+def slotted(text: Column, first: bool = False, names: bool = True) -> Column:
+    """Lower-case tokens in one string; a slot is its mark followed by its value. A name is a capitalised word, wherever it
+    stands; with ``first`` the value of one that may only begin a sentence (that does not follow a small letter, a digit or a
+    comma and a blank) has the mark ``FIRST`` before it."""
+    t = _step(F.coalesce(text, F.lit("")), (NUMBER, NAME, UNIT, FIRST), r"[\x01-\x04]", " ")
+    if first and names:
+        t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)\p{Ll}+", f"{NAME}$0")
+        t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\x02])\p{Lu}\p{Ll}+", f"{NAME}{FIRST}$0")
+    elif names:
+        t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+", f"{NAME}$0")
+    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\x01-\x04.,$€£%]+|[.,](?!\d)|[.,](?<!\d.)", " ")
     t = _step(t, ("$", "€", "£", "%"), r"[$€£%]", f" {UNIT}$0 ")
     t = F.regexp_replace(t, r"\d+(?:[.,]\d+)*", f" {NUMBER}$0 ")
     t = _step(t, ("  ",), " +", " ")
@@ -58,6 +66,12 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _item_forms(text: Column) -> Column:
+    """The forms of an item: all capitalised words slots, the same with its first word the other way, and no names."""
+    other = lambda s: F.when(s.startswith(NAME), F.regexp_replace(s, r"^\x02\x04?", "")).when(s.rlike(r"^\p{L}"), F.concat(F.lit(NAME + FIRST), s)).otherwise(s)
+    return _once(slotted(text, first=True), lambda s: F.array_distinct(F.array(s, other(s), slotted(text, names=False))))
+
+
 def _windows_of(tokens: Column, n: int) -> Column:
     hashes, values, slot = tokens["hashes"], tokens["values"], tokens["slot"]
     starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -68,8 +82,9 @@ def _windows_of(tokens: Column, n: int) -> Column:
     return F.when(F.size(slot) > 0, F.transform(starts, lambda i: window(i, slots(i)))).otherwise(plain)
 
 
-def windows(text: Column, lengths: list[int]) -> Column:
-    """Array of windows: pos, length, hash of the template's token hashes, values of the slots (null where there are none)."""
+def windows(full: Column, lengths: list[int]) -> Column:
+    """Array of windows of a slotted text: pos, length, hash of the template's token hashes, values of the slots (null where
+    there are none)."""
 
     def tokens(full: Column) -> Column:
         some = _has(full, NUMBER, NAME, UNIT)
@@ -78,7 +93,7 @@ def windows(text: Column, lengths: list[int]) -> Column:
         values = F.when(some, F.split(full, " ")).otherwise(F.array().cast("array<string>"))
         return F.struct(hashes(template).alias("hashes"), values.alias("values"), F.transform(values, lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT)).alias("slot"))
 
-    return _once(slotted(text), lambda full: _once(tokens(full), lambda t: F.concat(*[_windows_of(t, n) for n in lengths])))
+    return _once(full, lambda full: _once(tokens(full), lambda t: F.concat(*[_windows_of(t, n) for n in lengths])))
 
 
 def leaks(
@@ -95,25 +110,39 @@ def leaks(
     sized = raw.withColumn("tokens", F.size(F.filter(F.split(slotted(F.col("t")), " "), lambda w: w != "")))
     short = [r["tokens"] for r in sized.where(F.col("tokens").between(1, window - 1)).select("tokens").distinct().collect()]
     lengths = sorted({window, *short})
-    w = F.explode(windows(F.col("t"), lengths)).alias("w")
+    w = F.explode(F.array_distinct(F.flatten(F.transform(_item_forms(F.col("t")), lambda s: windows(s, lengths))))).alias("w")
     items = sized.where("tokens > 0").select("item", "tokens", w).where(F.col("w.length") == F.least(F.lit(window), F.col("tokens")))
     total = F.col("tokens") - F.col("w.length") + 1
     items = cut(items.select("item", total.alias("total"), F.col("w.pos").alias("item_pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots")))
     side = F.broadcast(items) if items.limit(broadcast_windows + 1).count() <= broadcast_windows else items
 
-    found = docs.select(*text_key(F.col(f"`{text_col}`")), F.explode(windows(F.col(f"`{text_col}`"), lengths)).alias("w"))
+    found = docs.select(*text_key(F.col(f"`{text_col}`")), F.explode(windows(slotted(F.col(f"`{text_col}`")), lengths)).alias("w"))
     found = found.select(*KEY, F.col("w.pos").alias("pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
     met = found.join(side, ["hash", "length"])
-    pairs = F.when(F.col("slots").isNotNull(), F.arrays_zip(F.col("item_slots").alias("item_value"), F.col("slots").alias("value"))).otherwise(F.array().cast("array<struct<item_value:string,value:string>>"))
+    few = F.col("length") - F.size("slots") < LITERALS
+    pair = lambda i, v: F.struct(F.replace(i, F.lit(FIRST), F.lit("")).alias("item_value"), v.alias("value"), (few & i.contains(FIRST)).alias("fixed"))
+    pairs = F.when(F.col("slots").isNotNull(), F.zip_with("item_slots", "slots", pair)).otherwise(F.array().cast("array<struct<item_value:string,value:string,fixed:boolean>>"))
+    equal = lambda p: p["item_value"] == p["value"]
+    met = met.withColumn("pairs", pairs).where(F.forall("pairs", lambda p: ~p["fixed"] | equal(p)))
+    one = F.struct("item_pos", F.transform("pairs", lambda p: F.struct(p["item_value"].alias("item_value"), p["value"].alias("value"))).alias("pairs"))
     diagonal = met.withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(*KEY, "item", "shift").agg(
-        F.size(F.collect_set("item_pos")).alias("n_windows"), F.first("total").alias("total"), F.first("length").alias("length"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.array_sort(F.collect_set(one)).alias("met"), F.first("total").alias("total"), F.first("length").alias("length")
     )
-    enough = (F.col("n_windows") >= share * F.col("total")) | ((F.col("length") == window) & (F.col("n_windows") >= run - window + 1))
-    values = F.transform("pairs", lambda p: p["item_value"])
-    agrees = F.size(F.array_distinct(values)) == F.size("pairs")
-    kind = F.when(F.forall("pairs", lambda p: p["item_value"] == p["value"]), "verbatim").otherwise("reparameterised")
-    kept = diagonal.where(enough & agrees).select(*KEY, "item", F.struct((kind == "verbatim").cast("int").alias("same"), "n_windows", (F.col("n_windows") / F.col("total")).alias("share")).alias("d"))
+    # runs: windows at consecutive places; where the slots of one disagree, only its windows that are equal count
+    at = F.transform("met", lambda m: m["item_pos"])
+    starts, ends = F.filter(at, lambda p: ~F.array_contains(at, p - 1)), F.filter(at, lambda p: ~F.array_contains(at, p + 1))
+    inside = lambda lo, hi: F.filter("met", lambda m: m["item_pos"].between(lo, hi))
+    same = lambda run: F.size(F.filter(run, lambda m: F.forall(m["pairs"], equal)))
+
+    def counted(run: Column) -> Column:
+        pairs = F.array_distinct(F.flatten(F.transform(run, lambda m: m["pairs"])))
+        agrees = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_value"]))) == F.size(pairs)
+        return F.when(agrees, F.size(run)).otherwise(same(run))
+
+    runs = F.zip_with(starts, ends, lambda lo, hi: counted(inside(lo, hi)))
+    diagonal = diagonal.select(*KEY, "item", "total", "length", same(F.col("met")).alias("equal"), F.aggregate(runs, F.lit(0), lambda a, n: a + n).alias("n_windows"))
+    enough = lambda n: (n >= share * F.col("total")) | ((F.col("length") == window) & (n >= run - window + 1))
+    kept = diagonal.where(enough(F.col("n_windows"))).select(*KEY, "item", F.struct(enough(F.col("equal")).cast("int").alias("same"), "n_windows", (F.col("n_windows") / F.col("total")).alias("share")).alias("d"))
     best = kept.groupBy(*KEY, "item").agg(F.max(F.struct("d.n_windows", "d.same", "d.share")).alias("d"))
     return best.select(*KEY, "item", "d.n_windows", "d.share", F.when(F.col("d.same") == 1, "verbatim").otherwise("reparameterised").alias("kind"))
 

@@ -120,6 +120,14 @@ def test_slots_have_to_agree(spark, options):
     assert got == {(0, 0): "verbatim", (1, 0): "reparameterised", (6, 0): "verbatim", (8, 1): "verbatim"}
 
 
+def test_first_words_and_conflicts_hide_no_leak(spark):
+    paris, tom = "Paris is the capital of France", "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
+    long = "one two three four five six seven eight nine ten eleven twelve 12 thirteen fourteen fifteen 12 sixteen"
+    texts = [f"as we know {paris} today", tom.replace("Tom", "Anna"), long.replace("fifteen 12", "fifteen 13"), "a paris is the capital of france", "Nothing is the capital of Nowhere", "so a short thing", "A short thing", "My short thing"]
+    items = [paris, tom, long, "a short thing"]
+    assert found(spark, texts, items) == {(0, 0): "verbatim", (1, 1): "reparameterised", (2, 2): "verbatim", (3, 0): "verbatim", (4, 0): "reparameterised", (5, 3): "verbatim", (6, 3): "verbatim"}
+
+
 def test_empty_tables(spark):
     assert found(spark, ["some text"], []) == {}
     assert found(spark, [], [ITEM]) == {}

@@ -48,6 +48,14 @@ def test_empty_table_and_lone_query(spark):
     assert searched(spark, [(20, [1.0, 2.0], 0, None)]).count() == 0
 
 
+def test_the_shipped_bound_holds_the_exact_products():
+    rng = np.random.default_rng(4)
+    v, q, centre = rng.normal(size=(300, 48)), rng.normal(size=(20, 48)), rng.normal(size=48)
+    turn = rabitq.rotation(48)
+    guess, error = rabitq.estimate(*rabitq.encode(v, centre, turn), q, centre, turn)
+    assert (np.abs(guess - q @ v.T) <= error).mean() > 0.99
+
+
 def test_bounds_hold_the_exact_products():
     rng = np.random.default_rng(4)
     v, q, centre = rng.normal(size=(300, 48)), rng.normal(size=(20, 48)), rng.normal(size=48)

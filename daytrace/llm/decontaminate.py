@@ -116,7 +116,9 @@ def leaks(
     items = cut(items.select("item", total.alias("total"), F.col("w.pos").alias("item_pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots")))
     side = F.broadcast(items) if items.limit(broadcast_windows + 1).count() <= broadcast_windows else items
 
-    found = docs.select(*text_key(F.col(f"`{text_col}`")), F.explode(windows(slotted(F.col(f"`{text_col}`")), lengths)).alias("w"))
+    # the key goes through a lambda, so that it is computed once a text and not again for each window
+    keyed = docs.select(_once(F.col(f"`{text_col}`"), lambda t: F.struct(F.struct(*text_key(t)).alias("key"), windows(slotted(t), lengths).alias("ws"))).alias("s"))
+    found = keyed.select("s.key.*", F.explode("s.ws").alias("w"))
     found = found.select(*KEY, F.col("w.pos").alias("pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
     met = found.join(side, ["hash", "length"])
     few = F.col("length") - F.size("slots") < LITERALS

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -71,3 +72,38 @@ def one_by_one(texts: pa.Array) -> Iterator[str | None]:
     """The texts of a batch, one Python string at a time; memory that Arrow no longer needs goes back first."""
     pa.default_memory_pool().release_unused()
     return (t.as_py() for t in texts)
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, share: int = 10_000) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and whose column ``rows`` says how many rows of ``left`` have the key.
+
+    Keys with more than ``total / share`` rows (fewer than ``share`` of them, whatever the data) meet by broadcast, so no task gets
+    a hot key; the others meet by an ordinary join. Keys are not null.
+    """
+    is_hot = F.col(rows) > total // share
+    hot, cold = F.broadcast(right.where(is_hot)), right.where(~is_hot)
+    keys = F.broadcast(right.where(is_hot).select(*on))
+    return left.join(hot, on).unionByName(left.join(keys, on, "left_anti").join(cold, on))
+
+
+def arrow_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column whose lists all have ``width`` items, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def whole_vector(vec: Column) -> Column:
+    """Neither null nor empty, and every component a finite number."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vec) > 0) & finite, F.lit(False))
+
+
+def floored(vec: Column, scale: int, bound: int) -> Column:
+    """floor(scale * component) of each component as a long, held within ``bound`` on both sides."""
+    held = lambda x: F.greatest(F.least(x * scale, F.lit(float(bound))), F.lit(float(-bound)))
+    return F.transform(vec, lambda x: F.floor(held(x)).cast("long"))
+
+
+def usual_length(rows: DataFrame, vec: str) -> tuple[int, int]:
+    """The length that most vectors have (the smaller on a tie) and how many have it; zeros for an empty table."""
+    sizes = rows.groupBy(F.size(vec).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    return (sizes[0]["d"], sizes[0]["n"]) if sizes else (0, 0)

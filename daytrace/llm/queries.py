@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from daytrace.llm import bpe, chat, decontaminate, lattice, licenses, ngram_join, quality, rabitq, simhash, token_counts, toxicity
+from daytrace.llm import bpe, chat, codebooks, decontaminate, lattice, licenses, ngram_join, quality, rabitq, simhash, token_counts, toxicity
 from daytrace.llm.common import fold_of, long_rows, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,15 @@ def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(found, decontaminate.KEY).select("doc_id", F.col("item").alias("item_id"), "n_windows", "share", "kind")
 
 
+@query
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codebooks.with_label_error(codebooks.compress(table(spark, sf_dir, "embeddings")))
+    return coded.select(F.col("id").alias("vec_id"), codebooks.hex_code(F.col("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+ORACLES["op11_codebooks"] = codebooks.oracle_sql()
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from daytrace.llm import bpe, chat, codebooks, decontaminate, lattice, licenses, ngram_join, quality, rabitq, simhash, token_counts, toxicity
+from daytrace.llm import bpe, chat, codebooks, decontaminate, lattice, licenses, ngram_join, quality, rabitq, simhash, token_counts, toxicity, whitening
 from daytrace.llm.common import fold_of, long_rows, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,11 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_codebooks"] = codebooks.oracle_sql()
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))

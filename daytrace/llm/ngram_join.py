@@ -131,7 +131,7 @@ def shared_grams(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links inside one block, or between two: key, links (documents), tie (smallest class it is linked with, itself counted)."""
+    """Links inside one block, or between two: key, links (documents), tie (smallest class it reaches over these links, itself counted)."""
     sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
     size = np.array([len(s) for s in sets], float)
     shared = shared_grams(sets)
@@ -142,8 +142,23 @@ def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         block = group["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
     key, weight = group["key"].to_numpy(), group["copies"].to_numpy(float)
-    tie = np.where(linked, key[None, :], np.iinfo(np.int64).max).min(1)
-    return pd.DataFrame({"key": key, "links": (linked @ weight).astype(np.int64), "tie": np.minimum(tie, key)})
+    return pd.DataFrame({"key": key, "links": (linked @ weight).astype(np.int64), "tie": _reached(key, linked)})
+
+
+def _reached(key: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest key that each one reaches, itself counted."""
+    order = np.argsort(key)
+    near = linked[np.ix_(order, order)]
+    root = np.arange(len(key))
+    while True:
+        low = np.minimum(np.where(near, root[None, :], len(key)).min(1, initial=len(key)), root)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    out = np.empty_like(key)
+    out[order] = key[order][root]
+    return out
 
 
 def join(

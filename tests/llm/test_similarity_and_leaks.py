@@ -85,6 +85,17 @@ def test_ties_at_the_threshold_are_links(k):
     assert links(4 * k, k - k // 2 + 1, k // 2) == links(4 * k - 1, k + 1, 0) == [0, 0]
 
 
+@pytest.mark.parametrize("keys", [[1, 3, 4, 2], [5, 1, 2, 6, 3, 4], list(range(9, 0, -1))])
+def test_chains_of_links_hold_together(spark, keys):
+    sets = [np.arange(10 * t, 10 * t + 90).astype(np.uint64).tobytes() for t in range(len(keys))]  # each is linked with the next only
+    group = pd.DataFrame({"grams": sets, "key": keys, "copies": 1, "block": 0, "bi": 0, "bj": 0})
+    got = ngram_join.verify(group, 0.8)
+    assert got["tie"].tolist() == [min(keys)] * len(keys) and got["links"].tolist() == [1, *[2] * (len(keys) - 2), 1]
+    words = [" ".join(f"w{k}" for k in range(10 * t, 10 * t + 94)) for t in range(len(keys))]
+    df = spark.createDataFrame(sorted(zip(keys, words)), "doc_id long, text string").coalesce(1)
+    assert len({r["class"] for r in ngram_join.join(df).collect()}) == 1
+
+
 def test_bands_reach_the_recall():
     b = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**ngram_join.BAND_ROWS) ** b >= 0.999

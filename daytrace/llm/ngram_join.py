@@ -20,9 +20,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from daytrace.llm.common import one_by_one, small_batches
+from daytrace.llm.common import join_counted, one_by_one, small_batches
 from daytrace.operators.graph import connected_components
 from daytrace.session import cut
 
@@ -176,7 +176,9 @@ def join(
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     signed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")).withColumn("s", sign(text))
     with small_batches(docs.sparkSession):
-        signed = cut(signed.select("row", "key", F.col("s.n").alias("n"), F.coalesce("s.grams", F.col("key").cast("string").cast("binary")).alias("grams"), "s.buckets"))
+        seen = Observation()
+        signed = signed.select("row", "key", F.col("s.n").alias("n"), F.coalesce("s.grams", F.col("key").cast("string").cast("binary")).alias("grams"), "s.buckets")
+        signed = cut(signed.observe(seen, F.count(F.lit(1)).alias("rows")))
     # copies are summed before any other column of theirs moves; their n-gram sets have one size
     classes = cut(signed.groupBy("grams").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
@@ -215,8 +217,9 @@ def join(
     ties = checked.select(F.explode("ties").alias("i"), F.col("key").alias("j")).where("i != j")
     group = connected_components(ties).select(F.col("id").alias("key"), "component")
     found = classes.select("grams", "key", "copies").join(checked.select("key", "links"), "key", "left").join(group, "key", "left")
-    found = found.select("grams", F.coalesce("component", "key").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return signed.select("row", "key", "n", "grams").join(found, "grams").select("row", "key", "class", "links", F.col("n").alias("grams"))
+    found = cut(found.select("grams", "copies", F.coalesce("component", "key").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    out = join_counted(signed.select("row", "key", "n", "grams"), found, ["grams"], "copies", seen.get["rows"])
+    return out.select("row", "key", "class", "links", F.col("n").alias("grams"))
 
 
 def _grams(words: int):

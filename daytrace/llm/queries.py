@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 import corpus_pipeline
 from daytrace.llm import bpe, chat, codebooks, decontaminate, lattice, licenses, ngram_join, quality, rabitq, simhash, token_counts, toxicity, whitening
-from daytrace.llm.common import fold_of, long_rows, table, text_or_empty
+from daytrace.llm.common import fold_of, join_counted, long_rows, table, text_or_empty
+from daytrace.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,9 +112,10 @@ def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class, named by the smallest doc_id in it, and the number of documents it is linked with."""
     joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = joined.select(F.col("row.doc_id").alias("doc_id"), "class", F.col("links").alias("n_links"))
-    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(names, "class").select("doc_id", "class_id", "n_links")
+    seen = Observation()
+    rows = cut(joined.select(F.col("row.doc_id").alias("doc_id"), "class", F.col("links").alias("n_links")).observe(seen, F.count(F.lit(1)).alias("rows")))
+    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return join_counted(rows, names, ["class"], "members", seen.get["rows"]).select("doc_id", "class_id", "n_links")
 
 
 @query

@@ -466,3 +466,30 @@ def centroids(rows: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFra
         .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_v"))
         .select(*keys, F.transform("_v", lambda e: e["_m"]).alias("centroid"))
     )
+
+
+def vector_sums(rows: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
+    """Componentwise sum of the vectors of each key as ``total``: summed inside each batch first, so only one row a key and
+    batch is shuffled, whatever the key's size."""
+    keys = list(keys)
+    head = ", ".join([_ddl(rows, keys)] * bool(keys) + [f"{vec} array<double>"])
+
+    def within(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            places: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[table.column(k).to_pylist() for k in keys]) if keys else [()] * table.num_rows):
+                places.setdefault(key, []).append(at)
+            m = _matrix(table, vec)
+            first = [at[0] for at in places.values()]
+            sums = [m[at].sum(axis=0) for at in places.values()]
+            yield pa.RecordBatch.from_arrays([*[table.column(k).combine_chunks().take(pa.array(first)) for k in keys], pa.array(sums, pa.list_(pa.float64()))], [*keys, vec])
+
+    def across(table: pa.Table) -> pa.Table:
+        total = pa.array([_matrix(table, vec).sum(axis=0)], pa.list_(pa.float64()))
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "total": total})
+
+    partial = rows.select(*keys, vec).mapInArrow(within, head)
+    return partial.groupBy(*keys).applyInArrow(across, head.replace(f"{vec} array<double>", "total array<double>"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["activity", "vectors", "reports", "texts"]
+AREAS = ["activity", "vectors", "reports", "texts", "evaluation"]
 
 
 def load_all() -> None:

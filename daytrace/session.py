@@ -44,6 +44,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the scratch folder."""
+    return f"{scratch_dir(spark).rstrip('/')}/daytrace/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back, so that later rounds neither
     recompute it nor depend on any executor that may be lost."""

@@ -14,6 +14,7 @@ from daytrace.functions import text as tx
 from daytrace.functions import vectors as vx
 from daytrace.operators.graph import connected_components, first_come_set
 from daytrace.operators.infer import lexical_score
+from daytrace.operators.memory import ALONE, Client, merge_writer, roll_up
 from daytrace.operators.ordered import Ordered, ordinal_chunk
 from daytrace.operators.similarity import (
     BLOCK_ROWS, best_earlier, collapse_copies, component_stars, count_above, pairs_above,
@@ -112,14 +113,15 @@ def synthesize_clusters(
     """Replace the text of multi-member clusters by ``write``'s answer, keeping the representative's text
     where it fails.
 
-    ``write`` maps rows (keys, cluster, part, texts) to (keys, cluster, part, text, error).  Members are cut
+    ``write`` maps rows (keys, cluster, part, texts) to (keys, cluster, part, text, error), with ``merge_type`` where it
+    knows one; singletons have the type of a statement left alone, failed clusters none.  Members are cut
     into parts of about ``part_chars`` characters, each written on its own, and the written parts are merged
     in further rounds until one text per cluster is left: no prompt or group grows with the cluster.
     """
     keys = list(keys)
     on = [*keys, "cluster"]
     many = reps.where("size > 1").select(*on)
-    texts = cut(join_on(members, many, on, "left_semi").select(*on, F.col("id").alias("pos"), "text"))
+    texts = cut(join_on(members, many, on, "left_semi").select(*on, F.col("id").alias("pos"), "text", F.lit(None).cast("string").alias("merge_type")))
     failed: DataFrame | None = None
     while True:
         # parts by running length; always at least two texts per part so that rounds shrink
@@ -129,22 +131,26 @@ def synthesize_clusters(
         )
         part = F.least(F.expr("_n div 2"), F.expr(f"_c div {int(part_chars)}"))
         grouped = placed.groupBy(*on, part.alias("part")).agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda e: e["text"]).alias("texts")
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda e: e["text"]).alias("texts"),
+            F.max_by("merge_type", "pos").alias("_type"),
         )
         alone = grouped.where(F.size("texts") == 1).select(
-            *on, "part", F.col("texts")[0].alias("text"), F.lit(None).cast("string").alias("error"))
-        wrote = write(grouped.where(F.size("texts") > 1)).select(*on, "part", "text", "error")
+            *on, "part", F.col("texts")[0].alias("text"), F.lit(None).cast("string").alias("error"), F.col("_type").alias("merge_type"))
+        wrote = write(grouped.where(F.size("texts") > 1).drop("_type"))
+        kind = F.col("merge_type") if "merge_type" in wrote.columns else F.lit(None).cast("string")
+        wrote = wrote.select(*on, "part", "text", "error", kind.alias("merge_type"))
         wrote = cut(wrote.unionByName(alone))
         bad = wrote.where("error is not null").select(*on).distinct()
         failed = bad if failed is None else failed.unionByName(bad)
-        texts = cut(join_on(wrote, bad, on, "left_anti").select(*on, F.col("part").cast("bigint").alias("pos"), "text"))
+        texts = cut(join_on(wrote, bad, on, "left_anti").select(*on, F.col("part").cast("bigint").alias("pos"), "text", "merge_type"))
         left = texts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         if left.isEmpty():
             break
-    final = texts.select(*on, F.col("text").alias("_new"))
+    final = texts.select(*on, F.col("text").alias("_new"), "merge_type")
     return (
         join_on(reps, final, on, "left")
         .withColumn("synthesized", F.col("_new").isNotNull())
+        .withColumn("merge_type", F.when(F.col("size") == 1, ALONE).otherwise(F.col("merge_type")))
         .withColumn("text", F.coalesce("_new", "text")).drop("_new")
     )
 
@@ -174,24 +180,35 @@ def tumbling(items: DataFrame, keys: Sequence[str], size: float, t: str = "t") -
 
 def moving_window(
     items: DataFrame, keys: Sequence[str], size: float, theta: float, long_term: bool = True,
-    write: Synthesizer | None = None, t: str = "t", block_rows: int = BLOCK_ROWS,
+    write: Synthesizer | None = None, t: str = "t", block_rows: int = BLOCK_ROWS, client: Client | None = None,
+    embed: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Two passes: reduce each window, then roll the windows' mains into a long-term store in time order.
 
     Output: one row per main with ``pos`` (time order), ``src_id``, ``text``, ``kept`` and ``into`` (the store
     entry that absorbed it).  With ``long_term=False`` every main is kept.  An item without a time has its id for one.
+    With ``client`` both passes write: clusters by ``memory.merge_writer`` (unless ``write`` is given), and store entries anew with
+    each main they take in; later mains meet the new text's vector by ``embed``, and mains with a written text have it, too.
+    ``merge_type``, ``versions`` and ``failures`` of the entries come along then.
     """
+    if client is not None and embed is None:
+        raise ValueError("rewritten texts need an embedding")
+    if client is not None and write is None:
+        write = merge_writer(client)
     keys = list(keys)
     dated = items.withColumn("_t", F.coalesce(F.col(t).cast("double"), F.col("id").cast("double")))
     windows = tumbling(dated, keys, size, "_t")
     mains = cut(cluster_reduce(windows.select(*keys, "win", "id", "text", "vec"), [*keys, "win"], theta, write=write, block_rows=block_rows))
     placed = cut(
         Ordered(mains, keys, ["win", "cluster"], F.struct("win", ordinal_chunk("cluster"))).ordinal("pos").done()
-        .select(*keys, "pos", "win", F.col("id").alias("src_id"), "text", "vec", "size")
+        .select(*keys, "pos", "win", F.col("id").alias("src_id"), "text", "vec", "size", *(["synthesized"] if client else []))
     )
+    if client is not None:
+        placed = cut(placed.withColumn("vec", F.when(F.col("synthesized"), embed(F.col("text"))).otherwise(F.col("vec"))).drop("synthesized"))
     if not long_term:
         return placed.drop("vec").withColumn("kept", F.lit(True)).withColumn("into", F.lit(None).cast("bigint"))
-    return _gate(placed.withColumn("_t", F.lit(0.0)), keys, theta, None, None, block_rows).drop("_t", "vec")
+    gated = _gate(placed.withColumn("_t", F.lit(0.0)), keys, theta, None, None, block_rows).drop("_t")
+    return roll_up(placed, gated, keys, theta, client, embed, block_rows) if client else gated.drop("vec")
 
 
 def _first_come(reps: DataFrame, keys: list[str], near: DataFrame) -> DataFrame:
@@ -294,6 +311,16 @@ def novelty_gate(
     return _gate(placed, keys, threshold, window, decay, block_rows, crowd, head_rows).drop("_t", "vec")
 
 
+def gate_reduce(gated: DataFrame, keys: Sequence[str], write: Synthesizer) -> DataFrame:
+    """Kept rows of ``novelty_gate`` with a text written from theirs and those of the rows they took in, in order; the kept row's own
+    text where that fails."""
+    keys = list(keys)
+    members = cut(gated.select(*keys, F.coalesce("into", "pos").alias("cluster"), F.col("pos").alias("id"), "text"))
+    sizes = members.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"))
+    reps = join_on(gated.where("kept").withColumn("cluster", F.col("pos")), sizes, [*keys, "cluster"])
+    return synthesize_clusters(reps, members, keys, write).drop("cluster")
+
+
 def observation_items(rows: DataFrame, merge_on: str) -> DataFrame:
     """Observations that can be merged: adds ``text`` by mode and keeps rows that have one and a ``start``."""
     return rows.withColumn("text", tx.merge_text(F.col("summary"), F.col("transcription"), merge_on)).where("text != '' and start is not null")
@@ -351,12 +378,13 @@ def _arm_cluster(items, keys, theta=0.75, tau=0.5, scorer=lexical_score, write=N
     return cluster_reduce(items, keys, theta, scorer, tau, write=write).select(*keys, "id", "text")
 
 
-def _arm_gate(items, keys, threshold=0.8, window=2, decay=None):
-    return novelty_gate(items, keys, threshold, window, decay).where("kept").select(*keys, "id", "text")
+def _arm_gate(items, keys, threshold=0.8, window=2, decay=None, write=None):
+    out = novelty_gate(items, keys, threshold, window, decay)
+    return (gate_reduce(out, keys, write) if write else out.where("kept")).select(*keys, "id", "text")
 
 
-def _arm_window(items, keys, size=5, theta=0.75, long_term=True, write=None):
-    out = moving_window(items, keys, size, theta, long_term, write).where("kept")
+def _arm_window(items, keys, size=5, theta=0.75, long_term=True, write=None, client=None, embed=None):
+    out = moving_window(items, keys, size, theta, long_term, write, client=client, embed=embed).where("kept")
     return out.select(*keys, F.col("src_id").alias("id"), "text")
 
 

@@ -16,13 +16,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
 from daytrace.functions import text as tx
 from daytrace.functions.common import join_on
 from daytrace.operators.infer import infer
-from daytrace.operators.ordered import Ordered, fold_sorted, ordinal_chunk
+from daytrace.operators.ordered import fold_sorted
 from daytrace.operators.similarity import BLOCK_ROWS, block_pairs
 from daytrace.session import cut
 
@@ -33,6 +33,7 @@ ALONE = "refine"  # the type of a statement that was merged with none
 # ------------------------------------------------------------------------------------------------------
 ASK = "Merge these statements into one:\n"
 WRONG = "answer does not match the schema"
+_END = 1 << 62
 
 Client = Callable[[], Callable[[list[str]], list[str]]]
 
@@ -66,14 +67,15 @@ def merge_writer(client: Client, calls: int = 1) -> Callable[[DataFrame], DataFr
 
 
 def _chains(members: DataFrame, keys: list[str], client: Client) -> DataFrame:
-    """Versions of entries from their members in order (keys, entry, from, text, merge_type, error, prev). A step whose entry, members
-    so far and predecessor were the same the round before keeps that round's answer."""
+    """Versions of entries from their members in order (keys, entry, from, to, text, merge_type, error, prev): each holds behind ``from``
+    up to ``to``; a failed step has none to hold. A step whose entry, members so far and predecessor were the same the round before
+    keeps that round's answer."""
     held: dict = {}
     head = [members.schema[k] for k in keys]
-    schema = T.StructType([*head, *T._parse_datatype_string("entry bigint, from bigint, text string, merge_type string, error string, prev bigint").fields])
+    schema = T.StructType([*head, *T._parse_datatype_string("entry bigint, from bigint, to bigint, text string, merge_type string, error string, prev bigint").fields])
 
     def start(group: tuple) -> dict:
-        return {"group": group, "text": None, "last": None, "same": True}
+        return {"group": group, "text": None, "last": None, "same": True, "open": None}
 
     def step(state: dict, row: tuple):
         at, text, old_text, old_type, old_error, old_prev = (None if v != v else v for v in row)
@@ -91,10 +93,16 @@ def _chains(members: DataFrame, keys: list[str], client: Client) -> DataFrame:
                 except Exception as exc:  # noqa: BLE001 - a failing merge leaves the entry as it is
                     text, kind, error = state["text"], None, str(exc)
         state["text"], state["last"] = text, at
-        return (*state["group"], at, text, kind, error, prev)
+        if error is not None:
+            return (*state["group"], at, None, text, kind, error, prev)
+        before, state["open"] = state["open"], (at, text, kind, error, prev)
+        return before and version(state["group"], before, at)
+
+    def version(group: tuple, held_back: tuple, to: int) -> tuple:
+        return (*group, held_back[0], to, *held_back[1:])
 
     fields = ["pos", "text", "_text", "_type", "_error", "_prev"]
-    return fold_sorted(members, [*keys, "entry"], ["pos"], fields, start, step, lambda group, state: [], schema)
+    return fold_sorted(members, [*keys, "entry"], ["pos"], fields, start, step, lambda group, state: [version(group, state["open"], _END)], schema)
 
 
 def _nearest(mains: DataFrame, versions: DataFrame, keys: list[str], theta: float, block_rows: int) -> DataFrame:
@@ -159,24 +167,26 @@ def roll_up(
         opened = rows.select(*keys, F.col("pos").alias("from"), F.col("vec").alias("_own"))
         vec = F.when(F.col("prev").isNull(), F.col("_own")).otherwise(embed(F.col("text")))
         memo = cut(join_on(written, opened, [*keys, "from"]).withColumn("vec", vec).drop("_own"))
-        good = memo.where("error is null").select(*keys, "entry", "from", "vec")
-        held = Ordered(good, [*keys, "entry"], ["from"], ordinal_chunk("from")).lead("to", F.col("from")).done().withColumn("to", F.coalesce("to", F.lit((1 << 62))))
+        held = memo.where("error is null")
         behind = rows if frontier is None else join_on(rows, frontier, keys).where(F.col("pos") > F.col("_first"))
         near = _nearest(behind, held, keys, theta, block_rows)
         again = join_on(behind.select(*on), near, on, "left")
         # statements up to the frontier, and keys without any change, stay as they are
-        both = cut(join_on(assigned, again.withColumnRenamed("into", "_new").withColumn("_seen", F.lit(True)), on, "left"))
-        both = both.withColumn("_new", F.when(F.col("_seen"), F.col("_new")).otherwise(F.col("into")))
-        changed = cut(both.where(~F.col("into").eqNullSafe(F.col("_new"))))
-        n = changed.count()
+        both = join_on(assigned, again.withColumnRenamed("into", "_new").withColumn("_seen", F.lit(True)), on, "left")
+        both = both.withColumn("_new", F.when(F.col("_seen"), F.col("_new")).otherwise(F.col("into"))).drop("_seen")
+        differs = ~F.col("into").eqNullSafe(F.col("_new"))
+        seen = Observation()
+        both = cut(both.observe(seen, F.count_if(differs).alias("n")))
+        n = seen.get["n"]
         if rounds is not None:
             rounds.append(n)
         if not n:
             break
+        changed = both.where(differs)
         frontier = changed.groupBy(*keys).agg(F.min("pos").alias("_first"))
         ends = F.array(F.coalesce("into", "pos"), F.coalesce("_new", "pos"))
-        touched = cut(changed.select(*keys, F.explode(ends).alias("entry")).distinct())
-        assigned = cut(both.select(*on, F.col("_new").alias("into")))
+        touched = changed.select(*keys, F.explode(ends).alias("entry")).distinct()
+        assigned = both.select(*on, F.col("_new").alias("into"))
     last = memo.groupBy(*keys, "entry").agg(
         F.max_by("text", F.col("from")).alias("_last"), F.max_by("merge_type", F.when(F.col("error").isNull(), F.col("from"))).alias("merge_type"),
         F.count_if(F.col("error").isNull()).alias("versions"), F.count_if(F.col("error").isNotNull()).alias("failures"))

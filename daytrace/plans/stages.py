@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
+from daytrace.functions import vectors as vx
+from daytrace.operators import memory as mem
 from daytrace.operators import observe as ob
 from daytrace.operators import profiles as pf
 from daytrace.operators.ordered import Ordered, ordinal_chunk
@@ -81,3 +83,41 @@ def user_profiles(spark, sf):
     return out.select(
         "user", F.array_join("profile.static_profile.background_knowledge_skills.skills", ",").alias("skills"),
         F.col("profile.dynamic_profile.behaviors.recent_tasks")[0].alias("words"), "error")
+
+
+# Long-term store: statements are the suppliers' balances as strings of digits, a merge keeps the larger string ------------------------
+STORE_THETA = 0.69
+
+
+def larger_text_client():
+    def one(prompt: str) -> str:
+        return json.dumps({"merged_proposition": max(json.loads(prompt.partition("\n")[2])), "merge_type": "supersede"})
+
+    return lambda prompts: [one(p) for p in prompts]
+
+
+def digit_vector(text: Column) -> Column:
+    counts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.length(text) - F.length(F.replace(text, d.cast("string"), F.lit(""))))
+    return vx.normalize(counts)
+
+
+@query("m5_t4_n5_rewritten_store", f"""WITH RECURSIVE s AS (SELECT s_nationkey AS u, CAST(CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS VARCHAR) AS text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
+c AS (SELECT *, list_transform(range(10), lambda d: CAST(length(text) - length(replace(text, CAST(d AS VARCHAR), '')) AS DOUBLE)) AS n FROM s),
+m AS (SELECT u, pos, text, list_transform(n, lambda x: CAST(CAST(x / sqrt(list_dot_product(n, n)) AS FLOAT) AS DOUBLE)) AS vec FROM c),
+run AS (SELECT DISTINCT u, CAST(-1 AS BIGINT) AS pos, CAST([] AS STRUCT(pos BIGINT, text VARCHAR, vec DOUBLE[])[]) AS store, CAST(NULL AS BIGINT) AS into_pos FROM m UNION ALL
+  SELECT u, pos, CASE WHEN hit THEN list_transform(store, lambda e, i: CASE WHEN i = best AND text > e.text THEN {{'pos': e.pos, 'text': text, 'vec': vec}} ELSE e END)
+    ELSE list_append(store, {{'pos': pos, 'text': text, 'vec': vec}}) END, CASE WHEN hit THEN store[best].pos END
+  FROM (SELECT *, coalesce(list_max(sims) >= {STORE_THETA}, false) AS hit, list_position(sims, list_max(sims)) AS best
+    FROM (SELECT m.u, m.pos, m.text, m.vec, run.store, list_transform(run.store, lambda e: list_dot_product(e.vec, m.vec)) AS sims FROM run JOIN m ON m.u = run.u AND m.pos = run.pos + 1))),
+fin AS (SELECT u, arg_max(store, pos) AS store FROM run GROUP BY u), entries AS (SELECT u, unnest(store) AS e FROM fin), took AS (SELECT u, into_pos, count(*) AS n FROM run WHERE into_pos IS NOT NULL GROUP BY u, into_pos)
+SELECT CAST(run.u AS INTEGER) AS "user", run.pos, run.into_pos AS "into", run.into_pos IS NULL AS kept, coalesce(entries.e.text, m.text) AS text,
+  CASE WHEN run.into_pos IS NULL THEN coalesce(took.n, 0) + 1 END AS versions, CASE WHEN run.into_pos IS NULL THEN CASE WHEN took.n > 0 THEN 'supersede' ELSE 'refine' END END AS merge_type
+FROM run JOIN m ON m.u = run.u AND m.pos = run.pos LEFT JOIN entries ON entries.u = run.u AND entries.e.pos = run.pos LEFT JOIN took ON took.u = run.u AND took.into_pos = run.pos""")
+def rewritten_store(spark, sf):
+    balance = F.round(F.abs("s_acctbal") * 100).cast("bigint").cast("string")
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("user"), "s_suppkey", balance.alias("text"))
+    placed = Ordered(rows, ["user"], ["s_suppkey"], ordinal_chunk("s_suppkey")).ordinal("pos").done()
+    mains = placed.select("user", "pos", "text", digit_vector(F.col("text")).alias("vec"))
+    guess = mains.select("user", "pos", F.lit(None).cast("bigint").alias("into"))
+    out = mem.roll_up(mains, guess, ["user"], STORE_THETA, larger_text_client, digit_vector)
+    return out.select("user", "pos", "into", "kept", "text", "versions", "merge_type")

@@ -1,8 +1,10 @@
 """Structured Streaming forms of the time-shaped operators.
 
-State per key is bounded: an open session, the memories inside the novelty window, or two frame signatures.
-Rows must arrive in event-time order per key up to the watermark; older rows than the state's clock are
-dropped.  The last open session never closes, as in batch.
+Rows may come in any order inside the declared delay: they wait in keyed list state until the watermark has passed them, are then
+folded in event-time order, and so give the batch result.  State per key is what waits (the rows of one delay) and what the fold
+remembers: an open session, the memories inside the novelty window, or two frame signatures.  Only rows behind the watermark are
+lost, as the delay says.  The last open session never closes, as in batch.  Queries need the RocksDB state store
+(``spark.sql.streaming.stateStore.providerClass``, set by ``session.build_session``).
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from daytrace.operators.frames import CHANGE_PERCENT, STABLE_SECONDS, stable_start, stable_step
 
@@ -32,20 +36,90 @@ def _keyed(stream: DataFrame, key: str, fold, schema: str) -> DataFrame:
         run, f"{key} {key_type}, {schema}", "memory string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _plain(rows) -> list[tuple]:
+    """Rows with NumPy's values as Python's, as list state takes them."""
+    return [tuple(v.tolist() if hasattr(v, "tolist") else v for v in row) for row in rows]
+
+
+class InOrder(StatefulProcessor):
+    """Folds the rows of a key in event-time order, each as soon as the watermark has passed it.
+
+    Rows carry ``us`` (event time in microseconds) and the fields that the fold needs. A timer stands at the earliest waiting row;
+    when it fires, all rows before the watermark are folded together and the timer moves on.
+    """
+
+    def __init__(self, key: str, fields: T.StructType, out: T.StructType, fold):
+        self.key, self.fields, self.out, self.fold = key, fields, out, fold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.memory = handle.getValueState("memory", T.StructType([T.StructField("json", T.StringType())]))
+        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _wait_until(self, earliest_us: int) -> None:
+        at = earliest_us // 1000 + 1
+        if self.due.exists():
+            standing = self.due.get()[0]
+            if standing <= at:
+                return
+            self.handle.deleteTimer(standing)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        names = self.fields.fieldNames()
+        earliest = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList(_plain(zip(*[pdf[n] for n in names])))
+                first = int(pdf["us"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wait_until(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.due.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        names = self.fields.fieldNames()
+        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=names)
+        ready, later = held[held["us"] < passed], held[held["us"] >= passed]
+        if len(later):
+            self.waiting.put(_plain(later.itertuples(index=False, name=None)))
+            self._wait_until(int(later["us"].min()))
+        else:
+            self.waiting.clear()
+        if not len(ready):
+            return
+        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else None
+        out, memory = self.fold(ready, memory)
+        self.memory.update((json.dumps(memory),))
+        out.insert(0, self.key, key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, key: str, ts: str, delay: str, fields: list[str], fold, schema: str) -> DataFrame:
+    """Rows of ``stream`` folded in the order of ``ts``: ``fields`` and ``us`` reach the fold; rows without a time are left out."""
+    us = F.unix_micros(F.col(ts).cast("timestamp")).alias("us")
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(key, ts, us, *fields)
+    kept = T.StructType([rows.schema[c] for c in ["us", *fields]])
+    out = T.StructType([stream.schema[key], *T._parse_datatype_string(schema).fields])
+    return rows.groupBy(key).transformWithStateInPandas(InOrder(key, kept, out, fold), out, "Append", "EventTime")
+
+
 def stream_sessions(stream: DataFrame, key: str = "user", boundary: str = "app", delay: str = "10 minutes") -> DataFrame:
-    """Sessions bounded by ``boundary`` events, emitted when the next boundary arrives: session_id, start_us,
+    """Sessions bounded by ``boundary`` events, emitted when the watermark has passed the next boundary: session_id, start_us,
     end_us, n_events.  Input: ts, event_type."""
-    rows = stream.withWatermark("ts", delay).select(
-        key, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") == boundary).alias("opens"))
 
     def fold(pdf: pd.DataFrame, memory):
-        memory = memory or {"id": -1, "start": None, "n": 0, "clock": -(2**62)}
+        memory = memory or {"id": -1, "start": None, "n": 0}
         out = []
         # boundaries first among equal times: an event at a boundary belongs to the new session
         for us, opens in pdf.sort_values(["us", "opens"], ascending=[True, False])[["us", "opens"]].itertuples(index=False):
-            if us < memory["clock"]:
-                continue
-            memory["clock"] = int(us)
             if opens:
                 if memory["start"] is not None:
                     out.append((memory["id"], memory["start"], int(us), memory["n"]))
@@ -54,12 +128,34 @@ def stream_sessions(stream: DataFrame, key: str = "user", boundary: str = "app",
                 memory["n"] += 1
         return pd.DataFrame(out, columns=["session_id", "start_us", "end_us", "n_events"]), memory
 
-    return _keyed(rows, key, fold, "session_id bigint, start_us bigint, end_us bigint, n_events bigint")
+    rows = stream.withColumn("opens", F.coalesce(F.col("event_type") == boundary, F.lit(False)))
+    return _in_order(rows, key, "ts", delay, ["opens"], fold, "session_id bigint, start_us bigint, end_us bigint, n_events bigint")
+
+
+def stream_assigned(stream: DataFrame, key: str = "user", boundary: str = "app", delay: str = "10 minutes") -> DataFrame:
+    """Every event between boundaries with its session, once the watermark has passed it: session_id, start_us, us, event_type. Events
+    before the first boundary have none and are left out; those of the session that is still open come, too."""
+
+    def fold(pdf: pd.DataFrame, memory):
+        memory = memory or {"id": -1, "start": None}
+        out = []
+        for us, opens, kind in pdf.sort_values(["us", "opens"], ascending=[True, False])[["us", "opens", "event_type"]].itertuples(index=False):
+            if opens:
+                memory = {"id": memory["id"] + 1, "start": int(us)}
+            elif memory["start"] is not None:
+                out.append((memory["id"], memory["start"], int(us), kind))
+        return pd.DataFrame(out, columns=["session_id", "start_us", "us", "event_type"]), memory
+
+    rows = stream.withColumn("opens", F.coalesce(F.col("event_type") == boundary, F.lit(False)))
+    return _in_order(rows, key, "ts", delay, ["opens", "event_type"], fold, "session_id bigint, start_us bigint, us bigint, event_type string")
 
 
-def stream_novelty(stream: DataFrame, key: str = "user", threshold: float = 0.8, window: float = 2.0) -> DataFrame:
+def stream_novelty(
+    stream: DataFrame, key: str = "user", threshold: float = 0.8, window: float = 2.0, ts: str | None = None, delay: str = "10 minutes",
+) -> DataFrame:
     """Online novelty gate over (id, t, vec): emits every item with ``kept`` and the absorbing id.  Memories
-    older than the window are evicted, so state follows the window and not the stream."""
+    older than the window are evicted, so state follows the window and not the stream.  With ``ts``, the event time that ``t``
+    grows with, items may come in any order inside ``delay``; without it they have to come in order."""
     def fold(pdf: pd.DataFrame, memory):
         memory = memory or []
         out = []
@@ -75,7 +171,10 @@ def stream_novelty(stream: DataFrame, key: str = "user", threshold: float = 0.8,
             out.append((int(i), into is None, into))
         return pd.DataFrame(out, columns=["id", "kept", "into"]).astype({"into": "Int64"}), memory
 
-    return _keyed(stream.select(key, "id", "t", "vec"), key, fold, "id bigint, kept boolean, into bigint")
+    schema = "id bigint, kept boolean, into bigint"
+    if ts:
+        return _in_order(stream, key, ts, delay, ["id", "t", "vec"], fold, schema)
+    return _keyed(stream.select(key, "id", "t", "vec"), key, fold, schema)
 
 
 def stream_stable_frames(

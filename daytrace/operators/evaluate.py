@@ -316,8 +316,35 @@ def field_similarity(fields: DataFrame, pairs: DataFrame, profile: str = "profil
     )
 
 
+def text_cosine(fields: DataFrame, pairs: DataFrame, profile: str = "profile_id") -> DataFrame:
+    """Per requested pair (a, b) the cosine of the profiles' word counts over all items (``semantic``), and its mean over the paths
+    of either side (``average_semantic``; a path on one side only counts 0).
+
+    Words stand in an inverted index, so a pair meets only where both sides have a word, and only sums leave the join. A pair without
+    a common word, or with an empty side, has 0.
+    """
+    words = fields.select(profile, "path", F.explode(F.split(F.array_join("items", " "), " ")).alias("word")).where("word != ''")
+    by_path = words.groupBy(profile, "path", F.lower("word").alias("word")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    whole = by_path.groupBy(profile, "word").agg(F.sum("c").alias("c"))
+
+    def cosines(counts: DataFrame, on: list[str]) -> DataFrame:
+        norms = counts.groupBy(profile, *on).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+        held = counts.join(norms, [profile, *on]).select(profile, *on, "word", (F.col("c") / F.col("n")).alias("c"))
+        left = pairs.join(held.withColumnsRenamed({profile: "a", "c": "_x"}), "a")
+        right = held.withColumnsRenamed({profile: "b", "c": "_y"})
+        return left.join(right, ["b", *on, "word"]).groupBy("a", "b", *on).agg(F.sum(F.col("_x") * F.col("_y")).alias("cos"))
+
+    paths = fields.select(profile, "path").distinct()
+    sides = pairs.join(paths.withColumnRenamed(profile, "a"), "a").unionByName(pairs.join(paths.withColumnRenamed(profile, "b"), "b")).distinct()
+    mean = sides.join(cosines(by_path, ["path"]), ["a", "b", "path"], "left").groupBy("a", "b").agg(F.avg(zero_if_null(F.col("cos"))).alias("average_semantic"))
+    total = cosines(whole, []).withColumnRenamed("cos", "semantic")
+    out = pairs.join(total, ["a", "b"], "left").join(mean, ["a", "b"], "left")
+    return out.select("a", "b", *[zero_if_null(F.col(c)).alias(c) for c in ("semantic", "average_semantic")])
+
+
 def profile_scores(field_sims: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Composite, weighted and average scores with a label; ``semantic`` holds the text similarity per pair."""
+    """Composite, weighted and average scores with a label; ``semantic`` holds the text similarity per pair, and may hold the mean of
+    the fields' (``average_semantic``)."""
     agg = field_sims.groupBy("a", "b").agg(
         zero_if_null(F.try_divide(F.sum(F.col("jaccard") * F.col("weight")), F.sum("weight"))).alias("_w"),
         F.avg("jaccard").alias("_j"),
@@ -327,6 +354,7 @@ def profile_scores(field_sims: DataFrame, semantic: DataFrame) -> DataFrame:
     return agg.join(semantic, ["a", "b"], "left").select(
         "a", "b", F.round(total, 4).alias("composite_score"), F.round(zero_if_null(F.col("semantic")), 4).alias("semantic_similarity"),
         F.round("_w", 4).alias("weighted_jaccard"), F.round("_j", 4).alias("average_jaccard"),
+        *([F.round("average_semantic", 4).alias("average_semantic")] if "average_semantic" in semantic.columns else []),
         tx.score_label(total).alias("interpretation"),
     )
 

@@ -142,13 +142,13 @@ def typing(spark, sf):
         r6("avg_flight_time", "avg_flight_time", 1), r6("flight_time_sd", "flight_time_sd", 1))
 
 
-@query("f1_typed_text", f"""WITH {EV}, k AS (SELECT u, ord, CASE et WHEN 'click' THEN chr(97 + CAST(y AS INT) % 26)
-  WHEN 'purchase' THEN chr(65 + CAST(y AS INT) % 26) WHEN 'signup' THEN ' ' WHEN 'error' THEN '<' ELSE '>' END AS c FROM ev),
-l AS (SELECT u, list(c ORDER BY ord) AS cs FROM k GROUP BY u)
-SELECT u AS "user", list_reduce(list_prepend('', cs), lambda acc, c: CASE WHEN c = '<' THEN left(acc, length(acc) - 1)
+@query("f1_typed_text", f"""WITH {EV}, {SES}, {ASG}, k AS (SELECT u, sid, ord, CASE et WHEN 'click' THEN chr(97 + CAST(y AS INT) % 26)
+  WHEN 'purchase' THEN chr(65 + CAST(y AS INT) % 26) WHEN 'signup' THEN ' ' WHEN 'error' THEN '<' ELSE '>' END AS c FROM asg),
+l AS (SELECT u, sid, list(c ORDER BY ord) AS cs FROM k GROUP BY u, sid)
+SELECT u AS "user", sid AS session_id, list_reduce(list_prepend('', cs), lambda acc, c: CASE WHEN c = '<' THEN left(acc, length(acc) - 1)
   WHEN c = '>' THEN regexp_replace(acc, '[^ ]* *$', '') ELSE acc || c END) AS text FROM l""")
 def typed(spark, sf):
-    rows = activity(spark, sf)
+    _, rows, _ = session_tables(spark, sf)
     letter = F.char(F.lit(97) + F.pmod(F.col("y").cast("int"), F.lit(26)))
     key = (
         F.when(F.col("event_type").isin("click", "purchase"), letter)
@@ -157,9 +157,9 @@ def typed(spark, sf):
     held = F.create_map(
         F.lit("shift"), F.col("event_type") == "purchase", F.lit("ctrl"), F.col("event_type") == "view")
     presses = rows.select(
-        "user", "ord", F.lit("key_press").alias("event_type"), F.lit("down").alias("action"),
+        "user", "session_id", "ord", F.lit("key_press").alias("event_type"), F.lit("down").alias("action"),
         key.alias("key_char"), held.alias("modifiers"))
-    return keystrokes.typed_text(presses, ["user"], chunk_size=fitting_size(rows, ["user"], "ord"))
+    return keystrokes.typed_text(presses, ["user", "session_id"], chunk_size=fitting_size(presses, ["user", "session_id"], "ord"))
 
 
 @query("w5_w6_pairs_history", """WITH t AS (SELECT conv_id, turn, role || ':' || length(text) AS tag FROM conversations),

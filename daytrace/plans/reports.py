@@ -250,10 +250,9 @@ def rater_pairs(spark, sf):
 
 FIELDS = {"1-URGENT": "goals.short", "2-HIGH": "Skills.main", "3-MEDIUM": "interests", "4-NOT SPECIFIED": "other", "5-LOW": "traits"}
 _CASE_F = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FIELDS.items()) + " END"
-# a profile = a region's customers of one segment; a field = a priority; its items = weeks with a large order
-PROF = f"""f AS (SELECT r_name || '/' || c_mktsegment AS p, {_CASE_F} AS path, list(DISTINCT 'W' || strftime(o_orderdate, '%Y-%m')) AS items
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_totalprice > 400000 GROUP BY 1, 2),
+# a profile = a region's customers of one segment; a field = a priority; its items = price steps and months of its orders
+PROF = f"""f AS (SELECT r_name || '/' || c_mktsegment AS p, {_CASE_F} AS path, list(DISTINCT 'P' || CAST(floor(o_totalprice / 500) AS BIGINT) || ' W' || strftime(o_orderdate, '%Y-%m')) AS items
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 ps AS (SELECT DISTINCT p FROM f), pr AS (SELECT a.p AS a, b.p AS b FROM ps a JOIN ps b ON a.p < b.p AND split_part(a.p, '/', 1) = split_part(b.p, '/', 1)),
 k AS (SELECT DISTINCT a, b, path FROM (SELECT a, b, path FROM pr JOIN f ON f.p = a UNION ALL SELECT a, b, path FROM pr JOIN f ON f.p = b)),
 s AS (SELECT k.a, k.b, k.path, CASE WHEN x.items IS NULL OR y.items IS NULL THEN 0 ELSE len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items))) END AS jaccard,
@@ -262,16 +261,16 @@ s AS (SELECT k.a, k.b, k.path, CASE WHEN x.items IS NULL OR y.items IS NULL THEN
 
 
 def profile_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf, "orders").where("o_totalprice > 400000").select("o_custkey", "o_orderpriority", "o_orderdate")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf, "region").select("r_regionkey", "r_name")
-    month = F.concat(F.lit("W"), F.date_format("o_orderdate", "yyyy-MM"))
+    item = F.concat(F.lit("P"), F.floor(F.col("o_totalprice") / 500).cast("string"), F.lit(" W"), F.date_format("o_orderdate", "yyyy-MM"))
     fields = (
         o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy(F.concat_ws("/", "r_name", "c_mktsegment").alias("profile_id"), F.expr(_CASE_F).alias("path"))
-        .agg(F.collect_set(month).alias("items"))  # bounded by the number of months
+        .agg(F.collect_set(item).alias("items"))
     )
     ids = fields.select(F.col("profile_id").alias("a"), F.split_part("profile_id", F.lit("/"), F.lit(1)).alias("_g")).distinct()
     pairs = ids.join(ids.select(F.col("a").alias("b"), "_g"), "_g").where("a < b").select("a", "b")
@@ -285,12 +284,16 @@ def field_jaccard(spark, sf):
 
 
 @query("e7_a18_profile_similarity", f"""WITH {PROF}, t AS (SELECT a, b, sum(jaccard * weight) / sum(weight) AS w, avg(jaccard) AS j FROM s GROUP BY 1, 2),
-c AS (SELECT a, b, w, j, 0.5 * j + 0.3 * w + 0.2 * j AS total FROM t)
-SELECT a, b, round(w, 4) AS weighted_jaccard, round(j, 4) AS average_jaccard, round(total, 4) AS composite_score,
+wd AS (SELECT p, path, word, count(*) AS c FROM (SELECT p, path, unnest(string_split(lower(array_to_string(items, ' ')), ' ')) AS word FROM f) GROUP BY ALL),
+wp AS (SELECT p, path, word, c / sqrt(sum(c * c) OVER (PARTITION BY p, path)) AS c FROM wd),
+ww AS (SELECT p, word, c / sqrt(sum(c * c) OVER (PARTITION BY p)) AS c FROM (SELECT p, word, sum(c) AS c FROM wd GROUP BY p, word)),
+cw AS (SELECT a, b, sum(x.c * y.c) AS semantic FROM pr JOIN ww x ON x.p = a JOIN ww y ON y.p = b AND y.word = x.word GROUP BY a, b),
+cp AS (SELECT a, b, x.path, sum(x.c * y.c) AS cos FROM pr JOIN wp x ON x.p = a JOIN wp y ON y.p = b AND y.word = x.word AND y.path = x.path GROUP BY a, b, x.path),
+am AS (SELECT k.a, k.b, avg(coalesce(cos, 0)) AS av FROM k LEFT JOIN cp ON cp.a = k.a AND cp.b = k.b AND cp.path = k.path GROUP BY k.a, k.b),
+c AS (SELECT t.a, t.b, w, j, semantic, av, 0.5 * semantic + 0.3 * w + 0.2 * j AS total FROM t JOIN cw ON cw.a = t.a AND cw.b = t.b JOIN am ON am.a = t.a AND am.b = t.b)
+SELECT a, b, round(w, 4) AS weighted_jaccard, round(j, 4) AS average_jaccard, round(semantic, 4) AS semantic_similarity, round(av, 4) AS average_semantic, round(total, 4) AS composite_score,
   CASE WHEN total >= 0.8 THEN 'Very High Similarity' WHEN total >= 0.6 THEN 'High Similarity' WHEN total >= 0.4 THEN 'Moderate Similarity' WHEN total >= 0.2 THEN 'Low Similarity' ELSE 'Very Low Similarity' END AS interpretation FROM c""")
 def profile_similarity(spark, sf):
     fields, pairs = profile_tables(spark, sf)
-    sims = ev.field_similarity(fields, pairs)
-    semantic = sims.groupBy("a", "b").agg(F.avg("jaccard").alias("semantic"))
-    out = ev.profile_scores(sims, semantic)
-    return out.select("a", "b", r6("weighted_jaccard", "weighted_jaccard", 4), r6("average_jaccard", "average_jaccard", 4), r6("composite_score", "composite_score", 4), "interpretation")
+    out = ev.profile_scores(ev.field_similarity(fields, pairs), ev.text_cosine(fields, pairs))
+    return out.select("a", "b", *[r6(c, c, 4) for c in ("weighted_jaccard", "average_jaccard", "semantic_similarity", "average_semantic", "composite_score")], "interpretation")

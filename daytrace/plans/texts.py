@@ -395,7 +395,8 @@ def hashed(spark, sf):
 # Trees -------------------------------------------------------------------------------------------------
 
 def snapshots(spark, sf) -> DataFrame:
-    """documents as snapshots: a window with the text, a wrapped button, an echo and a hidden subtree."""
+    """documents as snapshots: a window with the text, a wrapped button, an echo and a hidden subtree. Beside each document in
+    German stands an empty snapshot, beside each in French a broken one, under negative ids."""
     button = F.struct(F.lit("button").alias("role"), F.concat(F.lit("go "), F.col("lang")).alias("name"))
     child = F.struct(
         F.lit("generic").alias("role"), F.lit(True).alias("visible"), F.lit(None).cast("string").alias("name"), F.array(button).alias("children"))
@@ -403,19 +404,21 @@ def snapshots(spark, sf) -> DataFrame:
     body = F.struct(F.lit("article").alias("role"), F.lit(True).alias("visible"), F.col("text").alias("name"), F.lit(None).cast("array<struct<role:string,name:string>>").alias("children"))
     hidden = F.struct(F.lit("article").alias("role"), F.lit(False).alias("visible"), F.col("text").alias("name"), F.lit(None).cast("array<struct<role:string,name:string>>").alias("children"))
     root = F.struct(F.lit("window").alias("role"), F.concat(F.lit("from "), F.col("source")).alias("title"), F.array(body, child, echo, hidden).alias("children"))
-    ax = F.when(F.col("lang") == "de", F.lit('{"data": []}')).when(F.col("lang") == "fr", F.lit('{"data": "text"}')).otherwise(
-        F.to_json(F.struct(root.alias("data"), (F.col("lang") == "en").alias("is_browser"))))
-    return docs(spark, sf).select("doc_id", "lang", "source", "text", ax.alias("raw"))
+    rows = docs(spark, sf)
+    trees_of = rows.select("doc_id", "lang", "source", "text", F.to_json(F.struct(root.alias("data"), (F.col("lang") == "en").alias("is_browser"))).alias("raw"))
+    bad = F.when(F.col("lang") == "de", F.lit('{"data": []}')).otherwise(F.lit('{"data": "text"}'))
+    return trees_of.unionByName(rows.where("lang in ('de', 'fr')").select((-1 - F.col("doc_id")).alias("doc_id"), "lang", "source", "text", bad.alias("raw")))
 
 
-@query("n6_p7_tree_outline", f"""SELECT doc_id, CASE lang WHEN 'de' THEN 'EMPTY' WHEN 'fr' THEN 'ERROR' WHEN 'en' THEN 'BROWSER' ELSE 'APP' END AS type,
-  md5(CASE lang WHEN 'de' THEN '[Empty]' WHEN 'fr' THEN '[Error]' ELSE '[window] "from ' || source || E'"\\n  [article] "' || regexp_replace(text, {TRIM}) || E'"\\n  [button] "go ' || lang || '"' END) AS outline FROM documents""")
+@query("n6_p7_tree_outline", f"""SELECT doc_id, CASE lang WHEN 'en' THEN 'BROWSER' ELSE 'APP' END AS type,
+  md5('[window] "from ' || source || E'"\\n  [article] "' || regexp_replace(text, {TRIM}) || E'"\\n  [button] "go ' || lang || '"') AS outline FROM documents
+UNION ALL SELECT -1 - doc_id, CASE lang WHEN 'de' THEN 'EMPTY' ELSE 'ERROR' END, md5(CASE lang WHEN 'de' THEN '[Empty]' ELSE '[Error]' END) FROM documents WHERE lang IN ('de', 'fr')""")
 def outline(spark, sf):
     out = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
     return out.select("doc_id", F.col("c.type").alias("type"), F.md5("c.accessibility").alias("outline"))
 
 
-@query("n6d_tree_nodes", f"""WITH d AS (SELECT * FROM documents WHERE lang NOT IN ('de', 'fr'))
+@query("n6d_tree_nodes", f"""WITH d AS (SELECT * FROM documents)
 SELECT doc_id, 0 AS depth, '0' AS path, 'window' AS role, md5('from ' || source) AS text FROM d UNION ALL SELECT doc_id, 1, '0.0', 'article', md5(regexp_replace(text, {TRIM})) FROM d
 UNION ALL SELECT doc_id, 1, '0.1', 'button', md5('go ' || lang) FROM d""")
 def nodes(spark, sf):
@@ -424,12 +427,12 @@ def nodes(spark, sf):
 
 
 @query("e10_a23_preservation", r"""WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text || ' ' || source || ' ' || lang || ' from go window article button'), '[^a-z0-9]+'), lambda w: length(w) > 1) AS ws FROM documents),
-k AS (SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN ['x'] ELSE list_distinct(ws) END AS kept,
-  CASE WHEN lang IN ('de', 'fr') THEN [] ELSE list_filter(list_distinct(list_concat(ws, ['generic', 'statictext'])), lambda w: NOT regexp_matches(w, '^(?:[0-9]+|0x[0-9a-f]+|[0-9a-f]{8,}|true|false|null|undefined)$')) END AS raw FROM t),
+k AS (SELECT doc_id, list_distinct(ws) AS kept, list_filter(list_distinct(list_concat(ws, ['generic', 'statictext'])), lambda w: NOT regexp_matches(w, '^(?:[0-9]+|0x[0-9a-f]+|[0-9a-f]{8,}|true|false|null|undefined)$')) AS raw FROM t
+  UNION ALL SELECT -1 - doc_id, ['x'], [] FROM documents WHERE lang IN ('de', 'fr')),
 s AS (SELECT doc_id, len(raw) AS raw_count, len(kept) AS kept_count, CASE WHEN len(raw) = 0 THEN 100 ELSE 100.0 * (1 - len(list_filter(raw, lambda w: NOT list_contains(kept, w))) / len(raw)) END AS score FROM k)
 SELECT doc_id, round(score, 2) AS score, raw_count, kept_count, CASE WHEN score < 50 THEN 'BAD' WHEN score > 85 THEN 'OK' ELSE 'LOW' END AS status FROM s""")
 def preservation(spark, sf):
     rows = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
-    raw = F.when(F.col("lang").isin("de", "fr"), F.array().cast("array<string>")).otherwise(trees.snapshot_tokens(F.col("raw")))
+    raw = F.when(F.col("doc_id") < 0, F.array().cast("array<string>")).otherwise(trees.snapshot_tokens(F.col("raw")))
     rows = rows.withColumn("rt", tx.meaningful(raw)).withColumn("kt", tx.tokenize("c.accessibility"))
     return ev.preservation(rows, F.col("rt"), F.col("kt")).select("doc_id", "score", "raw_count", "kept_count", "status")

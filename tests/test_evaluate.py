@@ -141,3 +141,23 @@ def test_composite_weighs_text_matches_and_best_means(spark):
     got = {r["user"]: r for r in ev.with_composite(ev.compare_sets(a, b, ["user"]), semantic, ["user"]).collect()}
     assert got["u"]["profile_composite_score"] == round(0.5 * 0.9 + 0.3 * 0.5 + 0.2 * 0.75, 4) and got["w"]["profile_composite_score"] == 0
     assert got["u"]["profile_interpretation"] != got["w"]["profile_interpretation"]
+
+
+def test_text_cosine_of_profiles(spark):
+    from collections import Counter
+    from math import sqrt
+
+    prof = {"p": {"x": ["a b", "C"], "y": ["d"]}, "q": {"x": ["a c c"], "z": ["d d"]}, "r": {"w": ["zz"]}, "s": {"x": []}}
+    fields = spark.createDataFrame([(k, path, items) for k, v in prof.items() for path, items in v.items()], "profile_id string, path string, items array<string>")
+    pairs = spark.createDataFrame([("p", "q"), ("p", "r"), ("p", "s"), ("q", "q")], "a string, b string")
+
+    def cos(a, b):
+        a, b = (Counter(" ".join(x).lower().split()) for x in (a, b))
+        n = sqrt(sum(v * v for v in a.values())) * sqrt(sum(v * v for v in b.values()))
+        return sum(a[w] * b[w] for w in a) / n if n else 0.0
+
+    for r in ev.text_cosine(fields, pairs).collect():
+        x, y = prof[r.a], prof[r.b]
+        assert abs(r.semantic - cos(sum(x.values(), []), sum(y.values(), []))) < 1e-9
+        paths = set(x) | set(y)
+        assert abs(r.average_semantic - sum(cos(x.get(p, []), y.get(p, [])) for p in paths) / len(paths)) < 1e-9

@@ -19,7 +19,7 @@ SHARE = 0.5  # of an item's windows
 RUN = 13  # or so many tokens in one stretch
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows that may be broadcast; beyond it the join shuffles
 NUMBER, NAME, UNIT, FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
-LITERALS = 4  # in a window of fewer literal tokens, a word that is capitalised as the first of a sentence stands for itself
+LITERALS = 4  # in a window of fewer literal tokens every slot stands for itself: it takes words to know a question again
 # Fixed list of unit words; they count as units after a number only.
 UNITS = "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres l ml liter liters litre litres hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh kg/h".split()
 KEY = ["text_hash", "text_hash2", "text_length"]
@@ -87,15 +87,37 @@ def windows(full: Column, lengths: list[int]) -> Column:
     there are none)."""
 
     def tokens(full: Column) -> Column:
-        some = _has(full, NUMBER, NAME, UNIT)
-        template = F.when(some, F.regexp_replace(full, r"([\x01-\x03])\S+", "$1")).otherwise(full)
-        hashes = lambda t: F.transform(F.split(t, " "), lambda w: F.xxhash64(w))
-        values = F.when(some, F.split(full, " ")).otherwise(F.array().cast("array<string>"))
-        return F.struct(hashes(template).alias("hashes"), values.alias("values"), F.transform(values, lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT)).alias("slot"))
+        values = F.when(_has(full, NUMBER, NAME, UNIT), F.split(full, " ")).otherwise(F.array().cast("array<string>"))
+        return F.struct(_template_hashes(full).alias("hashes"), values.alias("values"), F.transform(values, lambda v: F.substring(v, 1, 1).isin(NUMBER, NAME, UNIT)).alias("slot"))
 
     return _once(full, lambda full: _once(tokens(full), lambda t: F.concat(*[_windows_of(t, n) for n in lengths])))
 
 
+def _template_hashes(full: Column) -> Column:
+    template = F.when(_has(full, NUMBER, NAME, UNIT), F.regexp_replace(full, r"([\x01-\x03])\S+", "$1")).otherwise(full)
+    return F.transform(F.split(template, " "), lambda w: F.xxhash64(w))
+
+
+def window_hashes(full: Column, lengths: list[int]) -> Column:
+    """Only the hashes of ``windows``: the hash of an array is that of its elements one after the other, so no array is cut out."""
+    at = lambda h, i, n: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
+    none = F.array().cast("array<bigint>")
+    of = lambda h, n: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: at(h, i, n))).otherwise(none)
+    return _once(_template_hashes(full), lambda h: F.concat(*[of(h, n) for n in lengths]))
+
+
+def _met_texts(docs: DataFrame, text_col: str, items: DataFrame, lengths: list[int], broadcast_windows: int, small: bool) -> DataFrame:
+    """The rows of ``docs`` that have a window of some item by hash. Nothing but a text's key and hashes is made before that join, so
+    the values of slots are taken for these texts alone."""
+    wanted = items.select("hash").distinct()
+    keyed = docs.select(_once(F.col(f"`{text_col}`"), lambda t: F.struct(F.struct(*text_key(t)).alias("key"), window_hashes(slotted(t), lengths).alias("hashes"))).alias("s"))
+    met = keyed.select("s.key.*", F.explode("s.hashes").alias("hash")).join(F.broadcast(wanted) if small else wanted, "hash", "left_semi")
+    hits = cut(met.select(*[F.col(k).alias(f"met_{k}") for k in KEY]).distinct())
+    few = hits.limit(broadcast_windows + 1).count() <= broadcast_windows
+    same = [k == F.col(f"met_{name}") for k, name in zip(text_key(F.col(f"`{text_col}`")), KEY)]
+    return docs.join(F.broadcast(hits) if few else hits, same, "left_semi")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: float = SHARE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS,
@@ -104,6 +126,7 @@ def leaks(
     (``verbatim`` or ``reparameterised``); of several diagonals the one with most windows, the verbatim one first.
 
     A leak needs ``share`` of the item's windows on one diagonal, or as many as ``run`` tokens give, and slots that agree.
+    A window with fewer than ``LITERALS`` literal tokens counts only where its slots' values are those of the item.
     Items of fewer than ``window`` tokens are one window of their own length; those without tokens, and null texts, match nothing.
     """
     raw = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("t")).where(F.col("item").isNotNull()).distinct()
@@ -114,7 +137,9 @@ def leaks(
     items = sized.where("tokens > 0").select("item", "tokens", w).where(F.col("w.length") == F.least(F.lit(window), F.col("tokens")))
     total = F.col("tokens") - F.col("w.length") + 1
     items = cut(items.select("item", total.alias("total"), F.col("w.pos").alias("item_pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots")))
-    side = F.broadcast(items) if items.limit(broadcast_windows + 1).count() <= broadcast_windows else items
+    small = items.limit(broadcast_windows + 1).count() <= broadcast_windows
+    side = F.broadcast(items) if small else items
+    docs = _met_texts(docs, text_col, items, lengths, broadcast_windows, small)
 
     # the key goes through a lambda, so that it is computed once a text and not again for each window
     keyed = docs.select(_once(F.col(f"`{text_col}`"), lambda t: F.struct(F.struct(*text_key(t)).alias("key"), windows(slotted(t), lengths).alias("ws"))).alias("s"))
@@ -122,7 +147,7 @@ def leaks(
     found = found.select(*KEY, F.col("w.pos").alias("pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
     met = found.join(side, ["hash", "length"])
     few = F.col("length") - F.size("slots") < LITERALS
-    pair = lambda i, v: F.struct(F.replace(i, F.lit(FIRST), F.lit("")).alias("item_value"), v.alias("value"), (few & i.contains(FIRST)).alias("fixed"))
+    pair = lambda i, v: F.struct(F.replace(i, F.lit(FIRST), F.lit("")).alias("item_value"), v.alias("value"), few.alias("fixed"))
     pairs = F.when(F.col("slots").isNotNull(), F.zip_with("item_slots", "slots", pair)).otherwise(F.array().cast("array<struct<item_value:string,value:string,fixed:boolean>>"))
     equal = lambda p: p["item_value"] == p["value"]
     met = met.withColumn("pairs", pairs).where(F.forall("pairs", lambda p: ~p["fixed"] | equal(p)))

@@ -139,6 +139,20 @@ def test_first_words_and_conflicts_hide_no_leak(spark):
     assert found(spark, texts, items) == {(0, 0): "verbatim", (1, 1): "reparameterised", (2, 2): "verbatim", (3, 0): "verbatim", (4, 0): "reparameterised", (5, 3): "verbatim", (6, 3): "verbatim"}
 
 
+def test_windows_without_words_are_no_evidence(spark):
+    """Slots alone know no question again: other figures, units and title-case lines are left alone, the same ones are found."""
+    title = "The Quick Brown Fox Jumps Over Lazy Dogs"
+    texts = ["please buy 7 lb there", "please buy 5 kg there", "A Great New Song About Seven Small Birds", "so it is: " + title]
+    assert found(spark, texts, ["5 kg", title]) == {(1, 0): "verbatim", (3, 1): "verbatim"}
+
+
+def test_hashes_of_windows_are_the_same_both_ways(spark):
+    df = spark.createDataFrame([("Tom has 3 apples and Mary has 4 kg more of them today",), ("one two",), ("",)], "t string")
+    full = decontaminate.slotted(df.t)
+    row = df.select(decontaminate.windows(full, [3, 8]).alias("w"), decontaminate.window_hashes(full, [3, 8]).alias("h")).collect()
+    assert [[w.hash for w in r.w] for r in row] == [list(r.h) for r in row] and len(row[0].h) == 11 + 6
+
+
 def test_empty_tables(spark):
     assert found(spark, ["some text"], []) == {}
     assert found(spark, [], [ITEM]) == {}

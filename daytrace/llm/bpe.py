@@ -29,21 +29,24 @@ from daytrace.llm.segments import Unsafe, clean, segments
 LEAF_CHARS = 4096
 LEAF_BYTES = 3
 HEAP_BYTES = 40
-KEPT = 120_000
+KEPT = 100_000
 KEPT_LENGTH = 64
 
 
 class _Kept(dict):
-    """Results by key, bounded: it starts afresh once it is full."""
+    """Results by key, bounded: once full it becomes the older generation, from which what is asked for again comes back."""
 
     def __init__(self, make, most: int = KEPT):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= KEPT_LENGTH:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -216,6 +219,21 @@ def encode_column(text: Column | str, path: str, pattern: str) -> Column:
     return encode(F.col(text) if isinstance(text, str) else text)
 
 
+def coded_column(text: Column | str, path: str, pattern: str) -> Column:
+    """A struct of ``ids`` as ``encode_column`` makes them and ``decoded``, the bytes that they give back, from one pass through Python;
+    a null text has null fields."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for texts in batches:
+            ids = [None if t is None else own.encode(t) for t in one_by_one(texts)]
+            decoded = pa.array((None if x is None else own.decode(x) for x in ids), pa.binary())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    return code(F.col(text) if isinstance(text, str) else text)
+
+
 def decode_column(ids: Column | str, path: str, pattern: str) -> Column:
     """Bytes of each id sequence made by ``encode_column``; null stays null. An id outside the vocabulary fails the task."""
 

@@ -25,12 +25,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_rows(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_column(text_or_empty(), path, pattern).alias("ids"))
-    return ids.select("doc_id", "ids", bpe.decode_column("ids", path, pattern).alias("decoded")).select(
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.coded_column(text_or_empty(), path, pattern).alias("c"))
+    return coded.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("c.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("c.ids", 256).alias("ids_sha256"),
+        F.sha2("c.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -91,3 +91,20 @@ def test_rank_file_is_read_as_ranks():
     with open(PATH, "rb") as f:
         token, rank = f.readline().split()
     assert bpe.codec(PATH, P.PATTERN).ranks[base64.b64decode(token)] == int(rank)
+
+
+def test_one_pass_gives_both_columns(spark):
+    texts = [None, "", "Some words", "Ünder  the tree", "a" * 3000]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    got = {r.doc_id: r.c for r in df.select("doc_id", bpe.coded_column("text", PATH, P.PATTERN).alias("c")).collect()}
+    own = bpe.codec(PATH, P.PATTERN)
+    assert got[0].ids is None and got[0].decoded is None
+    assert all(bytes(got[i].ids) == own.encode(t) and bytes(got[i].decoded) == t.encode() for i, t in enumerate(texts) if t is not None)
+
+
+def test_a_full_cache_keeps_what_is_asked_for_again():
+    made = []
+    kept = bpe._Kept(lambda k: made.append(k) or k.upper(), most=3)
+    for key in ["a", "b", "c", "a", "d", "a", "e", "f", "a", "g"]:
+        assert kept[key] == key.upper()
+    assert made.count("a") == 1 and len(kept) <= 3 and len(kept.older) <= 3

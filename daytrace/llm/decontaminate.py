@@ -103,7 +103,7 @@ def window_hashes(full: Column, lengths: list[int]) -> Column:
     at = lambda h, i, n: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
     none = F.array().cast("array<bigint>")
     of = lambda h, n: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: at(h, i, n))).otherwise(none)
-    return _once(_template_hashes(full), lambda h: F.concat(*[of(h, n) for n in lengths]))
+    return _once(full, lambda full: _once(_template_hashes(full), lambda h: F.concat(*[of(h, n) for n in lengths])))
 
 
 def _met_texts(docs: DataFrame, text_col: str, items: DataFrame, lengths: list[int], broadcast_windows: int, small: bool) -> DataFrame:

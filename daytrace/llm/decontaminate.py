@@ -110,8 +110,11 @@ def _met_texts(docs: DataFrame, text_col: str, items: DataFrame, lengths: list[i
     """The rows of ``docs`` that have a window of some item by hash. Nothing but a text's key and hashes is made before that join, so
     the values of slots are taken for these texts alone."""
     wanted = items.select("hash").distinct()
-    keyed = docs.select(_once(F.col(f"`{text_col}`"), lambda t: F.struct(F.struct(*text_key(t)).alias("key"), window_hashes(slotted(t), lengths).alias("hashes"))).alias("s"))
-    met = keyed.select("s.key.*", F.explode("s.hashes").alias("hash")).join(F.broadcast(wanted) if small else wanted, "hash", "left_semi")
+    row = lambda k, h: F.struct(*[k[name].alias(name) for name in KEY], h.alias("hash"))
+    # key and hash in one struct: a column beside the exploded one would have the windows made a second time
+    rows = lambda t: _once(F.struct(*text_key(t)), lambda k: F.transform(window_hashes(slotted(t), lengths), lambda h: row(k, h)))
+    found = docs.select(F.explode(_once(F.col(f"`{text_col}`"), rows)).alias("w")).select("w.*")
+    met = found.join(F.broadcast(wanted) if small else wanted, "hash", "left_semi")
     hits = cut(met.select(*[F.col(k).alias(f"met_{k}") for k in KEY]).distinct())
     few = hits.limit(broadcast_windows + 1).count() <= broadcast_windows
     same = [k == F.col(f"met_{name}") for k, name in zip(text_key(F.col(f"`{text_col}`")), KEY)]

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daytrace.functions import text as tx
+from daytrace.operators.cuts import Cuts
 from daytrace.operators.ordered import Ordered, chunked_fold, ordinal_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
@@ -17,7 +18,7 @@ STABLE_SECONDS = 1.0
 # ------------------------------------------------------------------------------------------------------
 
 
-def segment_bounds(recordings: DataFrame, keys: Sequence[str], order: str, frames: str, duration: str, chunk_size: int | None = 65_536) -> DataFrame:
+def segment_bounds(recordings: DataFrame, keys: Sequence[str], order: str, frames: str, duration: str, chunk_size: int | Cuts | None = 65_536) -> DataFrame:
     """Adds 1-based global ``start_idx``/``end_idx`` and ``fps`` from the running frame count."""
     out = (
         Ordered(recordings, keys, [order], ordinal_chunk(order, chunk_size))
@@ -29,7 +30,7 @@ def segment_bounds(recordings: DataFrame, keys: Sequence[str], order: str, frame
     )
 
 
-def locate_frames(frames: DataFrame, segments: DataFrame, keys: Sequence[str], carry: Sequence[str], chunk_size: int | None = 1_048_576) -> DataFrame:
+def locate_frames(frames: DataFrame, segments: DataFrame, keys: Sequence[str], carry: Sequence[str], chunk_size: int | Cuts | None = 1_048_576) -> DataFrame:
     """Frame index → segment with ``start_idx <= global_idx <= end_idx``, as an as-of fill (segments do not
     overlap).  Frames outside every segment keep a null segment, so a caller can quarantine or reject them."""
     keys, carry = list(keys), list(carry)
@@ -109,7 +110,7 @@ def stable_step(change: float, seconds: float):
 
 def stable_frames(
     frames: DataFrame, keys: Sequence[str], change: float = CHANGE_PERCENT, seconds: float = STABLE_SECONDS,
-    chunk_size: int | None = 8_192,
+    chunk_size: int | Cuts | None = 8_192,
 ) -> DataFrame:
     """Frames that differ from the last saved one and then stay put for ``int(fps * seconds)`` more frames.
 

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from daytrace.operators.ordered import CHUNK, fold_sorted, ordinal_chunk
+from daytrace.operators.cuts import CHUNK, Cuts, with_chunk
+from daytrace.operators.ordered import fold_sorted, ordinal_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
 SHIFT_KEYS = "`1234567890-=[]\\;',./"
@@ -86,7 +87,7 @@ def _delete(stack: list, op: str):
 
 
 def typed_text(
-    presses: DataFrame, keys: Sequence[str], order: str = "ord", chunk_size: int | None = 65_536
+    presses: DataFrame, keys: Sequence[str], order: str = "ord", chunk_size: int | Cuts | None = 65_536
 ) -> DataFrame:
     """One row per key with the reconstructed ``text``.  Keys without any edit give an empty text.
     ``chunk_size=None`` folds each key at once, for keys known to be small."""
@@ -120,7 +121,7 @@ def typed_text(
     if chunk_size is None:
         texts = fold_sorted(rows, keys, [order], ["op", "piece"], empty, edit, text, text_type)
     else:
-        rows = rows.withColumn(CHUNK, ordinal_chunk(order, chunk_size))
+        rows = with_chunk(rows, ordinal_chunk(order, chunk_size))
         reduced = fold_sorted(
             rows, [*keys, CHUNK], [order], ["op", "piece"], empty, edit,
             lambda group, state: [(*group, state["owed"], state["stack"])], reduced_type)

@@ -16,26 +16,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from daytrace.functions.common import join_on
+from daytrace.operators.cuts import CHUNK, FIRST_CHUNK, Cuts, micros, with_chunk
 from daytrace.session import cut
 
-CHUNK = "_chunk"
-FIRST_CHUNK = -(1 << 62)  # rows without an order value come first, as nulls do in a window
 DAY = 86_400
 
 
-def micros(ts: Column | str) -> Column:
-    """Epoch microseconds of a timestamp with or without time zone (session zone: UTC)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def time_chunk(ts: Column | str, seconds: int | Cuts | None = DAY) -> Column | Cuts | None:
+    """Chunks of one width; ``Cuts`` (of single keys) and ``None`` (plain windows) pass through."""
+    if seconds is None or isinstance(seconds, Cuts):
+        return seconds
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def time_chunk(ts: Column | str, seconds: int | None = DAY) -> Column | None:
-    return None if seconds is None else F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
-
-
-def ordinal_chunk(ordinal: Column | str, size: int | None = 65_536) -> Column | None:
+def ordinal_chunk(ordinal: Column | str, size: int | Cuts | None = 65_536) -> Column | Cuts | None:
+    if size is None or isinstance(size, Cuts):
+        return size
     c = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    return None if size is None else F.floor(c / F.lit(size)).cast("bigint")
+    return F.floor(c / F.lit(size)).cast("bigint")
 
 
 def fitting_width(df: DataFrame, keys: Sequence[str], position: Column, target_rows: int = 250_000) -> int | None:
@@ -43,7 +41,7 @@ def fitting_width(df: DataFrame, keys: Sequence[str], position: Column, target_r
     ``None`` when no key has more rows than that, so that plain windows are safe.
 
     One small job over the key and position columns: per-key counts aggregate map-side and only three numbers
-    reach the driver.
+    reach the driver. For rows that are spread evenly, as dense ordinals are; ``cuts.fit`` cuts each key where its rows lie.
     """
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))
     n, lo, hi = per_key.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
@@ -63,14 +61,14 @@ def fitting_size(df: DataFrame, keys: Sequence[str], ordinal: str, target_rows:
 class Ordered:
     """Collects order-dependent columns over ``keys`` and computes them in one pass.
 
-    ``chunk`` must be monotone in the first ``order`` column; ``None`` means plain windows, for keys known to be
-    small (see ``fitting_width``).  ``order`` should be a total order per key.
+    ``chunk`` is a column that is monotone in the first ``order`` column, or ``Cuts`` fitted on leading ``order`` columns and
+    some of ``keys``; ``None`` means plain windows, for keys known to be small.  ``order`` should be a total order per key.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | Cuts | None):
         self.df, self.keys, self.order = df, list(keys), list(order)
         self.whole = chunk is None
-        self.base = df if self.whole else df.withColumn(CHUNK, chunk)
+        self.base = df if self.whole else with_chunk(df, chunk)
         parts = self.keys if self.whole else [*self.keys, CHUNK]
         self.row = Window.partitionBy(*parts).orderBy(*self.order)
         self.cross = Window.partitionBy(*self.keys).orderBy(CHUNK)
@@ -217,7 +215,7 @@ def fold_sorted(
 
 
 def chunked_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, fields: Sequence[str],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | Cuts | None, fields: Sequence[str],
     start: Callable, step: Callable, out_schema: str, max_rounds: int = 10_000,
 ) -> DataFrame:
     """Ordered fold with carried state, spread over chunks instead of one task per key.
@@ -230,7 +228,10 @@ def chunked_fold(
     keys known to be small.
     """
     keys = list(keys)
-    base = df.withColumn(CHUNK, F.lit(0).cast("bigint") if chunk is None else F.coalesce(chunk, F.lit(FIRST_CHUNK)))
+    if isinstance(chunk, Cuts):
+        base = chunk.split(df)
+    else:
+        base = df.withColumn(CHUNK, F.lit(0).cast("bigint") if chunk is None else F.coalesce(chunk, F.lit(FIRST_CHUNK)))
     out_type = T._parse_datatype_string(out_schema)
     full = T.StructType(
         [base.schema[k] for k in keys]

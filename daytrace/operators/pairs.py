@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from daytrace.operators.cuts import Cuts
 from daytrace.operators.ordered import CHUNK, Ordered, chunked_fold, ordinal_chunk, with_halo
 
 
@@ -34,7 +35,7 @@ def pair_records(
 
 def pairs_within_budget(
     records: DataFrame, keys: Sequence[str], idx: str, tokens: str, history: int, budget: int,
-    chunk_pairs: int | None = 32_768,
+    chunk_pairs: int | Cuts | None = 32_768,
 ) -> DataFrame:
     """Pairs whose tokens plus those of the rolling history fit ``budget``.  A skipped pair does not enter
     the history, so each decision depends on earlier ones: a chunked fold with the history as state."""
@@ -127,7 +128,7 @@ def observation_text(pair: Column, summary: Column, transcription: Column) -> Co
 
 
 def batch_observations(
-    pairs: DataFrame, keys: Sequence[str], k: int, chunk_size: int | None = 65_536
+    pairs: DataFrame, keys: Sequence[str], k: int, chunk_size: int | Cuts | None = 65_536
 ) -> DataFrame:
     """Batches of ``k`` pairs in pair order: texts joined by a line break, the pair list and the time range.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daytrace.functions import text as tx
+from daytrace.operators.cuts import Cuts
 from daytrace.operators.ordered import CHUNK, DAY, Ordered, micros, ordinal_chunk, time_chunk
 
 # Fixed values -----------------------------------------------------------------------------------------
@@ -23,7 +24,7 @@ def filter_range(events: DataFrame, start, end, types: Sequence[str], ts: str =
     return events.where(F.col("event_type").isin(list(types)) & (F.col(ts) >= start) & (F.col(ts) < end))
 
 
-def build_sessions(app: DataFrame, keys: Sequence[str], chunk_seconds: int | None = DAY) -> DataFrame:
+def build_sessions(app: DataFrame, keys: Sequence[str], chunk_seconds: int | Cuts | None = DAY) -> DataFrame:
     """One session per consecutive pair of app events ``(ts, ord)``: adds session_id, start, end, duration.
     The last app event of a key opens no session."""
     keys = list(keys)
@@ -41,7 +42,7 @@ def build_sessions(app: DataFrame, keys: Sequence[str], chunk_seconds: int | Non
 
 
 def assign_events(
-    sessions: DataFrame, events: DataFrame, keys: Sequence[str], chunk_seconds: int | None = DAY
+    sessions: DataFrame, events: DataFrame, keys: Sequence[str], chunk_seconds: int | Cuts | None = DAY
 ) -> DataFrame:
     """Each event gets the session with ``start <= ts < end``; events outside every session are dropped.
 
@@ -77,7 +78,7 @@ def mouse_metrics(
     click: Column | None = None,
     jump: float = JUMP_PX,
     digits: int = 2,
-    chunk_seconds: int | None = DAY,
+    chunk_seconds: int | Cuts | None = DAY,
 ) -> DataFrame:
     """Per session: path length, mean speed, clicks and bounding-box area; no row when it has < 2 events.
 
@@ -124,7 +125,7 @@ def typing_metrics(
     presses: DataFrame,
     keys: Sequence[str],
     pause: float = PAUSE_SEC,
-    chunk_size: int | None = 65_536,
+    chunk_size: int | Cuts | None = 65_536,
     time_digits: int = 4,
 ) -> DataFrame:
     """Per session over key presses ``(ord, timestamp_precise)`` in arrival order: rates and flight times.
@@ -165,7 +166,7 @@ def typing_metrics(
 
 
 def merge_repeats(
-    rows: DataFrame, keys: Sequence[str], same: Sequence[str], order: Sequence[str], chunk: Column | None,
+    rows: DataFrame, keys: Sequence[str], same: Sequence[str], order: Sequence[str], chunk: Column | Cuts | None,
     measure: str = "duration",
 ) -> DataFrame:
     """Gaps and islands: consecutive rows equal on ``same`` collapse to their first row, ``measure`` is

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from daytrace.functions import text as tx
 from daytrace.operators import frames as fr
 from daytrace.operators import keystrokes, pairs, sessions
-from daytrace.operators.ordered import Ordered, fitting_seconds, fitting_size, ordinal_chunk, time_chunk
+from daytrace.operators.cuts import Cuts, fit
+from daytrace.operators.ordered import Ordered, fitting_size, ordinal_chunk, time_chunk
 from daytrace.plans.registry import query, r6, table, us
 
 TYPES = ["click", "error", "purchase", "signup"]
@@ -30,9 +31,9 @@ def activity(spark, sf) -> DataFrame:
     )
 
 
-def session_tables(spark, sf) -> tuple[DataFrame, DataFrame, int | None]:
+def session_tables(spark, sf) -> tuple[DataFrame, DataFrame, Cuts | None]:
     rows = activity(spark, sf)
-    width = fitting_seconds(rows, ["user"])
+    width = fit(rows, ["user"], ["ts"])
     ses = sessions.build_sessions(rows.where("event_type = 'view'").select("user", "ts", "ord"), ["user"], width)
     return ses, sessions.assign_events(ses, rows.where("event_type <> 'view'"), ["user"], width), width
 
@@ -78,7 +79,7 @@ SELECT u AS "user", CAST(isl - 1 AS BIGINT) AS id, min(ord) AS first_event, any_
   round(sum(x), 4) AS duration FROM g GROUP BY u, isl""")
 def islands(spark, sf):
     rows = activity(spark, sf).select("user", "ord", "event_type", F.col("x").alias("duration"))
-    out = sessions.merge_repeats(rows, ["user"], ["event_type"], ["ord"], ordinal_chunk("ord", fitting_size(rows, ["user"], "ord")))
+    out = sessions.merge_repeats(rows, ["user"], ["event_type"], ["ord"], fit(rows, ["user"], ["ord"]))
     return out.select("user", "id", F.col("ord").alias("first_event"), "event_type", r6("duration", "duration", 4))
 
 
@@ -117,7 +118,7 @@ def pointer_metrics(spark, sf):
 SELECT u AS "user", ord AS event_id, round(fl, 6) AS flight FROM f WHERE fl < 20000""")
 def flight_times(spark, sf):
     rows = activity(spark, sf).where("event_type <> 'view'").withColumn("t", us("ts") / F.lit(1e6))
-    out = Ordered(rows, ["user"], ["ord"], ordinal_chunk("ord", fitting_size(rows, ["user"], "ord"))).lead("nt", F.col("t")).done()
+    out = Ordered(rows, ["user"], ["ord"], fit(rows, ["user"], ["ord"])).lead("nt", F.col("t")).done()
     flight = F.round(F.col("nt") - F.col("t"), 6)
     return out.where(flight < 20000).select("user", F.col("ord").alias("event_id"), r6(flight, "flight"))
 
@@ -134,7 +135,7 @@ SELECT u AS "user", sid AS session_id, CASE WHEN presses < 2 THEN 1 ELSE 0 END A
 def typing(spark, sf):
     _, asg, width = session_tables(spark, sf)
     rows = asg.withColumn("timestamp_precise", us("ts") / F.lit(1e6))
-    size = fitting_size(activity(spark, sf), ["user"], "ord")
+    size = fit(activity(spark, sf), ["user"], ["ord"])
     out = sessions.typing_metrics(rows, ["user", "session_id"], pause=20000.0, time_digits=1, chunk_size=size)
     return out.select(
         "user", "session_id", F.col("note").isNotNull().cast("int").alias("short"),
@@ -159,7 +160,7 @@ def typed(spark, sf):
     presses = rows.select(
         "user", "session_id", "ord", F.lit("key_press").alias("event_type"), F.lit("down").alias("action"),
         key.alias("key_char"), held.alias("modifiers"))
-    return keystrokes.typed_text(presses, ["user", "session_id"], chunk_size=fitting_size(presses, ["user", "session_id"], "ord"))
+    return keystrokes.typed_text(presses, ["user", "session_id"], chunk_size=fit(presses, ["user", "session_id"], ["ord"]))
 
 
 @query("w5_w6_pairs_history", """WITH t AS (SELECT conv_id, turn, role || ':' || length(text) AS tag FROM conversations),
@@ -192,7 +193,7 @@ r AS (SELECT lang, CAST(-1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS a, CAST(0 AS BI
 SELECT lang, p AS pair_idx, a AS first_id, b AS second_id, hist AS history FROM r WHERE kept""")
 def budget_pairs(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "doc_id", tx.token_count("text").alias("tokens"))
-    placed = Ordered(docs, ["lang"], ["doc_id"], ordinal_chunk("doc_id", fitting_size(docs, ["lang"], "doc_id"))).ordinal("idx").done()
+    placed = Ordered(docs, ["lang"], ["doc_id"], fit(docs, ["lang"], ["doc_id"])).ordinal("idx").done()
     size = fitting_size(placed, ["lang"], "idx")
     out = pairs.pairs_within_budget(placed, ["lang"], "idx", "tokens", history=2, budget=W7_BUDGET, chunk_pairs=size)
     return out.select("lang", "pair_idx", "first_id", "second_id", F.array_join(F.col("history_ids").cast("array<string>"), ",").alias("history"))
@@ -236,7 +237,7 @@ FROM n GROUP BY conv_id, batch_id""")
 def batches(spark, sf):
     s, t = layers(spark, sf)
     both = pairs.join_layers(s, t, ["conv_id", "pair_idx"])
-    out = pairs.batch_observations(both, ["conv_id"], k=2, chunk_size=fitting_size(s, ["conv_id"], "pair_idx"))
+    out = pairs.batch_observations(both, ["conv_id"], k=2, chunk_size=fit(s, ["conv_id"], ["pair_idx"]))
     return out.select(
         "conv_id", "batch_id", F.array_join(F.col("pair_indices").cast("array<string>"), ",").alias("pair_indices"),
         F.md5("content").alias("content"), F.col("start").alias("start_turn"), F.col("end").alias("end_turn"), "missing_ranges")
@@ -244,7 +245,7 @@ def batches(spark, sf):
 
 def dense_events(spark, sf) -> DataFrame:
     rows = activity(spark, sf)
-    return Ordered(rows, ["user"], ["ts", "ord"], time_chunk("ts", fitting_seconds(rows, ["user"]))).ordinal("pos").done()
+    return Ordered(rows, ["user"], ["ts", "ord"], fit(rows, ["user"], ["ts", "ord"])).ordinal("pos").done()
 
 
 def dense_size(spark, sf) -> int | None:
@@ -310,7 +311,7 @@ SELECT f.u AS "user", f.ord AS event_id, f.idx AS global_idx, coalesce(g.pos, -1
 FROM f LEFT JOIN g ON g.u = f.u AND f.idx BETWEEN g.start_idx AND g.end_idx""")
 def locate(spark, sf):
     frames = activity(spark, sf).select("user", F.col("ord").alias("event_id"), (1 + (F.col("ord") * 37) % 6000).alias("global_idx"))
-    size = fitting_size(frames, ["user"], "global_idx")
+    size = fit(frames, ["user"], ["global_idx"])
     out = fr.locate_frames(frames, segments(spark, sf), ["user"], ["pos"], size)
     return out.select(
         "user", "event_id", "global_idx", F.coalesce("pos", F.lit(-1)).alias("segment"),

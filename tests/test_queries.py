@@ -34,9 +34,16 @@ CHUNKED = ["w1_session_bounds", "j1_session_activity", "w2_islands", "a1_pointer
 
 @pytest.mark.parametrize("name", CHUNKED)
 def test_query_is_the_same_when_keys_are_cut_into_chunks(spark, con, monkeypatch, name):
+    from daytrace.operators import cuts
     from daytrace.plans import activity
 
-    monkeypatch.setattr(activity, "fitting_seconds", lambda *a, **k: 90_000)
+    made = []
+
+    def fine(df, keys, order):
+        made.append(cuts.fit(df, keys, order, target_rows=9))
+        return made[-1]
+
+    monkeypatch.setattr(activity, "fit", fine)
     monkeypatch.setattr(activity, "fitting_size", lambda *a, **k: 211)
     monkeypatch.setattr(activity, "dense_size", lambda *a, **k: 7)
     ok, note, _ = oracle.compare(spark, con, SF, entry.queries()[name], ORACLES.get(name))

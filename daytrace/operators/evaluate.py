@@ -19,6 +19,7 @@ from daytrace.operators.graph import greedy_matching
 from daytrace.operators.similarity import (
     BLOCK_ROWS, binned_pairs, centroids, collapse_copies, coverage_sums, cross_pairs_above, pool_coverage, top_matches,
 )
+from daytrace.session import cut
 
 # Fixed values -----------------------------------------------------------------------------------------
 FIELD_WEIGHTS = [
@@ -432,12 +433,13 @@ def background(sample: DataFrame, user: str, quantiles: Sequence[float] = (0.5,
 
 
 def random_pairs(rows: DataFrame, user: str, draws: int, seed: int = 0, vec: str = "vec", ordinal: str = "ord") -> DataFrame:
-    """``draws`` pairs per user with replacement; ``ordinal`` is dense from 0 per user.  Both ends are hashed
-    draw numbers joined on the ordinal, so only the drawn rows move."""
+    """``draws`` pairs per user with replacement; ``ordinal`` is dense from 0 per user.  Both ends are draws by an MD5 of user,
+    draw, seed and side, which any engine repeats, joined on the ordinal, so only the drawn rows move.  A row may meet itself."""
     counts = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
     drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    for side, salt in (("i", 1), ("j", 2)):
-        drawn = drawn.withColumn(side, F.pmod(F.xxhash64(F.col(user), F.col("draw"), F.lit(seed), F.lit(salt)), F.col("_n")))
+    for side in ("i", "j"):
+        digest = F.md5(F.concat_ws(":", F.col(user).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)), F.lit(side)))
+        drawn = drawn.withColumn(side, F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), F.col("_n")))
     left = rows.select(user, F.col(ordinal).alias("i"), F.col(vec).alias("_a"))
     right = rows.select(user, F.col(ordinal).alias("j"), F.col(vec).alias("_b"))
     return drawn.join(left, [user, "i"]).join(right, [user, "j"]).select(
@@ -452,11 +454,12 @@ def calibrate_bounds(
 ) -> tuple[DataFrame, DataFrame]:
     """Soft-metric bounds from judged pairs → (one-row bounds, match curve).
 
-    ``match`` adds a 0/1 ``match`` column to the stratified pairs (user, bin, i, j, cos).
+    ``match`` adds a 0/1 ``match`` column to the stratified pairs (user, bin, i, j, cos), which are formed and judged once.
+    ``background_sample`` holds cosines of pairs drawn at random (``random_pairs``); the guard is their quantile.
     """
     enough = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_items)
     used = rows.join(enough.select(user), user, "left_semi")
-    judged = match(binned_pairs(used, [user], low, width, bins, per_bin, block_rows=block_rows, seed=seed))
+    judged = cut(match(binned_pairs(used, [user], low, width, bins, per_bin, block_rows=block_rows, seed=seed)))
     curve = match_curve(judged, user, bins).withColumn("centre", F.lit(low) + (F.col("bin") + 0.5) * width)
     pooled = curve.where(F.col(user).isNull()).withColumn("_one", F.lit(1))
     lo = crossing(pooled, ["_one"], low_level).withColumnRenamed("crossing", "low_crossing")
@@ -475,7 +478,8 @@ def calibrate_bounds(
 
 def preservation(rows: DataFrame, raw: Column, kept: Column, sample: int | None = None) -> DataFrame:
     """Share of raw tokens that survive cleaning, in percent, with the ``missing`` ones, and the first ``sample`` of them where
-    that is asked for."""
+    that is asked for.  A record whose tree has no tokens that count has lost none: it scores 100.  Records without a tree are
+    not scored at all: leave them out first (``trees.has_root``)."""
     missing = F.array_except(raw, kept)
     score = F.when(F.size(raw) == 0, 100.0).otherwise(100.0 * (1 - F.size(missing) / F.size(raw)))
     out = (
@@ -484,3 +488,10 @@ def preservation(rows: DataFrame, raw: Column, kept: Column, sample: int | None
         .withColumn("status", F.when(F.col("score") < 50, "BAD").when(F.col("score") > 85, "OK").otherwise("LOW"))
     )
     return out if sample is None else out.withColumn("missing_sample", F.slice("missing", 1, sample))
+
+
+def preservation_mean(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Number of scored records, their mean score (0 where there are none) and how many have each status, per key."""
+    states = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "LOW", "BAD")]
+    mean = F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score")
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"), mean, *states)

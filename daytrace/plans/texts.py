@@ -426,13 +426,27 @@ def nodes(spark, sf):
     return out.select("doc_id", "n.depth", "n.path", "n.role", F.md5("n.text").alias("text"))
 
 
-@query("e10_a23_preservation", r"""WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text || ' ' || source || ' ' || lang || ' from go window article button'), '[^a-z0-9]+'), lambda w: length(w) > 1) AS ws FROM documents),
+PRESERVED = r"""t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text || ' ' || source || ' ' || lang || ' from go window article button'), '[^a-z0-9]+'), lambda w: length(w) > 1) AS ws FROM documents),
 k AS (SELECT doc_id, list_distinct(ws) AS kept, list_filter(list_distinct(list_concat(ws, ['generic', 'statictext'])), lambda w: NOT regexp_matches(w, '^(?:[0-9]+|0x[0-9a-f]+|[0-9a-f]{8,}|true|false|null|undefined)$')) AS raw FROM t
   UNION ALL SELECT -1 - doc_id, ['x'], [] FROM documents WHERE lang IN ('de', 'fr')),
-s AS (SELECT doc_id, len(raw) AS raw_count, len(kept) AS kept_count, CASE WHEN len(raw) = 0 THEN 100 ELSE 100.0 * (1 - len(list_filter(raw, lambda w: NOT list_contains(kept, w))) / len(raw)) END AS score FROM k)
+s AS (SELECT doc_id, len(raw) AS raw_count, len(kept) AS kept_count, CASE WHEN len(raw) = 0 THEN 100 ELSE 100.0 * (1 - len(list_filter(raw, lambda w: NOT list_contains(kept, w))) / len(raw)) END AS score FROM k)"""
+
+
+@query("e10_a23_preservation", f"""WITH {PRESERVED}
 SELECT doc_id, round(score, 2) AS score, raw_count, kept_count, CASE WHEN score < 50 THEN 'BAD' WHEN score > 85 THEN 'OK' ELSE 'LOW' END AS status FROM s""")
 def preservation(spark, sf):
     rows = snapshots(spark, sf).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
     raw = F.when(F.col("doc_id") < 0, F.array().cast("array<string>")).otherwise(trees.snapshot_tokens(F.col("raw")))
     rows = rows.withColumn("rt", tx.meaningful(raw)).withColumn("kt", tx.tokenize("c.accessibility"))
     return ev.preservation(rows, F.col("rt"), F.col("kt")).select("doc_id", "score", "raw_count", "kept_count", "status")
+
+
+@query("e10_preservation_mean", f"""WITH {PRESERVED}
+SELECT d.lang, count(*) AS n_records, round(avg(round(score, 2)), 4) AS mean_score, count(*) FILTER (score > 85) AS ok,
+  count(*) FILTER (score BETWEEN 50 AND 85) AS low, count(*) FILTER (score < 50) AS bad
+FROM s JOIN documents d ON d.doc_id = CASE WHEN s.doc_id < 0 THEN -1 - s.doc_id ELSE s.doc_id END WHERE s.doc_id >= 0 OR d.lang = 'fr' GROUP BY d.lang""")
+def preservation_mean(spark, sf):
+    rows = snapshots(spark, sf).where(trees.has_root(F.col("raw"))).withColumn("c", trees.clean_snapshot(F.col("raw"), pdf_chars=1500))
+    rows = rows.withColumn("rt", tx.meaningful(trees.snapshot_tokens(F.col("raw")))).withColumn("kt", tx.tokenize("c.accessibility"))
+    out = ev.preservation_mean(ev.preservation(rows, F.col("rt"), F.col("kt")), ["lang"])
+    return out.select("lang", "n_records", r6("mean_score", "mean_score", 4), "ok", "low", "bad")

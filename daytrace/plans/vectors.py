@@ -304,10 +304,9 @@ b AS (SELECT *, CAST(floor(cos / 0.1) AS INT) AS bin, (i * 7919 + j * 104729) %
 smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, bin ORDER BY draw, i, j) AS rn FROM b) WHERE rn <= 40)"""
 
 
-def sampled(spark, sf) -> DataFrame:
-    v = vectors(spark, sf)
-    lab = v.select("id", "label")
-    pairs = sim.binned_pairs(v, ["user"], **BINS)
+def judged(spark, sf, pairs) -> DataFrame:
+    """A pair matches when both vectors have one label."""
+    lab = vectors(spark, sf).select("id", "label")
     return (
         pairs.join(lab.select(F.col("id").alias("i"), F.col("label").alias("_a")), "i")
         .join(lab.select(F.col("id").alias("j"), F.col("label").alias("_b")), "j")
@@ -315,6 +314,23 @@ def sampled(spark, sf) -> DataFrame:
     )
 
 
+def sampled(spark, sf) -> DataFrame:
+    return judged(spark, sf, sim.binned_pairs(vectors(spark, sf), ["user"], **BINS))
+
+
+DRAWS = 300
+RANDOM = f"""n AS (SELECT u, count(*) AS n FROM v GROUP BY u), o AS (SELECT u, id, vec, row_number() OVER (PARTITION BY u ORDER BY id) - 1 AS ord FROM v),
+e AS (SELECT u, n, unnest(range(1, {DRAWS + 1})) AS draw FROM n),
+d AS (SELECT u, draw, CAST('0x' || left(md5(concat_ws(':', u, draw, 0, 'i')), 12) AS BIGINT) % n AS i,
+  CAST('0x' || left(md5(concat_ws(':', u, draw, 0, 'j')), 12) AS BIGINT) % n AS j FROM e),
+rnd AS (SELECT d.u, draw, i, j, list_dot_product(a.vec, b.vec) AS cos FROM d JOIN o a ON a.u = d.u AND a.ord = i JOIN o b ON b.u = d.u AND b.ord = j)"""
+
+
+def drawn(spark, sf) -> DataFrame:
+    v = Ordered(vectors(spark, sf), ["user"], ["id"], ordinal_chunk("id")).ordinal("ord").done()
+    return ev.random_pairs(v, "user", DRAWS)
+
+
 @query("o5_stratified_pairs", f"""WITH {V}, {SAMPLE} SELECT u AS "user", bin, i, j, round(cos, 5) AS cos FROM smp""")
 def stratified(spark, sf):
     return sim.binned_pairs(vectors(spark, sf), ["user"], **BINS).select("user", "bin", "i", "j", r6("cos", "cos", 5))
@@ -328,13 +344,13 @@ def match_curve(spark, sf):
     return out.select(F.coalesce("user", F.lit(-1)).alias("user"), "bin", r6(F.coalesce("p_match", F.lit(-1.0)), "p_match"), "n_pairs")
 
 
-@query("a14_background", f"""WITH {V}, {SAMPLE} SELECT coalesce(u, -1) AS "user", count(*) AS n, round(avg(cos), 5) AS mean, round(quantile_cont(cos, 0.5), 5) AS q50,
-  round(quantile_cont(cos, 0.9), 5) AS q90, round(quantile_cont(cos, 0.99), 5) AS q99 FROM smp GROUP BY GROUPING SETS ((u), ())""")
+@query("a14_background", f"""WITH {V}, {RANDOM} SELECT coalesce(u, -1) AS "user", count(*) AS n, round(avg(cos), 5) AS mean, round(quantile_cont(cos, 0.5), 5) AS q50,
+  round(quantile_cont(cos, 0.9), 5) AS q90, round(quantile_cont(cos, 0.95), 5) AS q95, round(quantile_cont(cos, 0.99), 5) AS q99 FROM rnd GROUP BY GROUPING SETS ((u), ())""")
 def background(spark, sf):
-    out = ev.background(sampled(spark, sf), "user", (0.5, 0.9, 0.99))
+    out = ev.background(drawn(spark, sf), "user", (0.5, 0.9, 0.95, 0.99))
     return out.select(
         F.coalesce("user", F.lit(-1)).alias("user"), "n", r6("mean", "mean", 5),
-        *[r6(F.col("q")[i], f"q{n}", 5) for i, n in enumerate((50, 90, 99))])
+        *[r6(F.col("q")[i], f"q{n}", 5) for i, n in enumerate((50, 90, 95, 99))])
 
 
 W9 = f"""g AS (SELECT bin, (bin + 0.5) * 0.1 AS c, avg(CAST(same AS INT)) AS p FROM smp GROUP BY bin),
@@ -352,23 +368,22 @@ def curve_crossing(spark, sf):
     return ev.crossing(curve, ["one"], 0.52).select(r6("crossing", "crossing", 5))
 
 
-@query("e5_calibrated_bounds", f"""WITH {V}, {SAMPLE}, {W9} SELECT round(round_even(greatest({w9_sql(0.5)}, (SELECT quantile_cont(cos, 0.9) FROM smp)) / 0.05, 0) * 0.05, 6) AS low,
-  round(round_even({w9_sql(0.55)} / 0.05, 0) * 0.05, 6) AS high""")
+@query("e5_calibrated_bounds", f"""WITH {V}, {RANDOM}, {SAMPLE}, {W9.replace("e AS (", "env AS (").replace("FROM e)", "FROM env)")},
+gd AS (SELECT quantile_cont(cos, 0.9) AS background FROM rnd WHERE u IN (SELECT u FROM n WHERE n >= 50))
+SELECT round(round_even(greatest({w9_sql(0.5)}, background) / 0.05, 0) * 0.05, 6) AS low, round(round_even({w9_sql(0.55)} / 0.05, 0) * 0.05, 6) AS high,
+  round({w9_sql(0.5)}, 5) AS low_crossing, round({w9_sql(0.55)}, 5) AS high_crossing, round(background, 5) AS background FROM gd""")
 def calibrated(spark, sf):
-    sample = sampled(spark, sf)
-    labels = sample.select("user", "i", "j", "match")
     bounds, _ = ev.calibrate_bounds(
-        vectors(spark, sf), "user", lambda p: p.join(labels, ["user", "i", "j"]), sample, low=0.0, width=0.1, bins=5,
+        vectors(spark, sf), "user", lambda p: judged(spark, sf, p), drawn(spark, sf), low=0.0, width=0.1, bins=5,
         per_bin=40, low_level=0.5, high_level=0.55, min_items=50)
-    return bounds.select(r6("low", "low"), r6("high", "high"))
+    return bounds.select(
+        r6("low", "low"), r6("high", "high"), r6("low_crossing", "low_crossing", 5), r6("high_crossing", "high_crossing", 5),
+        r6("background", "background", 5))
 
 
-@query("o6_random_pairs")
+@query("o6_random_pairs", f"""WITH {V}, {RANDOM} SELECT u AS "user", draw, i, j, round(cos, 5) AS cos FROM rnd""")
 def random_pairs(spark, sf):
-    from daytrace.operators.ordered import Ordered, ordinal_chunk
-
-    v = Ordered(vectors(spark, sf), ["user"], ["id"], ordinal_chunk("id")).ordinal("ord").done()
-    return ev.random_pairs(v, "user", 300).select("user", "draw", "i", "j", r6("cos", "cos", 5))
+    return drawn(spark, sf).select("user", "draw", "i", "j", r6("cos", "cos", 5))
 
 
 @query("r5_projection")

@@ -161,3 +161,29 @@ def test_text_cosine_of_profiles(spark):
         assert abs(r.semantic - cos(sum(x.values(), []), sum(y.values(), []))) < 1e-9
         paths = set(x) | set(y)
         assert abs(r.average_semantic - sum(cos(x.get(p, []), y.get(p, [])) for p in paths) / len(paths)) < 1e-9
+
+
+def test_random_pairs_are_draws_with_replacement_that_anyone_can_repeat(spark):
+    import hashlib
+
+    data = [("a", i, [float(i), 1.0]) for i in range(5)] + [("b", 0, [2.0, 0.0])]
+    df = spark.createDataFrame(data, "user string, ord long, vec array<double>")
+    got = {(r["user"], r["draw"]): (r["i"], r["j"], r["cos"]) for r in ev.random_pairs(df, "user", 40, seed=3).collect()}
+    for user, n in (("a", 5), ("b", 1)):
+        for draw in range(1, 41):
+            i, j = (int(hashlib.md5(f"{user}:{draw}:3:{side}".encode()).hexdigest()[:12], 16) % n for side in "ij")
+            assert got[user, draw] == (i, j, i * j + 1.0 if user == "a" else 4.0)
+    assert len(got) == 80 and len({v[:2] for k, v in got.items() if k[0] == "a"}) > 15
+    assert ev.random_pairs(df.limit(0), "user", 40).count() == 0
+
+
+def test_mean_preservation_leaves_out_records_without_a_tree(spark):
+    from daytrace.operators import trees
+
+    data = [('{"data": {"role": "window"}}', ["a", "b"], ["a"]), ('{"data": []}', [], []), ('{"data": {}}', [], []), (None, [], []), ("{}", [], []),
+            ("{bad", [], []), ('{"data": [{}]}', [], ["x"])]
+    df = spark.createDataFrame(data, "raw string, rt array<string>, kt array<string>")
+    r = ev.preservation_mean(ev.preservation(df.where(trees.has_root(F.col("raw"))), F.col("rt"), F.col("kt"))).first()
+    assert (r["n_records"], r["mean_score"], r["ok"], r["low"], r["bad"]) == (2, 75.0, 1, 1, 0)
+    none = ev.preservation_mean(ev.preservation(df.limit(0), F.col("rt"), F.col("kt"))).first()
+    assert (none["n_records"], none["mean_score"]) == (0, 0.0)

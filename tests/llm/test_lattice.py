@@ -95,3 +95,61 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     got = {r.doc_id: r for r in lattice.score(df, F.lit(False), PATH).collect()}
     assert got[1].train_tokens == 0 and got[1].n_known == 0 and got[1].score < got[2].score < 0
     assert lattice.score(df.limit(0), F.lit(True), PATH).count() == 0
+
+
+def test_words_together_equal_words_alone(small):
+    weights, own = small
+    words = [b"a", b"ab", b"abab", b"aabba", b"babaab", b"ab", b"ba" * 300, b""]
+    assert own.log_probabilities(words) == pytest.approx([own.log_probability(w) for w in words])
+    alone, joint = np.zeros(len(weights)), np.zeros(len(weights))
+    for k, w in enumerate(words):
+        own.expected(w, k + 0.5, alone)
+    own.expected_uses(words, lambda part, chance: np.array(part) + 0.5, joint)
+    assert joint == pytest.approx(alone)
+
+
+def test_own_arcs_settle_where_steps_would():
+    counts, chance, spread, known = np.array([1.0, 2.0, 50.0, 3.0, 1.0]), np.log([1e-9, 1e-4, 1e-3, 0.2, 0.4]), 0.3, 1000
+    got, steps = lattice.own_uses(counts, chance, spread, known), counts - lattice.DISCOUNT
+    for _ in range(5000):
+        steps = np.maximum(counts * steps / (steps + np.exp(chance) * spread * known) - lattice.DISCOUNT, 0)
+    assert got == pytest.approx(steps, abs=1e-6) and got[2] > 0 and got[4] == 0
+
+
+def test_score_is_the_marginal_over_pieces_and_word_arcs(spark, monkeypatch):
+    """The whole model again in plain Python over listed segmentations: expectation steps, discounted word arcs, texts."""
+    pieces = {b" ": 0.2, b"a": 0.2, b"b": 0.1, b"ab": 0.2, b" a": 0.2, b"aba": 0.1}
+    monkeypatch.setattr(lattice, "vocabulary", lambda path: tuple(pieces.items()))
+    texts = {1: "ab ab aba b", 2: "ab a ABA bb", 3: "ab ab ab", 4: "abb ab", 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lattice.score(df, F.col("doc_id") < 4, "any").collect()}
+
+    def cuts(text):
+        return [[]] if not text else [[p, *rest] for p in pieces if text.startswith(p) for rest in cuts(text[len(p) :])]
+
+    words = lambda t: (t or "").lower().encode().split()
+    seen = Counter(w for k, t in texts.items() if k < 4 for w in words(t))
+    known, ends = sum(seen.values()), 3
+    weight, spread, before = dict(pieces), lattice.DISCOUNT * len(seen) / known, None
+    chance = lambda w: sum(math.prod(weight[p] for p in c) for c in cuts(b" " + w))
+
+    def arc(w):
+        return float(lattice.own_uses(np.array([seen[w]], float), np.log([chance(w)]), spread, known)[0])
+
+    for _ in range(lattice.STEPS):
+        sums, uses, now = {p: lattice.PRIOR_PIECES * v for p, v in pieces.items()}, 0.0, 0.0
+        for w, c in seen.items():
+            uses += arc(w)
+            now += c * math.log(arc(w) / known + chance(w) * spread)
+            for way in cuts(b" " + w):
+                for p in way:
+                    sums[p] += (c - arc(w)) * math.prod(weight[q] for q in way) / chance(w)
+        weight, spread = {p: v / sum(sums.values()) for p, v in sums.items()}, 1 - uses / known
+        if before is not None and abs(now - before) <= lattice.SETTLED * abs(before):
+            break
+        before = now
+    arcs = {w: arc(w) for w in seen}
+    rest, end = 1 - sum(arcs.values()) / known, (ends + 1) / (known + ends + 2)
+    for k, t in texts.items():
+        expect = math.log10(end) + sum(math.log10((1 - end) * (arcs.get(w, 0) / known + rest * chance(w))) for w in words(t))
+        assert got[k] == pytest.approx(expect)

@@ -4,7 +4,7 @@ The pieces of an existing vocabulary span a lattice over each word; its probabil
 pieces, by a forward recursion in log space. A word seen in training is one more arc over the whole word. The vocabulary's own
 scores are the prior of the piece weights (they rank the pieces; the weight falls with the rank). The weights of pieces and word
 arcs come out of the same expectation steps over all training tokens: a token uses its word's arc or the pieces, in proportion
-to what each explains; an arc keeps its expected uses less a fixed discount, and all other tokens are dealt to the pieces by
+to what each explains; an arc keeps its expected uses less a discount (from the counts of rare words), and all other tokens are dealt to the pieces by
 forward and backward sums. A text is its words, each begun by a word mark, and one end; pieces of single bytes make every text
 possible. The score is the log of the marginal over all segmentations, word arcs included.
 
@@ -28,7 +28,7 @@ from daytrace.session import cut
 
 COMMON_WORDS = 100_000  # bound of the broadcast part of the word table
 PRIOR_PIECES = 5_000.0  # weight of the vocabulary's prior, as a number of pieces
-DISCOUNT = 0.75
+DISCOUNT = 0.75  # where the corpus has no word that occurs once
 STEPS = 4  # expectation steps at most; fewer once the training sum settles
 SETTLED = 1e-3  # relative change of the training sum
 TOGETHER = 20_000  # words of a task that are looked at together
@@ -241,12 +241,17 @@ def word_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def own_uses(counts: np.ndarray, log_chance: np.ndarray, spread: float, known: int) -> np.ndarray:
-    """Uses of a word's own arc: the larger solution of a = count * a / (a + x) - DISCOUNT, x the uses the pieces foretell, which
+def discount_of(once: int, twice: int) -> float:
+    """What a count is too high by when it foretells other texts, from the numbers of words that occur once and twice."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else DISCOUNT
+
+
+def own_uses(counts: np.ndarray, log_chance: np.ndarray, spread: float, known: int, discount: float) -> np.ndarray:
+    """Uses of a word's own arc: the larger solution of a = count * a / (a + x) - discount, x the uses the pieces foretell, which
     is where expectation steps for this word would settle; 0 where there is none, as then the pieces explain the word."""
     foretold = np.exp(log_chance) * (spread * known)
-    half = counts - DISCOUNT - foretold
-    inner = half * half - 4 * DISCOUNT * foretold
+    half = counts - discount - foretold
+    inner = half * half - 4 * discount * foretold
     return np.where((half > 0) & (inner >= 0), (half + np.sqrt(np.maximum(inner, 0))) / 2, 0.0)
 
 
@@ -264,10 +269,10 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], n
         yield words, np.array(counts, float)
 
 
-def train(words: DataFrame, pieces: list[bytes], prior: np.ndarray, known: int, kinds: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def train(words: DataFrame, pieces: list[bytes], prior: np.ndarray, known: int, kinds: int, discount: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Piece weights and the share of tokens left to pieces, after expectation steps over all training tokens from the
     vocabulary's ``prior``, which stays mixed in. The word table is read once a step; sums by piece come back."""
-    weights, spread, before = prior, (DISCOUNT * kinds / known if known else 1.0), None
+    weights, spread, before = prior, (discount * kinds / known if known else 1.0), None
     seen = words.where("c > 0")
     for _ in range(steps if known else 0):
 
@@ -278,7 +283,7 @@ def train(words: DataFrame, pieces: list[bytes], prior: np.ndarray, known: int,
 
                 def left(part: list[int], chance: np.ndarray) -> np.ndarray:
                     nonlocal uses, total
-                    own = own_uses(counts[part], chance, spread, known)
+                    own = own_uses(counts[part], chance, spread, known, discount)
                     uses += float(own.sum())
                     total += float((counts[part] * np.where(own > 0, np.log(own / known + np.exp(chance) * spread + 1e-300), chance + log(spread))).sum())
                     return counts[part] - own
@@ -304,7 +309,7 @@ def train(words: DataFrame, pieces: list[bytes], prior: np.ndarray, known: int,
     return weights, spread
 
 
-def word_scores(words: DataFrame, pieces: list[bytes], weights: np.ndarray, spread: float, known: int, kinds: int, ends: int) -> DataFrame:
+def word_scores(words: DataFrame, pieces: list[bytes], weights: np.ndarray, spread: float, known: int, kinds: int, ends: int, discount: float) -> DataFrame:
     """Adds to the word table the base score and the model's log10 probability of each word."""
     total, base_sum = known + ends, log10(known + ends + 0.1 * (kinds + (ends > 0) + 1))
     stay = log10(1 - (ends + 1) / (total + 2))
@@ -313,7 +318,7 @@ def word_scores(words: DataFrame, pieces: list[bytes], weights: np.ndarray, spre
         lattice = Lattice(pieces, weights)
         for own_words, counts in together(batches):
             chance = lattice.log_probabilities(own_words)
-            own = own_uses(counts, chance, spread, known)
+            own = own_uses(counts, chance, spread, known, discount)
             yield pa.RecordBatch.from_arrays([pa.array(own_words, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(chance), pa.array(own)], ["word", "c", "chance", "own"])
 
     found = cut(words.select("word", "c").mapInArrow(add, "word binary, c long, chance double, own double"))
@@ -351,13 +356,14 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     """
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), F.coalesce(learn, F.lit(False)).alias("use"), F.col(f"`{text_col}`").alias("text"))
     words = cut(word_counts(rows, "text", F.col("use")))
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     ends = rows.where("use").count()
     known, kinds, total = sums["n"], sums["v"], sums["n"] + ends
+    discount = discount_of(sums["once"], sums["twice"])
     vocab = vocabulary(path)
     pieces = [p for p, _ in vocab]
-    weights, spread = train(words, pieces, np.array([w for _, w in vocab]), known, kinds)
-    scored = word_scores(words, pieces, weights, spread, known, kinds, ends)
+    weights, spread = train(words, pieces, np.array([w for _, w in vocab]), known, kinds, discount)
+    scored = word_scores(words, pieces, weights, spread, known, kinds, ends, discount)
     shared = docs.sparkSession.sparkContext.broadcast(common_words(scored, common))
     end_base = log10((ends + 0.1) / (total + 0.1 * (kinds + (ends > 0) + 1)))
     end_score = log10((ends + 1) / (total + 2))

@@ -110,9 +110,9 @@ def test_words_together_equal_words_alone(small):
 
 def test_own_arcs_settle_where_steps_would():
     counts, chance, spread, known = np.array([1.0, 2.0, 50.0, 3.0, 1.0]), np.log([1e-9, 1e-4, 1e-3, 0.2, 0.4]), 0.3, 1000
-    got, steps = lattice.own_uses(counts, chance, spread, known), counts - lattice.DISCOUNT
+    got, steps = lattice.own_uses(counts, chance, spread, known, 0.75), counts - 0.75
     for _ in range(5000):
-        steps = np.maximum(counts * steps / (steps + np.exp(chance) * spread * known) - lattice.DISCOUNT, 0)
+        steps = np.maximum(counts * steps / (steps + np.exp(chance) * spread * known) - 0.75, 0)
     assert got == pytest.approx(steps, abs=1e-6) and got[2] > 0 and got[4] == 0
 
 
@@ -130,11 +130,11 @@ def test_score_is_the_marginal_over_pieces_and_word_arcs(spark, monkeypatch):
     words = lambda t: (t or "").lower().encode().split()
     seen = Counter(w for k, t in texts.items() if k < 4 for w in words(t))
     known, ends = sum(seen.values()), 3
-    weight, spread, before = dict(pieces), lattice.DISCOUNT * len(seen) / known, None
+    weight, spread, before = dict(pieces), 0.6 * len(seen) / known, None  # three words once, one twice
     chance = lambda w: sum(math.prod(weight[p] for p in c) for c in cuts(b" " + w))
 
     def arc(w):
-        return float(lattice.own_uses(np.array([seen[w]], float), np.log([chance(w)]), spread, known)[0])
+        return float(lattice.own_uses(np.array([seen[w]], float), np.log([chance(w)]), spread, known, 0.6)[0])
 
     for _ in range(lattice.STEPS):
         sums, uses, now = {p: lattice.PRIOR_PIECES * v for p, v in pieces.items()}, 0.0, 0.0

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["activity", "vectors", "reports", "texts", "evaluation", "stages"]
+AREAS = ["activity", "vectors", "reports", "texts", "evaluation", "stages", "scans"]
 
 
 def load_all() -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from daytrace.functions import text as tx
+from daytrace.sources import ranges
 
 APP_DATA = (
     "struct<app_name: string, action: string, window_titles: array<string>, current_windows: array<string>, "
@@ -40,23 +41,31 @@ def with_user(rows: DataFrame, path_column: str = "_file", depth: int = 2) -> Da
     return rows.withColumn("user", F.element_at(F.split(path_column, "/"), -depth))
 
 
-def read_events(spark: SparkSession, paths: str | list[str], data: str) -> DataFrame:
+def json_rows(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, split_files: bool) -> DataFrame:
+    """Objects of JSON-array files with their ``ord`` and ``_file``; with ``split_files``, many tasks share a file."""
+    if not split_files:
+        return with_file_ordinal(spark.read.schema(schema).option("multiLine", True).json(paths))
+    found = ranges.json_objects(spark, paths)
+    return found.select("_file", "ord", F.from_json("record", schema).alias("_r")).select("_file", "ord", "_r.*")
+
+
+def read_events(spark: SparkSession, paths: str | list[str], data: str, split_files: bool = False) -> DataFrame:
     """JSON-array event logs → user, ord, timestamp (text), ts, event_type, typed ``data``.  The array is
-    streamed row by row, never held whole."""
+    streamed row by row, never held whole; ``split_files`` deals byte ranges of large files to many tasks."""
     schema = T.StructType([
         T.StructField("timestamp", T.StringType()), T.StructField("event_type", T.StringType()),
         T.StructField("data", T._parse_datatype_string(data)),
     ])
-    rows = spark.read.schema(schema).option("multiLine", True).json(paths)
-    return with_user(with_file_ordinal(rows)).select(
+    return with_user(json_rows(spark, paths, schema, split_files)).select(
         "user", "ord", "timestamp", F.try_to_timestamp("timestamp").alias("ts"), "event_type", "data")
 
 
-def read_snapshots(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_snapshots(spark: SparkSession, paths: str | list[str], split_files: bool = False) -> DataFrame:
     """Accessibility files (an array, or ``{"records": [...]}``) → user, ord, raw ``accessibility`` and
-    ``app_event`` JSON with key order kept."""
+    ``app_event`` JSON with key order kept.  ``split_files`` as in ``read_events``; it splits arrays only, and
+    drops spaces between JSON tokens."""
     schema = "accessibility string, app_event string, records array<struct<accessibility: string, app_event: string>>"
-    rows = with_user(with_file_ordinal(spark.read.schema(schema).option("multiLine", True).json(paths)))
+    rows = with_user(json_rows(spark, paths, schema, split_files))
     nested = rows.where("records is not null").select("user", F.posexplode("records").alias("ord", "_r")).select(
         "user", F.col("ord").cast("bigint"), "_r.accessibility", "_r.app_event")
     return rows.where("records is null").select("user", "ord", "accessibility", "app_event").unionByName(nested)
@@ -146,19 +155,29 @@ def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]
     return out
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+def csv_strings(spark: SparkSession, paths: list[str], head: str, split_files: bool) -> DataFrame:
+    """All columns of CSV files of one header, as text, with ``ord`` and ``_file``."""
+    if not split_files:
+        return with_file_ordinal(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths).select("*", "_metadata"))
+    names = spark.range(1).select(F.from_csv(F.lit(head), ", ".join(f"c{k} string" for k in range(head.count(",") + 1)), {"escape": '"'}).alias("h")).first()["h"]
+    records = ranges.csv_records(spark, paths).where("ord > 0")
+    parsed = records.select("_file", (F.col("ord") - 1).alias("ord"), F.from_csv("record", ", ".join(f"`{n}` string" for n in names if n is not None), {"escape": '"', "multiLine": "true"}).alias("_r"))
+    return parsed.select("_file", "ord", "_r.*")
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], schema: str, split_files: bool = False) -> DataFrame:
     """CSV with a header and quoted line breaks, columns by name, with ``ord`` per file and ``_file``. Files may have different
-    headers: those of one header are read together, and columns that a file lacks are null."""
+    headers: those of one header are read together, and columns that a file lacks are null.  ``split_files`` deals byte ranges of large files to many tasks;
+    column names then are unique and hold no line break."""
     wanted = T._parse_datatype_string(schema)
     out = None
-    for same in headers(spark, paths).values() or [paths]:
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(same)
+    for head, same in headers(spark, paths).items() or [("", paths)]:
+        rows = csv_strings(spark, same, head, split_files and bool(head))
         picked = [
             (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in wanted.fields
         ]
-        part = rows.select(*picked, F.col("_metadata"))
-        part = with_file_ordinal(part)
+        part = rows.select(*picked, "ord", "_file")
         out = part if out is None else out.unionByName(part)
     return out
 

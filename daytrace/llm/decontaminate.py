@@ -144,10 +144,11 @@ def leaks(
     side = F.broadcast(items) if small else items
     docs = _met_texts(docs, text_col, items, lengths, broadcast_windows, small)
 
-    # the key goes through a lambda, so that it is computed once a text and not again for each window
-    keyed = docs.select(_once(F.col(f"`{text_col}`"), lambda t: F.struct(F.struct(*text_key(t)).alias("key"), windows(slotted(t), lengths).alias("ws"))).alias("s"))
-    found = keyed.select("s.key.*", F.explode("s.ws").alias("w"))
-    found = found.select(*KEY, F.col("w.pos").alias("pos"), F.col("w.length").alias("length"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
+    # exploded as one array of structs made in place: from a column of its own, the optimizer would infer a filter on the windows
+    # and push it below the semi-join, so that the windows of all texts would be made
+    row = lambda k, w: F.struct(*[k[name].alias(name) for name in KEY], *[w[name].alias(name) for name in ("pos", "length", "hash", "slots")])
+    rows = lambda t: _once(F.struct(*text_key(t)), lambda k: F.transform(windows(slotted(t), lengths), lambda w: row(k, w)))
+    found = docs.select(F.explode(_once(F.col(f"`{text_col}`"), rows)).alias("w")).select("w.*")
     met = found.join(side, ["hash", "length"])
     few = F.col("length") - F.size("slots") < LITERALS
     pair = lambda i, v: F.struct(F.replace(i, F.lit(FIRST), F.lit("")).alias("item_value"), v.alias("value"), few.alias("fixed"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from daytrace.session import cut
+
 # Fixed values -----------------------------------------------------------------------------------------
 # two-sided 95 % Student-t values for 1 to 30 degrees of freedom, then the normal value
 T95 = [
@@ -146,9 +148,10 @@ def frontier(points: DataFrame, x: str = "x", y: str = "y", keys: Sequence[str]
 
     Window form of the dominance anti-join: a point stays when its y is the best at its x and above every y at
     smaller x.  Points are first thinned to the frontier of each hashed slice, so what meets in the last
-    window is a union of frontiers and not all points.
+    window is a union of frontiers and not all points.  The points are written once, as they meet their own maxima again
+    by equality and a mean evaluated twice may differ in its last bit.
     """
-    keys = list(keys)
+    keys, points = list(keys), cut(points)
 
     def steps(rows: DataFrame, by: list[str]) -> DataFrame:
         before = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
@@ -202,6 +205,7 @@ def modality_summary(runs: DataFrame, metric: str) -> DataFrame:
     per = ok.groupBy("modalities", "user").agg(F.avg(metric).alias("_v"))
     out = per.groupBy("modalities").agg(
         F.avg("_v").alias("mean"), (F.max("_v") - F.min("_v")).alias("spread"), F.count(F.lit(1)).alias("sessions"))
+    out = cut(out)  # evaluated once: its values are compared with their own extremes
     tops = out.agg(F.max("mean").alias("_b"), F.min("mean").alias("_w"), F.max("spread").alias("_s")).withColumn("_one", F.lit(1))
     return out.withColumn("_one", F.lit(1)).join(F.broadcast(tops), "_one").select(  # one row
         "modalities", "mean", "spread", "sessions", (F.col("mean") == F.col("_b")).alias("is_best"),
@@ -209,7 +213,9 @@ def modality_summary(runs: DataFrame, metric: str) -> DataFrame:
 
 
 def best_run_flag(runs: DataFrame, metric: str = "f1_score", keys: Sequence[str] = ("user", "model")) -> DataFrame:
-    """Flags the runs with the best metric of their (user, model); the maxima aggregate map-side."""
+    """Flags the runs with the best metric of their (user, model); the maxima aggregate map-side.  The runs are written once, so
+    that a metric is compared with itself and not with a second evaluation, whose sums may add up in another order."""
+    runs = cut(runs)
     best = runs.groupBy(*keys).agg(F.max(metric).alias("_best"))
     return runs.join(best, list(keys)).withColumn("is_best", F.coalesce(F.col(metric) == F.col("_best"), F.lit(False))).drop("_best")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from daytrace.operators import evaluate as ev
 from daytrace.operators import report as rp
 from daytrace.plans.registry import query, r6, table
+from daytrace.session import cut
 
 SUBSETS = {
     "BUILDING": "ax", "AUTOMOBILE": "metadata", "MACHINERY": "ax+metadata", "HOUSEHOLD": "ocr", "FURNITURE": "ax+ocr",
@@ -189,7 +190,7 @@ def fit(spark, sf):
 p AS (SELECT modalities, method, avg(s) AS x, avg(f) AS y, CAST(sum(n) AS BIGINT) AS runs FROM a GROUP BY 1, 2)
 SELECT modalities, method, round(x, 6) AS x, round(y, 6) AS y, runs, CAST(NOT EXISTS (SELECT 1 FROM p q WHERE q.x <= p.x AND q.y >= p.y AND (q.x < p.x OR q.y > p.y)) AS INT) AS on_frontier FROM p""")
 def quality(spark, sf):
-    pts = rp.quality_points(ok_runs(spark, sf), "size", "f1_score")
+    pts = cut(rp.quality_points(ok_runs(spark, sf), "size", "f1_score"))
     edge = rp.frontier(pts).select("modalities", "method", F.lit(1).alias("on_frontier"))
     out = pts.join(edge, ["modalities", "method"], "left")
     return out.select("modalities", "method", r6("x", "x"), r6("y", "y"), "runs", F.coalesce("on_frontier", F.lit(0)).alias("on_frontier"))

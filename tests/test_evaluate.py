@@ -187,3 +187,23 @@ def test_mean_preservation_leaves_out_records_without_a_tree(spark):
     assert (r["n_records"], r["mean_score"], r["ok"], r["low"], r["bad"]) == (2, 75.0, 1, 1, 0)
     none = ev.preservation_mean(ev.preservation(df.limit(0), F.col("rt"), F.col("kt"))).first()
     assert (none["n_records"], none["mean_score"]) == (0, 0.0)
+
+
+def shaky(df, column):
+    """``df`` whose ``column`` has another last bit each time it is evaluated, as sums that arrive in another order have."""
+    def noise(batches):
+        import random
+
+        for pdf in batches:
+            yield pdf.assign(**{column: pdf[column] * (1 + random.SystemRandom().randint(1, 10**6) * 1e-15)})
+
+    return df.coalesce(1).mapInPandas(noise, df.schema)
+
+
+def test_values_compared_with_their_own_extremes_are_evaluated_once(spark):
+    runs = shaky(spark.createDataFrame([("u", "m", f"k{i}", 0.1 + i / 100) for i in range(9)], "user string, model string, method string, f1_score double"), "f1_score")
+    assert rows(rp.best_run_flag(runs).where("is_best"), "method") == [("k8",)]
+    points = shaky(spark.createDataFrame([(1.0, 0.3), (2.0, 0.7), (3.0, 0.5)], "x double, y double"), "y")
+    assert rows(rp.frontier(points), "x") == [(1.0,), (2.0,)]
+    runs = shaky(spark.createDataFrame([("a", "u", "ok", 0.3), ("b", "u", "ok", 0.6)], "modalities string, user string, status string, f1_score double"), "f1_score")
+    assert rows(rp.modality_summary(runs, "f1_score"), "modalities", "is_best", "is_weakest") == [("a", False, True), ("b", True, False)]

@@ -50,6 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/daytrace/{name}-{uuid.uuid4().hex}"
 
 
+def long_rows(spark: SparkSession, rows: int = 500) -> None:
+    """From now on the session's Arrow batches hold at most ``rows`` rows. For tables of long texts: a Python worker holds a batch
+    several times over, so its memory follows the batch and not the partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back, so that later rounds neither
     recompute it nor depend on any executor that may be lost."""

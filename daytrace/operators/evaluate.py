@@ -390,8 +390,9 @@ def centroid_distances(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame
 # Calibration ------------------------------------------------------------------------------------------
 
 def match_curve(sample: DataFrame, user: str, bins: int) -> DataFrame:
-    """Mean 0/1 match per cosine bin, per user and pooled (``user`` null); empty bins stay null."""
-    spark = sample.sparkSession
+    """Mean 0/1 match per cosine bin, per user and pooled (``user`` null); empty bins stay null.  The sample, which stands for a
+    product of all pairs, is formed once."""
+    sample = cut(sample)
     rates = sample.groupingSets([[F.col(user), F.col("bin")], [F.col("bin")]], user, "bin").agg(
         F.avg(F.col("match").cast("double")).alias("p_match"), F.count(F.lit(1)).alias("n_pairs"))
     users = sample.select(user).distinct().unionByName(sample.select(F.lit(None).cast(sample.schema[user].dataType).alias(user)).distinct())
@@ -459,7 +460,7 @@ def calibrate_bounds(
     """
     enough = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_items)
     used = rows.join(enough.select(user), user, "left_semi")
-    judged = cut(match(binned_pairs(used, [user], low, width, bins, per_bin, block_rows=block_rows, seed=seed)))
+    judged = match(binned_pairs(used, [user], low, width, bins, per_bin, block_rows=block_rows, seed=seed))
     curve = match_curve(judged, user, bins).withColumn("centre", F.lit(low) + (F.col("bin") + 0.5) * width)
     pooled = curve.where(F.col(user).isNull()).withColumn("_one", F.lit(1))
     lo = crossing(pooled, ["_one"], low_level).withColumnRenamed("crossing", "low_crossing")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -157,3 +159,33 @@ def test_graph_steps_keep_null_keys_on_both_sides_of_the_switch(spark, fold_edge
     assert comp == {(None, 1, 1), (None, 2, 1), (None, 3, 1), ("k", 1, 1), ("k", 2, 1), ("k", 5, 5), ("k", 6, 5)}
     kept = {(r["user"], r["id"]) for r in graph.first_come_set(edges, ["user"], fold_edges=fold_edges).where("kept").collect()}
     assert kept == {(None, 1), (None, 3), ("k", 1), ("k", 5)}
+
+
+def test_binned_pairs_in_strips_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    made = spark.createDataFrame([("u", i, [float(x) for x in v[i]]) for i in range(90)], "user string, id long, vec array<double>")
+    cos = v @ v.T
+    want = {}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            b = math.floor(cos[i, j] / 0.25)
+            if 0 <= b < 4:
+                want.setdefault(b, []).append((int(sim.pair_draw(i, j)), i, j))
+    want = sorted((b, i, j) for b, ps in want.items() for _, i, j in sorted(ps)[:7])
+    for block_rows in (16, 2048):
+        assert rows(sim.binned_pairs(made, ["user"], 0.0, 0.25, 4, 7, block_rows=block_rows), "bin", "i", "j") == want
+
+
+def test_binned_pairs_hold_a_strip_of_a_block_pair_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2048, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    tracemalloc.start()
+    found = sim._smallest_draws(v, v, np.arange(2048), np.arange(2048, 4096), False, 0.0, 0.1, 5, 40, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 200 and peak < 60e6

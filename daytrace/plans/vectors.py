@@ -344,10 +344,11 @@ def match_curve(spark, sf):
     return out.select(F.coalesce("user", F.lit(-1)).alias("user"), "bin", r6(F.coalesce("p_match", F.lit(-1.0)), "p_match"), "n_pairs")
 
 
-@query("a14_background", f"""WITH {V}, {RANDOM} SELECT coalesce(u, -1) AS "user", count(*) AS n, round(avg(cos), 5) AS mean, round(quantile_cont(cos, 0.5), 5) AS q50,
-  round(quantile_cont(cos, 0.9), 5) AS q90, round(quantile_cont(cos, 0.95), 5) AS q95, round(quantile_cont(cos, 0.99), 5) AS q99 FROM rnd GROUP BY GROUPING SETS ((u), ())""")
+@query("a14_background", f"""WITH {V}, x AS (SELECT a.u, list_dot_product(a.vec, b.vec) AS cos FROM v a JOIN v b ON a.u = b.u AND a.id < b.id)
+SELECT coalesce(u, -1) AS "user", count(*) AS n, round(avg(cos), 5) AS mean, round(quantile_cont(cos, 0.5), 5) AS q50,
+  round(quantile_cont(cos, 0.9), 5) AS q90, round(quantile_cont(cos, 0.95), 5) AS q95, round(quantile_cont(cos, 0.99), 5) AS q99 FROM x GROUP BY GROUPING SETS ((u), ())""")
 def background(spark, sf):
-    out = ev.background(drawn(spark, sf), "user", (0.5, 0.9, 0.95, 0.99))
+    out = sim.pair_quantiles(vectors(spark, sf), "user", (0.5, 0.9, 0.95, 0.99))
     return out.select(
         F.coalesce("user", F.lit(-1)).alias("user"), "n", r6("mean", "mean", 5),
         *[r6(F.col("q")[i], f"q{n}", 5) for i, n in enumerate((50, 90, 95, 99))])

@@ -189,3 +189,18 @@ def test_binned_pairs_hold_a_strip_of_a_block_pair_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found[0]) == 200 and peak < 60e6
+
+
+def test_quantiles_of_all_pairs_are_exact(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    v[40:50] = v[0]  # copies: many equal cosines
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    made = spark.createDataFrame([("ab"[i % 3 == 0], i, [float(x) for x in v[i]]) for i in range(60)], "user string, id long, vec array<double>")
+    of = {u: [float(v[i] @ v[j]) for i in range(60) for j in range(i + 1, 60) if ("ab"[i % 3 == 0], "ab"[j % 3 == 0]) == (u, u)] for u in "ab"}
+    of[None] = of["a"] + of["b"]
+    got = {r["user"]: r for r in sim.pair_quantiles(made, "user", (0.5, 0.9, 0.99), block_rows=16).collect()}
+    assert set(got) == {"a", "b", None}
+    for u, cos in of.items():
+        assert got[u]["n"] == len(cos) and abs(got[u]["mean"] - np.mean(cos)) < 1e-12
+        assert np.allclose(got[u]["q"], np.quantile(cos, (0.5, 0.9, 0.99)), atol=1e-12, rtol=0)

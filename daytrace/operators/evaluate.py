@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from daytrace.functions import text as tx
 from daytrace.functions import vectors as vx
 from daytrace.functions.common import join_on
-from daytrace.operators.graph import greedy_matching
+from daytrace.operators.matching import match_sets
 from daytrace.operators.similarity import (
-    BLOCK_ROWS, binned_pairs, centroids, collapse_copies, coverage_sums, cross_pairs_above, pool_coverage, top_matches,
+    BLOCK_ROWS, binned_pairs, centroids, collapse_copies, coverage_sums, pool_coverage, top_matches,
 )
 from daytrace.session import cut
 
@@ -57,13 +57,12 @@ def one_to_one_jaccard(
     source: DataFrame, reference: DataFrame, keys: Sequence[str], threshold: float, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Greedy one-to-one matches above ``threshold`` over the union of both sets.  Copies enter as one row
-    with a count, so crowds of equal statements never form all their pairs."""
+    with a count, so crowds of equal statements never form all their pairs; pairs are listed band by band (``match_sets``)."""
     keys = list(keys)
     always = F.lit(True)
     s_reps, _ = collapse_copies(source, keys, ["vec"], always)
     r_reps, _ = collapse_copies(reference, keys, ["vec"], always)
-    pairs = cross_pairs_above(s_reps, r_reps, keys, threshold, block_rows=block_rows)
-    matched = greedy_matching(pairs, s_reps, r_reps, keys).groupBy(*keys).agg(F.sum("m").alias("matched"))
+    matched = match_sets(s_reps, r_reps, keys, threshold, block_rows=block_rows).groupBy(*keys).agg(F.sum("m").alias("matched"))
     n = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     m = reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     both = n.join(m, keys).join(matched, keys, "left").na.fill(0, ["matched"])

@@ -158,3 +158,8 @@ def lexical_score(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(common, F.size(x) + F.size(y) - common), F.lit(0.0))
 
     return let(tx.tokenize(a), lambda x: let(tx.tokenize(b), lambda y: jaccard(x, y)))
+
+
+def lexical_size(a: Column) -> Column:
+    """Number of tokens: no ``lexical_score`` exceeds the smaller number of two texts over the larger."""
+    return F.size(tx.tokenize(a))

@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from daytrace.functions.common import join_on
 from daytrace.operators.graph import greedy_matching
-from daytrace.operators.similarity import BLOCK_ROWS, _apply, _ddl, _matrix, _repeat_key, block_pairs
+from daytrace.operators.similarity import BLOCK_ROWS, STRIP, _apply, _ddl, _matrix, _repeat_key, block_pairs
 from daytrace.session import cut
 
 PER_ROW, LEAST = 16, 65_536  # pairs of a band: per row of the key, and at least
 BITS = (12, 26)  # cells of 2^-12; where one of them holds more than a band, cells of 2^-26 inside it
-STRIP = 256
 
 
 def _cells(left: DataFrame, right: DataFrame, bases: DataFrame, keys: list[str], bits: int, block_rows: int) -> DataFrame:

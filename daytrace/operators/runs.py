@@ -22,9 +22,9 @@ from daytrace.functions import vectors as vx
 from daytrace.functions.common import join_on
 from daytrace.operators import merge as mg
 from daytrace.operators.evaluate import COMPOSITE_SETS, baseline_status, harmonic, run_status, zero_if_null
-from daytrace.operators.matching import STRIP, match_sets
+from daytrace.operators.matching import match_sets
 from daytrace.operators.report import MODALITIES
-from daytrace.operators.similarity import BLOCK_ROWS, _sizes, collapse_copies, vector_sums
+from daytrace.operators.similarity import BLOCK_ROWS, STRIP, _sizes, collapse_copies, vector_sums
 from daytrace.session import cut
 
 REFERENCE = ""  # the part that the reference set is

@@ -22,6 +22,7 @@ from daytrace.session import cut
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
+GATHER = 16  # pairs are gathered one by one where the bounds leave fewer than one in so many
 EPSILON = 3.0  # width of the error bound in standard deviations; at 1.9 about 6 % of the estimates lie outside
 
 
@@ -49,15 +50,35 @@ def estimate(codes: np.ndarray, length: np.ndarray, along: np.ndarray, queries:
     return guess, error * size + 1e-5 * (length + 1) * size
 
 
+def exact_products(alive: np.ndarray, queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of the pairs marked in ``alive`` for each query, and others that rounding may have kept out: places of query and
+    vector, scores.
+
+    Where the bounds leave much of a block, one product of the matrices is cheaper than a gathered pair of vectors for each mark. It
+    serves for the choice only: the scores are those of the pairs one by one, so copies tie wherever they lie in a block.
+    """
+    n = alive.shape[1]
+    if n > k and np.count_nonzero(alive) * GATHER > alive.size:
+        rough = queries @ vectors.T
+        rough[~alive] = -np.inf
+        slack = 1e-12 * queries.shape[1] * (np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max() + 1e-300)
+        alive = alive & (rough >= (np.partition(rough, n - k, axis=1)[:, n - k] - slack)[:, None])
+    q, v = np.nonzero(alive)
+    return q, v, np.einsum("ij,ij->i", queries[q], vectors[v])
+
+
 def best_of_block(block: dict, queries: dict, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float) -> pd.DataFrame:
     """The best k of one block for each query of another, with exact scores; a row is not its own neighbour."""
     guess, error = estimate(block["codes"], block["length"], block["along"], queries["v"], centre, turn, epsilon)
-    own = queries["key"][:, None] == block["key"][None, :]
-    low, high = np.where(own, -np.inf, guess - error), np.where(own, -np.inf, guess + error)
-    n = low.shape[1]
-    least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
-    q, v = np.nonzero((high >= least[:, None]) & ~own)
-    exact = np.einsum("ij,ij->i", queries["v"][q], block["v"][v])
+    other = queries["key"][:, None] != block["key"][None, :]
+    n = guess.shape[1]
+    least = np.full(len(guess), -np.inf)
+    if n > k:
+        low = guess - error
+        low[~other] = -np.inf
+        low.partition(n - k, axis=1)
+        least = low[:, n - k]
+    q, v, exact = exact_products((guess + error >= least[:, None]) & other, queries["v"], block["v"], k)
     ids = block["id"][v]
     order = np.lexsort((block["key"][v], ids, -exact, q))
     q, v, exact, ids = q[order], v[order], exact[order], ids[order]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,3 +67,27 @@ def test_bounds_hold_the_exact_products():
     assert (np.abs(guess - q @ v.T) <= error).mean() > 0.99
     off = guess - q @ v.T
     assert abs(off.mean()) < 0.1 * np.abs(off).mean()  # estimates lean to neither side
+
+
+def test_a_block_gathers_no_pair_of_vectors_for_each_pair_the_bounds_leave():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4096, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[4001] = v[17]  # copies tie in whatever place of a block
+    ids, turn, centre = np.arange(4096), rabitq.rotation(64), v.mean(0)
+    codes, length, along = rabitq.encode(v, centre, turn)
+    block = {"key": ids, "id": ids, "v": v, "codes": codes, "length": length, "along": along}
+    queries = {"key": ids[:64], "id": ids[:64], "v": v[:64]}
+    tracemalloc.start()
+    got = rabitq.best_of_block(block, queries, centre, turn, 20, rabitq.EPSILON)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    guess, error = rabitq.estimate(codes, length, along, queries["v"], centre, turn)
+    guess[np.arange(64), np.arange(64)] = -np.inf
+    least = np.sort(guess - error, axis=1)[:, -20]
+    for i, part in got.groupby("query_key"):
+        left = np.flatnonzero(guess[i] + error[i] >= least[i])
+        scores = np.einsum("ij,ij->i", np.tile(v[i], (len(left), 1)), v[left])
+        best = np.lexsort((left, -scores))[:20]
+        assert part["vec_id"].tolist() == left[best].tolist() and part["score"].tolist() == scores[best].tolist()
+    assert len(got) == 64 * 20 and peak < 60e6

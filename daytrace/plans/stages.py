@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from daytrace.functions import vectors as vx
@@ -101,6 +102,14 @@ def digit_vector(text: Column) -> Column:
     return vx.normalize(counts)
 
 
+def digit_encoder():
+    def one(text: str) -> np.ndarray:
+        n = np.array([text.count(d) for d in "0123456789"], float)
+        return (n / (np.sqrt(n @ n) or 1.0)).astype(np.float32)
+
+    return lambda texts: [one(t) for t in texts]
+
+
 @query("m5_t4_n5_rewritten_store", f"""WITH RECURSIVE s AS (SELECT s_nationkey AS u, CAST(CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS VARCHAR) AS text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
 c AS (SELECT *, list_transform(range(10), lambda d: CAST(length(text) - length(replace(text, CAST(d AS VARCHAR), '')) AS DOUBLE)) AS n FROM s),
 m AS (SELECT u, pos, text, list_transform(n, lambda x: CAST(CAST(x / sqrt(list_dot_product(n, n)) AS FLOAT) AS DOUBLE)) AS vec FROM c),
@@ -119,5 +128,5 @@ def rewritten_store(spark, sf):
     placed = Ordered(rows, ["user"], ["s_suppkey"], ordinal_chunk("s_suppkey")).ordinal("pos").done()
     mains = placed.select("user", "pos", "text", digit_vector(F.col("text")).alias("vec"))
     guess = mains.select("user", "pos", F.lit(None).cast("bigint").alias("into"))
-    out = mem.roll_up(mains, guess, ["user"], STORE_THETA, larger_text_client, digit_vector)
+    out = mem.roll_up(mains, guess, ["user"], STORE_THETA, larger_text_client, digit_vector, encode=digit_encoder)
     return out.select("user", "pos", "into", "kept", "text", "versions", "merge_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -58,6 +59,21 @@ def long_rows(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
 
 
+@contextmanager
+def no_broadcasts(spark: SparkSession):
+    """Joins of the jobs run inside are shuffled: a table that is broadcast goes through the driver, which in rounds adds up. The
+    caller's settings are put back."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back, so that later rounds neither
     recompute it nor depend on any executor that may be lost."""

@@ -124,3 +124,77 @@ def test_answers_off_the_schema_are_errors(spark):
     parts = spark.createDataFrame([("u", 1, 0, ["a", "b"])], "user string, cluster long, part long, texts array<string>")
     row = memory.merge_writer(lambda: lambda ps: ["no json"] * len(ps))(parts).first()
     assert row.error == memory.WRONG and row.text is None
+
+
+def encoder_of():
+    words = list(WORDS)
+
+    def encoder():
+        import numpy
+
+        def one(text):
+            v = numpy.array([text.split().count(w) for w in words], float)
+            n = numpy.linalg.norm(v)
+            return (v / n if n else v).astype(numpy.float32)
+
+        return lambda texts: [one(t) for t in texts]
+
+    return encoder
+
+
+def plans_since(spark, at):
+    """Plans of the executions that began after the first ``at``."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(at, found.size())]
+
+
+@pytest.mark.parametrize("stretch,store_rows,wide", [(1000, 1000, False), (7, 1000, False), (11, 4, True)])
+def test_stretches_equal_a_pass_one_by_one(spark, stretch, store_rows, wide):
+    rng = random.Random(3)
+    said = {u: [" ".join(rng.choices(WORDS, k=rng.choice([2, 3, 4]))) for _ in range(n)] for u, n in (("a", 45), (None, 15), ("lone", 1), ("same", 30))}
+    said["same"] = ["w1 w2"] * 29 + ["w3"]
+    rows = [(u, k, t, vector(t).tolist(), "x") for u, ts in said.items() for k, t in enumerate(ts)]
+    mains = spark.createDataFrame(rows, "user string, pos long, text string, vec array<float>, entry_note string")
+    guess, rounds = mains.select("user", "pos", F.lit(None).cast("long").alias("into")), []
+    out = memory.roll_up(mains, guess, ["user"], 0.7, client_of(), embed, 7, rounds, encode=encoder_of(), stretch=stretch, store_rows=store_rows)
+    got = {(r.user, r.pos): r for r in out.collect()}
+    assert bool(rounds) == wide and len(got) == len(rows) == out.count()
+    for user, texts in said.items():
+        store, into = sequential(texts, 0.7)
+        assert [got[user, k].into for k in range(len(texts))] == into
+        assert [got[user, k].kept for k in range(len(texts))] == [i is None for i in into]
+        for e in store:
+            r = got[user, e["pos"]]
+            assert (r.text, r.merge_type, r.versions, r.failures, r.entry_note) == (e["text"], e["type"], e["versions"], e["failures"], "x")
+    assert any(e["failures"] for ts in said.values() for e in sequential(ts, 0.7)[0])
+    none = memory.roll_up(mains.where("false"), guess.where("false"), ["user"], 0.7, client_of(), embed, encode=encoder_of())
+    assert none.columns == out.columns and none.count() == 0
+
+
+def test_rounds_broadcast_no_table(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=3)) for _ in range(20)]
+    mains = spark.createDataFrame([("a", k, t, vector(t).tolist()) for k, t in enumerate(texts)], "user string, pos long, text string, vec array<float>")
+    guess, before = mains.select("user", "pos", F.lit(None).cast("long").alias("into")), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    at, rounds = len(plans_since(spark, 0)), []
+    out = memory.roll_up(mains, guess, ["user"], 0.6, client_of(), embed, 7, rounds)
+    assert out.count() == 20 and len(rounds) > 1
+    plans = plans_since(spark, at)
+    assert len(plans) > len(rounds) and not any("BroadcastExchange" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_jobs_of_the_rewritten_store_do_not_follow_its_chains(spark, tmp_path):
+    from daytrace.plans.stages import rewritten_store
+
+    rng = random.Random(1)
+
+    def executions(n):
+        rows = [(u * 1000 + k, u, rng.randrange(100_000) / 100) for u in (1, 2) for k in range(n)]
+        path = str(tmp_path / str(n))
+        spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+        at = len(plans_since(spark, 0))
+        assert rewritten_store(spark, path).count() == 2 * n
+        return len(plans_since(spark, at))
+
+    assert executions(40) == executions(4)

@@ -163,3 +163,55 @@ def lexical_score(a: Column, b: Column) -> Column:
 def lexical_size(a: Column) -> Column:
     """Number of tokens: no ``lexical_score`` exceeds the smaller number of two texts over the larger."""
     return F.size(tx.tokenize(a))
+
+
+# Sketches of ``lexical_score``: a bit for each of so many common words, and for the other words a bit for each bucket they fall into
+COMMON_WORDS, TRACKED_WORDS, WORD_BUCKETS = 512, 50_000, 1_024
+
+
+def lexical_words(a: Column) -> Column:
+    """Hashes of the tokens of a text."""
+    return F.transform(tx.tokenize(a), lambda w: F.xxhash64(w))
+
+
+def common_words(texts: DataFrame, words: str = "words") -> np.ndarray:
+    """Hashes of the most common words, near enough: which ones they are changes how much a sketch tells, never what is found."""
+    found = texts.select(F.explode(words).alias("w")).agg(F.expr(f"approx_top_k(w, {COMMON_WORDS}, {TRACKED_WORDS})").alias("k")).first()["k"]
+    return np.sort(np.array([k["item"] for k in found or []] or [0], np.int64))
+
+
+def lexical_sketch(words: Column, common: np.ndarray) -> Column:
+    """Bits of the words of a text, for ``lexical_bounds``."""
+
+    @F.pandas_udf("binary")
+    def sketch(rows: pd.Series) -> pd.Series:
+        def one(words) -> bytes:
+            words = np.asarray(words, np.int64)
+            at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+            known = common[at] == words
+            bits = np.zeros(COMMON_WORDS + WORD_BUCKETS, np.uint8)
+            bits[at[known]] = 1
+            bits[COMMON_WORDS + words[~known] % WORD_BUCKETS] = 1
+            return np.packbits(bits).tobytes()
+
+        return rows.map(one)
+
+    return sketch(words)
+
+
+def lexical_bounds(sizes: np.ndarray, bits: np.ndarray, others: np.ndarray, other_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest possible ``lexical_score`` of pairs of texts, given their ``lexical_size`` and sketch (rows of uint64).
+
+    Common words in both are shared for sure. Each other shared word falls into a bucket set in both, and a text has at most as many
+    words in those as it has beyond one in each of its buckets more than there are such buckets.
+    """
+    split = COMMON_WORDS // 64
+    count = lambda b: (np.bitwise_count(b[:, :split]).sum(1, dtype=np.int64), np.bitwise_count(b[:, split:]).sum(1, dtype=np.int64))
+    (sure, met), (common, set_), (other_common, other_set) = count(bits & other_bits), count(bits), count(other_bits)
+    left, other_left = sizes - common, others - other_common
+    most = sure + np.minimum(np.minimum(left, met + left - set_), np.minimum(other_left, met + other_left - other_set))
+
+    def score(shared: np.ndarray) -> np.ndarray:
+        return np.divide(shared, sizes + others - shared, out=np.zeros(len(shared)), where=sizes + others > shared)
+
+    return score(sure), score(most)

@@ -273,8 +273,10 @@ mem AS (SELECT v.id, v.vec, comp.cluster FROM v JOIN comp ON v.id = comp.id),
 cent AS (SELECT a.cluster, a.id, sum(list_dot_product(a.vec, b.vec)) AS c, count(*) AS size FROM mem a JOIN mem b ON a.cluster = b.cluster GROUP BY a.cluster, a.id)
 SELECT cluster, arg_max(id, {{'c': round(c, 9), 'n': -id}}) AS medoid, max(size) AS size FROM cent GROUP BY cluster""")
 def rerank_clusters(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = vectors(spark, sf).join(docs, "id", "left").na.fill("", ["text"]).select("all", "id", "text", "vec")
+    v = vectors(spark, sf)
+    ends = F.broadcast(v.agg(F.min("id").alias("_from"), F.max("id").alias("_to")))  # one row
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(ends, F.col("id").between(F.col("_from"), F.col("_to")))
+    rows = v.join(docs.select("id", "text"), "id", "left").na.fill("", ["text"]).select("all", "id", "text", "vec")
     out = mg.cluster_reduce(rows, ["all"], THETA, lexical_score, TAU)
     return out.select("cluster", F.col("id").alias("medoid"), "size")
 

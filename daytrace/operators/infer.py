@@ -153,11 +153,13 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
 
 def lexical_score(a: Column, b: Column) -> Column:
     """Token Jaccard of two texts, the default pair scorer."""
-    def jaccard(x: Column, y: Column) -> Column:
-        common = F.size(F.array_intersect(x, y))
-        return F.coalesce(F.try_divide(common, F.size(x) + F.size(y) - common), F.lit(0.0))
+    return let(tx.tokenize(a), lambda x: let(tx.tokenize(b), lambda y: words_score(x, y)))
 
-    return let(tx.tokenize(a), lambda x: let(tx.tokenize(b), lambda y: jaccard(x, y)))
+
+def words_score(x: Column, y: Column) -> Column:
+    """Jaccard of two arrays without repeats; 0 where both are empty."""
+    common = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(common, F.size(x) + F.size(y) - common), F.lit(0.0))
 
 
 def lexical_size(a: Column) -> Column:
